@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .markdown import is_blank, markdown_link, trim_end
 
 # Two code points that Unicode sets aside for internal use hold the place of closing marks.
@@ -46,9 +47,11 @@ def _marked_run(run: Column, last: Column, text: Column) -> Column:
     closes = F.concat(
         mark(~run["italic"] & was("italic"), _ITALIC_OFF), mark(~run["bold"] & was("bold"), _BOLD_OFF)
     )
-    lead = F.regexp_extract(run["text"], r"(?U)^(\s*)", 1)
-    opening = F.concat(closes, lead, opens, text(F.substring(run["text"], F.length(lead) + 1, F.length(run["text"]))))
-    return F.when(opens != "", opening).otherwise(F.concat(closes, text(run["text"])))
+    turns_on = (run["bold"] & ~was("bold")) | (run["italic"] & ~was("italic"))
+    body = run["text"]
+    lead = F.regexp_extract(body, r"(?U)^(\s*)", 1)
+    opening = F.concat(lead, opens, text(F.regexp_replace(body, r"(?U)^\s+", "")))
+    return F.concat(closes, F.when(turns_on, opening).otherwise(text(body)))
 
 
 def _close_marks(text: Column) -> Column:
@@ -68,36 +71,43 @@ def styled_text(elements: Column, break_text: str = "\n", linked_runs: bool = Fa
     Links stand between runs and leave the styling alone; with ``linked_runs`` a run itself carries a
     ``uri`` and is wrapped where it stands.
     """
+    return let(elements, lambda bound: _styled(bound, break_text, linked_runs))
+
+
+def _styled(elements: Column, break_text: str, linked_runs: bool) -> Column:
     is_run = lambda e: e["kind"] == "run"
     indexed = F.transform(elements, lambda e, i: F.struct(i.alias("at"), e.alias("e")))
-    runs = F.filter(indexed, lambda x: is_run(x["e"]) & (x["e"]["text"] != ""))
     piece = lambda at, sub, text: F.struct(at.alias("at"), F.lit(sub).alias("sub"), text.alias("text"))
 
-    def marked(x: Column, i: Column) -> Column:
-        run = x["e"]
-        wrap = lambda text: text
-        if linked_runs:
-            wrap = lambda text: F.when(run["linked"], markdown_link(text, run["uri"])).otherwise(text)
-        return piece(x["at"], 1, _marked_run(run, F.get(runs, i - 1)["e"], wrap))
+    def run_text(run: Column, text: Column) -> Column:
+        if not linked_runs:
+            return text
+        return F.when(run["linked"], markdown_link(text, run["uri"])).otherwise(text)
 
-    pieces = F.transform(runs, marked)
     if linked_runs:
-        broken = F.filter(
-            indexed, lambda x: is_run(x["e"]) & (F.get(elements, x["at"] - 1)["kind"] == "break")
-        )
-        others = F.transform(broken, lambda x: piece(x["at"], 0, F.lit(break_text)))
+        after_break = lambda x: is_run(x["e"]) & (F.get(elements, x["at"] - 1)["kind"] == "break")
+        others = F.transform(F.filter(indexed, after_break), lambda x: piece(x["at"], 0, F.lit(break_text)))
     else:
         links = F.filter(indexed, lambda x: x["e"]["kind"] == "link")
         others = F.transform(
             links, lambda x: piece(x["at"], 1, markdown_link(x["e"]["text"], x["e"]["uri"]))
         )
-    ordered = F.array_sort(F.concat(pieces, others))
-    last = F.get(runs, F.size(runs) - 1)["e"]
-    final = F.concat(
-        F.when(last["italic"], _ITALIC_OFF).otherwise(""), F.when(last["bold"], _BOLD_OFF).otherwise("")
-    )
-    joined = F.concat(F.array_join(F.transform(ordered, lambda p: p["text"]), ""), final)
-    return _close_marks(joined)
+
+    def joined(runs: Column) -> Column:
+        def marked(x: Column, i: Column) -> Column:
+            run = x["e"]
+            last = F.get(runs, i - 1)["e"]
+            return piece(x["at"], 1, _marked_run(run, last, lambda text: run_text(run, text)))
+
+        ordered = F.sort_array(F.concat(F.transform(runs, marked), others))
+        last = F.get(runs, F.size(runs) - 1)["e"]
+        final = F.concat(
+            F.when(last["italic"], _ITALIC_OFF).otherwise(""), F.when(last["bold"], _BOLD_OFF).otherwise("")
+        )
+        return F.concat(F.array_join(F.transform(ordered, lambda p: p["text"]), ""), final)
+
+    runs = F.filter(indexed, lambda x: is_run(x["e"]) & (x["e"]["text"] != ""))
+    return _close_marks(let(runs, joined))
 
 
 def paragraph_text(elements: Column, style: Column, list_kind: Column) -> Column:
@@ -109,7 +119,7 @@ def paragraph_text(elements: Column, style: Column, list_kind: Column) -> Column
 def slide_paragraph(elements: Column, list_kind: Column, break_text: str = "\n") -> Column:
     """A slide paragraph: trimmed at the end, without a prefix when it is empty."""
     text = trim_end(styled_text(elements, break_text, linked_runs=True))
-    return F.when(text != "", F.concat(list_mark(list_kind), text)).otherwise("")
+    return let(text, lambda t: F.when(t != "", F.concat(list_mark(list_kind), t)).otherwise(""))
 
 
 def shape_text(paragraphs: Column) -> Column:

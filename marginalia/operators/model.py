@@ -206,7 +206,7 @@ def report_instruction(
     )
     fits = F.col("__chars") <= max_chars
     small = items.join(sizes.filter(fits), key)
-    text = F.transform(F.array_sort(F.collect_list(F.struct(order, out))), lambda s: s[out])
+    text = F.transform(F.sort_array(F.collect_list(F.struct(order, out))), lambda s: s[out])
     contents = small.groupBy(key).agg(
         F.array_join(text, "\n").alias("__content"), F.first("__ticks").alias("__ticks")
     )

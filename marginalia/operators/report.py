@@ -28,5 +28,5 @@ def combined_output(
     ``part_items`` neighbouring ordinals, so a report of any size is joined by many tasks.
     """
     parts = items.withColumn("part", F.expr(f"{order} div {part_items}"))
-    text = F.transform(F.array_sort(F.collect_list(F.struct(order, out))), lambda s: s[out])
+    text = F.transform(F.sort_array(F.collect_list(F.struct(order, out))), lambda s: s[out])
     return parts.groupBy(*keys, "part").agg(F.array_join(text, "\n").alias("text"))

@@ -109,7 +109,7 @@ def search_section(spark, queries: Sequence[str], hits: DataFrame, provider: str
     asked = spark.createDataFrame(list(enumerate(queries)), "query_ord int, query string")
     listed = hits.groupBy("query").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda h: h["url"]), "\n"
+            F.transform(F.sort_array(F.collect_list(F.struct("rank", "url"))), lambda h: h["url"]), "\n"
         ).alias("urls")
     )
     head = F.concat(F.lit("## Web Search for '"), F.col("query"), F.lit(f"' using {provider}\n\n"))

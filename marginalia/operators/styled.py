@@ -18,7 +18,7 @@ from .numbering import numbered
 
 def ordered_array(order: Sequence[str], value: Column) -> Column:
     """Values of a group in order. Groups here are one paragraph, cell, table row, slide or page."""
-    sorted_structs = F.array_sort(F.collect_list(F.struct(*order, value.alias("__value"))))
+    sorted_structs = F.sort_array(F.collect_list(F.struct(*order, value.alias("__value"))))
     return F.transform(sorted_structs, lambda s: s["__value"])
 
 

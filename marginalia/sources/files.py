@@ -51,7 +51,7 @@ def binary_flag(content: Column) -> Column:
 def text_decode(content: Column) -> Column:
     """UTF-8 text; bytes that are not UTF-8 become U+FFFD and a leading byte order mark goes."""
     text = F.make_valid_utf8(content.cast("string"))
-    return F.when(text.startswith("﻿"), F.substring(text, 2, 2147483647)).otherwise(text)
+    return F.when(text.startswith("\ufeff"), F.substring(text, 2, 2147483647)).otherwise(text)
 
 
 def image_type(path: Column, content: Column) -> Column:
