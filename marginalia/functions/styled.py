@@ -1,16 +1,18 @@
 """Styled text to markdown, for paragraphs held as an array of elements.
 
 An element is ``struct(kind, bold, italic, text, uri)`` with kind ``run``, ``break`` or ``link``. The
-functions work inside one row; tables with one row per element are grouped per paragraph first.
+functions work inside one row; ``operators.styled`` has the form for tables with one row per element.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .binding import let
-from .markdown import is_blank, markdown_link, trim_end
+from .markdown import WHITE_RUN, is_blank, markdown_link, trim_end, trim_start
 
 # Two code points that Unicode sets aside for internal use hold the place of closing marks.
 _ITALIC_OFF = "\ufdd0"
@@ -37,31 +39,66 @@ def paragraph_prefix(style: Column, list_kind: Column) -> Column:
     return F.concat(heading, list_mark(list_kind))
 
 
-def _marked_run(run: Column, last: Column, text: Column) -> Column:
-    """A run with the marks that open before it and the place holders of those that close before it."""
+def marked_run(
+    run: Column, last: Column, wrap: Callable[[Column], Column] = lambda text: text
+) -> tuple[Column, Column]:
+    """Place holders of the marks that close before a run, and its text with the marks it opens.
+
+    ``last`` is the run before it that has text. White space at the start of a run stays outside its marks.
+    """
     was = lambda field: F.coalesce(last[field], F.lit(False))
     mark = lambda cond, text: F.when(cond, F.lit(text)).otherwise("")
     opens = F.concat(
         mark(run["bold"] & ~was("bold"), "**"), mark(run["italic"] & ~was("italic"), "_")
     )
-    closes = F.concat(
-        mark(~run["italic"] & was("italic"), _ITALIC_OFF), mark(~run["bold"] & was("bold"), _BOLD_OFF)
-    )
     turns_on = (run["bold"] & ~was("bold")) | (run["italic"] & ~was("italic"))
+    closes = closing_marks(~run["bold"] & was("bold"), ~run["italic"] & was("italic"))
     body = run["text"]
-    lead = F.regexp_extract(body, r"(?U)^(\s*)", 1)
-    opening = F.concat(lead, opens, text(F.regexp_replace(body, r"(?U)^\s+", "")))
-    return F.concat(closes, F.when(turns_on, opening).otherwise(text(body)))
+    core = trim_start(body)
+    lead = F.left(body, F.length(body) - F.length(core))
+    opened = F.when(turns_on, F.concat(lead, opens, wrap(core))).otherwise(wrap(body))
+    return closes, opened
+
+
+def piece(closes: Column, text: Column) -> tuple[Column, Column, Column]:
+    """A piece of a paragraph: marks to close before it, its text, and the white space at the text's end."""
+    head = trim_end(text)
+    return closes.alias("closes"), head.alias("head"), F.right(text, F.length(text) - F.length(head)).alias("trail")
+
+
+def closing_marks(bold: Column, italic: Column) -> Column:
+    """Place holders of closing marks, italic first."""
+    return F.concat(F.when(italic, _ITALIC_OFF).otherwise(""), F.when(bold, _BOLD_OFF).otherwise(""))
 
 
-def _close_marks(text: Column) -> Column:
+def close_marks(text: Column) -> Column:
     """Move closing marks in front of the white space before them, then write them out.
 
     Bold and italic can close at different places within one stretch of white space, hence two passes.
     """
-    ahead = rf"(?U)(\s++)({_CLOSING}+)"
+    ahead = f"{WHITE_RUN}({_CLOSING}+)"
     moved = F.regexp_replace(F.regexp_replace(text, ahead, "$2$1"), ahead, "$2$1")
-    return F.replace(F.replace(moved, F.lit(_ITALIC_OFF), F.lit("_")), F.lit(_BOLD_OFF), F.lit("**"))
+    return _written(moved)
+
+
+def _written(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(_ITALIC_OFF), F.lit("_")), F.lit(_BOLD_OFF), F.lit("**"))
+
+
+def join_pieces(pieces: Column, final: Column) -> Column:
+    """Pieces in order as one text, ``final`` closing what is still open.
+
+    Marks close before the white space at the end of the piece before. A piece of nothing but white space
+    does not bound that white space; a paragraph with such a piece takes the general way.
+    """
+
+    def closed(p: Column, i: Column) -> Column:
+        return F.concat(p["head"], F.coalesce(F.get(pieces, i + 1)["closes"], final), p["trail"])
+
+    direct = _written(F.array_join(F.transform(pieces, closed), ""))
+    whole = F.transform(pieces, lambda p: F.concat(p["closes"], p["head"], p["trail"]))
+    general = close_marks(F.concat(F.array_join(whole, ""), final))
+    return F.when(F.exists(pieces, lambda p: p["head"] == ""), general).otherwise(direct)
 
 
 def styled_text(elements: Column, break_text: str = "\n", linked_runs: bool = False) -> Column:
@@ -71,49 +108,68 @@ def styled_text(elements: Column, break_text: str = "\n", linked_runs: bool = Fa
     Links stand between runs and leave the styling alone; with ``linked_runs`` a run itself carries a
     ``uri`` and is wrapped where it stands.
     """
-    return let(elements, lambda bound: _styled(bound, break_text, linked_runs))
+
+    def either(bound: Column) -> Column:
+        styled = F.exists(bound, lambda e: e["bold"] | e["italic"])
+        return F.when(styled, _styled(bound, break_text, linked_runs)).otherwise(
+            _unstyled(bound, break_text, linked_runs)
+        )
+
+    return let(elements, either)
+
+
+def _wrapped(run: Column, text: Column, linked_runs: bool) -> Column:
+    if not linked_runs:
+        return text
+    return F.when(run["linked"], markdown_link(text, run["uri"])).otherwise(text)
+
+
+def _unstyled(elements: Column, break_text: str, linked_runs: bool) -> Column:
+    """Elements without bold or italic need no marks, only breaks and links."""
+
+    def shown(e: Column, i: Column) -> Column:
+        text = F.when(e["text"] == "", "").otherwise(_wrapped(e, e["text"], linked_runs))
+        if linked_runs:
+            broken = F.get(elements, i - 1)["kind"] == "break"
+            return F.when(e["kind"] == "run", F.when(broken, F.concat(F.lit(break_text), text)).otherwise(text))
+        return F.when(e["kind"] == "run", text).when(e["kind"] == "link", markdown_link(e["text"], e["uri"]))
+
+    return F.array_join(F.transform(elements, shown), "")
 
 
 def _styled(elements: Column, break_text: str, linked_runs: bool) -> Column:
     is_run = lambda e: e["kind"] == "run"
     indexed = F.transform(elements, lambda e, i: F.struct(i.alias("at"), e.alias("e")))
-    piece = lambda at, sub, text: F.struct(at.alias("at"), F.lit(sub).alias("sub"), text.alias("text"))
-
-    def run_text(run: Column, text: Column) -> Column:
-        if not linked_runs:
-            return text
-        return F.when(run["linked"], markdown_link(text, run["uri"])).otherwise(text)
+    none = F.lit("")
+    placed = lambda at, sub, closes, text: F.struct(at.alias("at"), F.lit(sub).alias("sub"), *piece(closes, text))
 
     if linked_runs:
         after_break = lambda x: is_run(x["e"]) & (F.get(elements, x["at"] - 1)["kind"] == "break")
-        others = F.transform(F.filter(indexed, after_break), lambda x: piece(x["at"], 0, F.lit(break_text)))
+        others = F.transform(F.filter(indexed, after_break), lambda x: placed(x["at"], 0, none, F.lit(break_text)))
     else:
         links = F.filter(indexed, lambda x: x["e"]["kind"] == "link")
         others = F.transform(
-            links, lambda x: piece(x["at"], 1, markdown_link(x["e"]["text"], x["e"]["uri"]))
+            links, lambda x: placed(x["at"], 1, none, markdown_link(x["e"]["text"], x["e"]["uri"]))
         )
 
     def joined(runs: Column) -> Column:
         def marked(x: Column, i: Column) -> Column:
             run = x["e"]
             last = F.get(runs, i - 1)["e"]
-            return piece(x["at"], 1, _marked_run(run, last, lambda text: run_text(run, text)))
+            return placed(x["at"], 1, *marked_run(run, last, lambda text: _wrapped(run, text, linked_runs)))
 
-        ordered = F.sort_array(F.concat(F.transform(runs, marked), others))
         last = F.get(runs, F.size(runs) - 1)["e"]
-        final = F.concat(
-            F.when(last["italic"], _ITALIC_OFF).otherwise(""), F.when(last["bold"], _BOLD_OFF).otherwise("")
-        )
-        return F.concat(F.array_join(F.transform(ordered, lambda p: p["text"]), ""), final)
+        final = closing_marks(last["bold"], last["italic"])
+        ordered = F.sort_array(F.concat(F.transform(runs, marked), others))
+        return let(ordered, lambda pieces: join_pieces(pieces, final))
 
-    runs = F.filter(indexed, lambda x: is_run(x["e"]) & (x["e"]["text"] != ""))
-    return _close_marks(let(runs, joined))
+    return let(F.filter(indexed, lambda x: is_run(x["e"]) & (x["e"]["text"] != "")), joined)
 
 
-def paragraph_text(elements: Column, style: Column, list_kind: Column) -> Column:
+def document_paragraph(text: Column, style: Column, list_kind: Column) -> Column:
     """A document paragraph: prefix, styled text, and an empty line after it unless it is a list item."""
     gap = F.when(list_kind.isin("bullet", "numbered"), "").otherwise("\n")
-    return F.concat(paragraph_prefix(style, list_kind), styled_text(elements), gap)
+    return F.concat(paragraph_prefix(style, list_kind), text, gap)
 
 
 def slide_paragraph(elements: Column, list_kind: Column, break_text: str = "\n") -> Column:

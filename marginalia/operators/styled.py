@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.markdown import cell_text, table_line, table_rule
-from ..functions.styled import page_text, paragraph_text, slide_text
+from ..functions.markdown import cell_text, markdown_link, table_line, table_rule
+from ..functions.styled import closing_marks, document_paragraph, join_pieces, marked_run, page_text, piece, slide_text
 from .numbering import numbered
 
 
@@ -22,11 +23,6 @@ def ordered_array(order: Sequence[str], value: Column) -> Column:
     return F.transform(sorted_structs, lambda s: s["__value"])
 
 
-def element() -> Column:
-    """The columns of a run table as one paragraph element."""
-    return F.struct("kind", "bold", "italic", "text", "uri")
-
-
 def with_links(runs: DataFrame, links: DataFrame) -> DataFrame:
     """Look up link targets; an unknown link id leaves ``uri`` null."""
     return runs.join(links.select("doc_id", "link_id", "uri"), ["doc_id", "link_id"], "left")
@@ -44,14 +40,31 @@ def list_kind(paragraphs: DataFrame, numbering: DataFrame, abstract_numbering: D
 
 
 def styled_paragraphs(runs: DataFrame) -> DataFrame:
-    """Run rows ``(doc_id, para, k, style, list_kind, kind, bold, italic, text, uri)`` to paragraph rows."""
-    grouped = runs.groupBy("doc_id", "para").agg(
+    """Run rows ``(doc_id, para, k, style, list_kind, kind, bold, italic, text, uri)`` to paragraph rows.
+
+    Each row finds the last run with text before it by a window and gets its marks as plain row
+    expressions; only the finished pieces are gathered per paragraph, on the window's partitioning.
+    """
+    is_run = (F.col("kind") == "run") & (F.col("text") != "")
+    before = Window.partitionBy("doc_id", "para").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    state = F.when(is_run, F.struct("bold", "italic"))
+    rows = runs.withColumn("__state", state)
+    rows = rows.withColumn("__last", F.last("__state", ignorenulls=True).over(before))
+    closes, marked = marked_run({c: F.col(c) for c in ("bold", "italic", "text")}, F.col("__last"))
+    link = F.when(F.col("kind") == "link", markdown_link(F.col("text"), F.col("uri"))).otherwise("")
+    rows = rows.withColumn("__text", F.when(is_run, marked).otherwise(link))
+    pieces = F.struct(*piece(F.when(is_run, closes).otherwise(""), F.col("__text")))
+    paragraphs = rows.withColumn("__piece", F.when(F.col("__text") != "", pieces)).groupBy("doc_id", "para").agg(
         F.first("style").alias("style"),
         F.first("list_kind").alias("list_kind"),
-        ordered_array(["k"], element()).alias("elements"),
+        F.max_by("__state", F.when(F.col("__state").isNotNull(), F.col("k"))).alias("__final"),
+        F.sort_array(
+            F.collect_list(F.when(F.col("__piece").isNotNull(), F.struct("k", "__piece.*")))
+        ).alias("__pieces"),
     )
-    out = paragraph_text(F.col("elements"), F.col("style"), F.col("list_kind"))
-    return grouped.select("doc_id", "para", out.alias("out"))
+    final = closing_marks(F.col("__final.bold"), F.col("__final.italic"))
+    out = document_paragraph(join_pieces(F.col("__pieces"), final), F.col("style"), F.col("list_kind"))
+    return paragraphs.select("doc_id", "para", out.alias("out"))
 
 
 def table_rows(cells: DataFrame, table: Sequence[str] = ("doc_id", "tbl")) -> DataFrame:
