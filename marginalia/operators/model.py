@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.markdown import fence_len
 from ..session import materialize, work_folder
 from ..spec import Instruction
+from .joins import join_keys
 
 # The prompt texts.
 SYSTEM_PROMPT = """\
@@ -124,7 +125,7 @@ def _ask(model: Model, content: str, instruction: str, ticks: int, retries: int)
         error, reply = None, Reply("")
         try:
             given = model(SYSTEM_PROMPT, user)
-            reply = given if isinstance(given, Reply) else Reply(given)
+            reply = Reply(given) if isinstance(given, str) else given
         except Exception as caught:  # a failing call becomes part of the output
             error = str(caught)
         if error is None and reply.exit_code == 0:
@@ -205,7 +206,7 @@ def report_instruction(
         F.sum(F.length(out) + 1).alias("__chars"), F.max(fence_len(F.col(out))).alias("__ticks")
     )
     fits = F.col("__chars") <= max_chars
-    small = items.join(sizes.filter(fits), key)
+    small = join_keys(items, sizes.filter(fits), [key])
     text = F.transform(F.sort_array(F.collect_list(F.struct(order, out))), lambda s: s[out])
     contents = small.groupBy(key).agg(
         F.array_join(text, "\n").alias("__content"), F.first("__ticks").alias("__ticks")
@@ -213,11 +214,12 @@ def report_instruction(
     large = sizes.filter(~fits)
     if not large.isEmpty():
         folder = work_folder(spark, "reports")
-        named = large.withColumn("report", F.sha1(F.col(key).cast("string")))
-        rows = items.join(named.select(key, "report"), key).select("report", order, out)
-        rows = rows.repartitionByRange("report", order).sortWithinPartitions("report", order)
-        rows.select(F.col(out).alias("value"), "report").write.partitionBy("report").text(folder)
-        place = F.concat(F.lit("{@" + folder + "/report="), F.col("report"), F.lit("}"))
+        name = F.sha1(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")))
+        named = large.withColumn("report_sha1", name)
+        rows = join_keys(items, named.select(key, "report_sha1"), [key]).select("report_sha1", order, out)
+        rows = rows.repartitionByRange("report_sha1", order).sortWithinPartitions("report_sha1", order)
+        rows.select(F.col(out).alias("value"), "report_sha1").write.partitionBy("report_sha1").text(folder)
+        place = F.concat(F.lit("{@" + folder + "/report_sha1="), F.col("report_sha1"), F.lit("}"))
         contents = contents.unionByName(named.select(key, place.alias("__content"), "__ticks"))
     return instruction_chain(
         contents, "__content", instructions, build_model, name=out, ticks=F.col("__ticks")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .joins import join_keys
+
 _SLICE = "__slice"
 _BASE = "__base"
 
@@ -30,7 +32,7 @@ def numbered(
     sliced = rows.withColumn(_SLICE, slice_by)
     totals = sliced.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("__n"))
     local = F.row_number().over(Window.partitionBy(*keys, _SLICE).orderBy(*order))
-    placed = sliced.withColumn("__local", local).join(_earlier(totals, keys, "__n"), [*keys, _SLICE], "left")
+    placed = join_keys(sliced.withColumn("__local", local), _earlier(totals, keys, "__n"), [*keys, _SLICE], "left")
     number = F.col("__local") + F.coalesce(F.col(_BASE), F.lit(0))
     return placed.withColumn(name, number.cast("bigint")).drop(_SLICE, _BASE, "__local")
 
@@ -43,6 +45,6 @@ def running_count(
     totals = sliced.groupBy(*keys, _SLICE).agg(F.sum("__flag").alias("__n"))
     upto = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = sliced.withColumn("__local", F.sum("__flag").over(upto))
-    placed = placed.join(_earlier(totals, keys, "__n"), [*keys, _SLICE], "left")
+    placed = join_keys(placed, _earlier(totals, keys, "__n"), [*keys, _SLICE], "left")
     count = F.col("__local") + F.coalesce(F.col(_BASE), F.lit(0))
     return placed.withColumn(name, count.cast("bigint")).drop(_SLICE, _BASE, "__local", "__flag")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.htmltext import page_title, strip_html
 from ..functions.markdown import page_block, page_error_block
 from ..functions.patterns import matches_any
+from .joins import join_keys
 from .numbering import numbered
 
 _SLICE = 1 << 16
@@ -68,7 +69,7 @@ def invalid_requests(requests: DataFrame, key: str = "request") -> DataFrame:
     )
     single = F.concat(F.lit("Invalid URL: "), F.col("url"))
     line = F.when(F.col("__bad") == 1, single).otherwise(F.concat(F.lit("  "), F.col("url")))
-    lines = bad.join(counted, key).select(key, F.col("ord").cast("bigint").alias("ord"), line.alias("line"))
+    lines = join_keys(bad, counted, [key]).select(key, F.col("ord").cast("bigint").alias("ord"), line.alias("line"))
     return heads.unionByName(lines)
 
 

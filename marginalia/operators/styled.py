@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.markdown import cell_text, markdown_link, table_line, table_rule
 from ..functions.styled import closing_marks, document_paragraph, join_pieces, marked_run, page_text, piece, slide_text
+from .joins import join_keys
 from .numbering import numbered
 
 
@@ -85,7 +86,7 @@ def markdown_table(rows: DataFrame, table: Sequence[str]) -> DataFrame:
     The first row of each table comes from an aggregate; table lines stay rows.
     """
     first = rows.groupBy(*table).agg(F.min("row").alias("row")).withColumn("__first", F.lit(True))
-    marked = rows.join(first, [*table, "row"], "left")
+    marked = join_keys(rows, first, [*table, "row"], "left")
     line, rule = table_line(F.col("cells")), table_rule(F.col("cells"))
     lines = F.when(F.col("__first"), F.array(line, rule)).otherwise(F.array(line))
     return marked.select(*table, "row", F.posexplode(lines).alias("part", "line"))
