@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.line_rows import split_lines
-from ..operators.numbering import numbered
 from ..operators.search import corpus_search
 
 
@@ -95,14 +94,13 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of three short queries over all pages, every hit twice."""
     pages = table(spark, sf_dir, "pages")
     found = F.array_compact(F.array(*(F.when(F.col("html").contains(q), F.lit(q)) for q in HIT_QUERIES)))
-    copies = F.sequence(F.lit(0), F.lit(1))
-    rows = pages.select("page_id", "url", F.explode(found).alias("query")).withColumn("copy", F.explode(copies))
-    order = [F.col("page_id"), F.col("copy")]
-    return numbered(rows, ["query"], order, F.expr("page_id div 65536"), "pos").select("query", "pos", "url")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(1)))
+    rows = pages.select("page_id", "url", F.explode(found).alias("query")).withColumn("copy", copies)
+    return rows.select("query", (F.col("page_id") * 2 + F.col("copy")).alias("pos"), "url")
 
 
 VHITS = """vhits AS (
-  SELECT query, row_number() OVER (PARTITION BY query ORDER BY page_id, copy)::BIGINT AS pos, url
+  SELECT query, page_id * 2 + copy AS pos, url
   FROM pages, (VALUES ('the '), ('le '), ('der '), ('no such words anywhere')) q(query), (VALUES (0), (1)) c(copy)
   WHERE contains(html, query))"""
 
@@ -118,7 +116,7 @@ VSEARCHED = """terms AS (
   SELECT query, unnest(string_split(lower(query), ' ')) AS term
   FROM (VALUES ('Nation the'), ('le de'), ('der die das'), ('no such words anywhere')) q(query)),
 vsearched AS (
-  SELECT query, row_number() OVER (PARTITION BY query ORDER BY page_id)::BIGINT AS pos, url
+  SELECT query, page_id, url
   FROM (SELECT query, page_id, url FROM pages, terms GROUP BY query, page_id, url
         HAVING bool_and(contains(lower(html), term))))"""
 

@@ -138,11 +138,19 @@ def rate_limited_pages(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", htmltext.rate_limit_seconds(content).alias("wait_seconds"))
 
 
-@query(f"WITH {inputs.VSEARCHED} SELECT query, pos, url FROM vsearched")
+@query(f"WITH {inputs.VSEARCHED} SELECT query, page_id, url FROM vsearched")
 def corpus_search(spark, sf_dir):
     return inputs.searched(spark, sf_dir)
 
 
+@query(
+    f"""WITH {inputs.VSEARCHED}
+SELECT query, page_id, url, row_number() OVER (PARTITION BY query ORDER BY page_id)::BIGINT AS pos FROM vsearched"""
+)
+def hit_positions(spark, sf_dir):
+    return search.hit_positions(inputs.searched(spark, sf_dir))
+
+
 @query(
     """SELECT regexp_extract(url, '^[a-z]+') AS query, page_id AS "offset", i::INT AS pos,
   CASE i WHEN 0 THEN url ELSE url || '&again' END AS url FROM pages, (VALUES (0), (1)) v(i)"""
@@ -247,7 +255,7 @@ def web_get_report(spark, sf_dir):
 
 @query(
     f"""WITH {inputs.VSEARCHED}, {_STRIPPED},
-top AS (SELECT query, url, row_number() OVER (PARTITION BY query ORDER BY pos)::INT AS rank FROM vsearched
+top AS (SELECT query, url, row_number() OVER (PARTITION BY query ORDER BY page_id)::INT AS rank FROM vsearched
   WHERE NOT regexp_matches(url, '(?i)SPAM') QUALIFY rank <= 5),
 section AS (SELECT q.query, '## Web Search for ''' || q.query || ''' using Corpus' || chr(10) || chr(10)
     || coalesce((SELECT string_agg(url, chr(10) ORDER BY rank) FROM top t WHERE t.query = q.query) || chr(10), 'No results found' || chr(10)) AS out
@@ -257,4 +265,5 @@ SELECT query, rank, {_block_sql('text')} FROM top JOIN pages USING (url) JOIN co
 )
 def web_search_report(spark, sf_dir):
     spec = SearchSpec(max_results=5, exclude_urls=("(?i)SPAM",), get_content=True, strip=True)
-    return web_search(spark, inputs.TERM_QUERIES, inputs.searched(spark, sf_dir), _pages(spark, sf_dir), spec)
+    hits = inputs.searched(spark, sf_dir)
+    return web_search(spark, inputs.TERM_QUERIES, hits, _pages(spark, sf_dir), spec, order=["page_id"])

@@ -99,7 +99,7 @@ def friendly_size(length: Column) -> Column:
     steps = ((1 << 30, "GB"), (1 << 20, "MB"), (1 << 10, "KB"))
     out = None
     for unit, name in steps:
-        shown = F.concat(F.floor(length / unit).cast("string"), F.lit(f" {name}"))
+        shown = F.concat(F.call_function("div", length, F.lit(unit)).cast("string"), F.lit(f" {name}"))
         out = F.when(length >= unit, shown) if out is None else out.when(length >= unit, shown)
     return out.otherwise(F.concat(length.cast("string"), F.lit(" bytes")))
 

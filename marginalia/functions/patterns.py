@@ -78,6 +78,22 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike(java_pattern(pattern))
 
 
+_BEYOND_THE_MATCH = re.compile(r"\\[AzZbBG]|\$|(?<!\[)\^|\(\?[=!<>]|[+*?}]\+")
+
+
+def holds_in_whole(pattern: str) -> bool:
+    """Whether a match in one line is sure to be a match in the whole text.
+
+    Anchors, look-around and possessive parts depend on what stands around a match, so they do not carry over.
+    """
+    return not _BEYOND_THE_MATCH.search(pattern)
+
+
+def may_have_hits(text: Column, include: Iterable[str]) -> Column:
+    """False only for texts that cannot hold a line with every pattern; far cheaper than splitting lines."""
+    return matches_all(text, [p for p in include if holds_in_whole(p)])
+
+
 def matches_all(text: Column, patterns: Iterable[str]) -> Column:
     """Conjunction; an empty list accepts everything."""
     return reduce(lambda a, b: a & b, (matches(text, p) for p in patterns), F.lit(True))
@@ -129,6 +145,12 @@ def glob_regex(glob: str, ignore_case: bool = True) -> str:
 
 
 def glob_match(path: Column, glob: str, ignore_case: bool = True) -> Column:
+    """A path test for a glob; "everything" and "any file with this ending" need no regex."""
+    if glob in ("**", "**/*"):
+        return path.isNotNull()
+    ending = glob.removeprefix("**/*")
+    if glob != ending and ending.isascii() and not set(ending) & set("*?/\\") and ending != ".":
+        return F.lower(path).endswith(F.lit(ending.lower())) if ignore_case else path.endswith(F.lit(ending))
     return path.rlike("(?s)" + glob_regex(glob, ignore_case))
 
 

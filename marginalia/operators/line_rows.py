@@ -33,10 +33,11 @@ def matching_rows(lines: DataFrame, spec: LineSpec) -> DataFrame:
 def context_lines(
     lines: DataFrame, spec: LineSpec, keys: Sequence[str] = ("doc_id",), stretch: int = STRETCH
 ) -> DataFrame:
-    """Kept lines with ``hit`` and ``starts`` (first line of an unbroken run of kept lines)."""
+    """Kept lines with ``hit``, ``starts`` (first line of an unbroken run of kept lines) and their ``stretch``."""
     flagged = lines.withColumn("hit", line_hit(F.col("line"), spec.include, spec.remove))
     if not spec.has_context:
-        return flagged.filter("hit").withColumn("starts", F.lit(False))
+        kept = flagged.filter("hit").withColumn("starts", F.lit(False))
+        return kept.withColumn("stretch", F.expr(f"idx div {stretch}"))
     left, right = spec.after + 1, spec.before
     stretch = max(stretch, left + right)
     offset, own = F.col("idx") % stretch, F.expr(f"idx div {stretch}")
@@ -54,14 +55,16 @@ def context_lines(
     kept = spread.withColumn("__kept", near == 1)
     kept = kept.withColumn("__last", F.coalesce(F.lag("__kept").over(order), F.lit(False)))
     kept = kept.filter(F.col("__kept") & (F.col("__part") == F.col("__own")))
-    return kept.withColumn("starts", ~F.col("__last")).drop("__own", "__part", "__kept", "__last")
+    kept = kept.withColumn("starts", ~F.col("__last")).withColumnRenamed("__part", "stretch")
+    return kept.drop("__own", "__kept", "__last")
 
 
-def gap_blocks(kept: DataFrame, keys: Sequence[str] = ("doc_id",), stretch: int = STRETCH) -> DataFrame:
-    """Number the unbroken runs of kept lines in each document, from 1."""
-    return running_count(
-        kept, keys, [F.col("idx")], F.expr(f"idx div {stretch}"), F.col("starts"), "block"
-    )
+def gap_blocks(kept: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Number the unbroken runs of kept lines in each document, from 1.
+
+    Counts within the stretches that ``context_lines`` made, on its partitioning.
+    """
+    return running_count(kept, keys, [F.col("idx")], "stretch", F.col("starts"), "block")
 
 
 def mask_removed(kept: DataFrame, spec: LineSpec) -> DataFrame:
@@ -86,7 +89,7 @@ def grep_rows(
     """
     ticks = F.lit("```") if ticks is None else ticks
     kept = context_lines(lines, spec, keys, stretch)
-    kept = gap_blocks(kept, keys, stretch) if spec.has_context else kept.withColumn("block", F.lit(1))
+    kept = gap_blocks(kept, keys) if spec.has_context else kept.withColumn("block", F.lit(1))
     gap = F.col("starts") & (F.col("block") > 1)
     pieces = F.array(
         F.when(gap, gap_separator(ticks)), _shown(F.col("line"), F.col("idx"), spec)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import line_hit, matches_any
+from ..functions.patterns import line_hit, matches_any, may_have_hits
 from ..spec import LineSpec
 
 
@@ -62,10 +62,13 @@ def grep_report(
 ) -> DataFrame:
     """Add the filtered, numbered and gap-marked lines of each text as one string.
 
-    Texts without a hit get an empty string. ``ticks`` is the fence that closes and reopens at a gap.
+    Texts without a hit get an empty string, most of them without being split. ``ticks`` is the fence that
+    closes and reopens at a gap.
     """
     ticks = F.lit("```") if ticks is None else ticks
-    staged = docs.withColumn("__ticks", ticks).withColumn("__lines", split_array(F.col(text)))
+    searched = may_have_hits(F.col(text), spec.include) | F.col(text).isNull()
+    lines = F.when(searched, split_array(F.col(text))).otherwise(F.expr("cast(array() as array<string>)"))
+    staged = docs.withColumn("__ticks", ticks).withColumn("__lines", lines)
     if not spec.has_context:
         found = F.transform(
             F.col("__lines"),

@@ -10,14 +10,18 @@ from pyspark.sql.window import Window
 
 from .joins import join_keys
 
-_SLICE = "__slice"
 _BASE = "__base"
 
 
-def _earlier(totals: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per key and slice, the total of ``value`` over earlier slices; slices that start at zero are left out."""
-    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumn(_BASE, F.sum(value).over(before)).filter(F.col(_BASE) > 0).select(*keys, _SLICE, _BASE)
+def _add_earlier(
+    rows: DataFrame, totals: DataFrame, keys: Sequence[str], slice_by: str, local: str, name: str
+) -> DataFrame:
+    """``local`` numbers plus the totals of earlier slices; slices after nothing have no row to join."""
+    before = Window.partitionBy(*keys).orderBy(slice_by).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn(_BASE, F.sum("__n").over(before)).filter(F.col(_BASE) > 0)
+    joined = join_keys(rows, bases.select(*keys, slice_by, _BASE), [*keys, slice_by], "left")
+    number = F.col(local) + F.coalesce(F.col(_BASE), F.lit(0))
+    return joined.withColumn(name, number.cast("bigint")).drop(_BASE, local)
 
 
 def numbered(
@@ -27,24 +31,25 @@ def numbered(
 
     ``slice_by`` cuts a key into bounded slices and must grow with ``order``. Each slice is numbered on its
     own; the counts of earlier slices, aggregated before they are shuffled, are added on top. A key that
-    holds a third of all rows is therefore spread over many tasks.
+    holds a third of all rows is therefore spread over many tasks. Rows are read twice, the first time for
+    keys and order only; write out rows that are dear to compute before numbering them.
     """
-    sliced = rows.withColumn(_SLICE, slice_by)
-    totals = sliced.groupBy(*keys, _SLICE).agg(F.count(F.lit(1)).alias("__n"))
-    local = F.row_number().over(Window.partitionBy(*keys, _SLICE).orderBy(*order))
-    placed = join_keys(sliced.withColumn("__local", local), _earlier(totals, keys, "__n"), [*keys, _SLICE], "left")
-    number = F.col("__local") + F.coalesce(F.col(_BASE), F.lit(0))
-    return placed.withColumn(name, number.cast("bigint")).drop(_SLICE, _BASE, "__local")
+    sliced = rows.withColumn("__slice", slice_by)
+    totals = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    local = F.row_number().over(Window.partitionBy(*keys, "__slice").orderBy(*order))
+    placed = sliced.withColumn("__local", local)
+    return _add_earlier(placed, totals, keys, "__slice", "__local", name).drop("__slice")
 
 
 def running_count(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, flag: Column, name: str
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: str, flag: Column, name: str
 ) -> DataFrame:
-    """How many rows up to and including this one have ``flag`` set, per key in order; sliced as above."""
-    sliced = rows.withColumn(_SLICE, slice_by).withColumn("__flag", flag.cast("int"))
-    totals = sliced.groupBy(*keys, _SLICE).agg(F.sum("__flag").alias("__n"))
-    upto = Window.partitionBy(*keys, _SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = sliced.withColumn("__local", F.sum("__flag").over(upto))
-    placed = join_keys(placed, _earlier(totals, keys, "__n"), [*keys, _SLICE], "left")
-    count = F.col("__local") + F.coalesce(F.col(_BASE), F.lit(0))
-    return placed.withColumn(name, count.cast("bigint")).drop(_SLICE, _BASE, "__local", "__flag")
+    """How many rows up to and including this one have ``flag`` set, per key in order.
+
+    ``slice_by`` names a column that cuts keys into slices as above.
+    """
+    flagged = rows.withColumn("__flag", flag.cast("int"))
+    totals = flagged.groupBy(*keys, slice_by).agg(F.sum("__flag").alias("__n"))
+    upto = Window.partitionBy(*keys, slice_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = flagged.withColumn("__local", F.sum("__flag").over(upto))
+    return _add_earlier(placed, totals, keys, slice_by, "__local", name).drop("__flag")

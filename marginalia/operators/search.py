@@ -12,20 +12,18 @@ from pyspark.sql.window import Window
 from ..functions.htmltext import page_title, strip_html
 from ..functions.markdown import page_block, page_error_block
 from ..functions.patterns import matches_any
+from ..session import materialize
 from .joins import join_keys
 from .numbering import numbered
 
-_SLICE = 1 << 16
-
-
 def all_terms(text: Column, query: str) -> Column:
     return reduce(lambda a, b: a & b, (text.contains(F.lit(t)) for t in query.split()), F.lit(True))
 
 
 def corpus_search(pages: DataFrame, queries: Sequence[str], text: str, ignore_case: bool = True) -> DataFrame:
-    """Pages that hold all terms of a query, as ``(query, pos, url)`` in page order.
+    """Pages that hold all terms of a query, as ``(query, page_id, url)``; their order is ``page_id``.
 
-    Queries are options: each page is read once and tested against all of them, without a join.
+    Queries are options: each page is read once and tested against all of them, without join or shuffle.
     """
     fold = (lambda q: q.lower()) if ignore_case else (lambda q: q)
     body = F.lower(F.col(text)) if ignore_case else F.col(text)
@@ -33,10 +31,18 @@ def corpus_search(pages: DataFrame, queries: Sequence[str], text: str, ignore_ca
     found = F.array_compact(
         F.array(*(F.when(all_terms(F.col("__body"), fold(q)), F.lit(q)) for q in queries))
     )
-    hits = searched.select("page_id", "url", F.explode(found).alias("query"))
+    return searched.select(F.explode(found).alias("query"), "page_id", "url")
+
+
+def hit_positions(hits: DataFrame, slice_ids: int = 1 << 16) -> DataFrame:
+    """Hits with ``pos``, their place in the list of their query.
+
+    Only lists that are shown whole need places; picking the first N does not. The hits are written out
+    first, so the pages are searched once although numbering reads its rows twice.
+    """
+    settled = materialize(hits, "hits")
     order = [F.col("page_id"), F.col("url")]
-    placed = numbered(hits, ["query"], order, F.expr(f"page_id div {_SLICE}"), "pos")
-    return placed.select("query", "pos", "url")
+    return numbered(settled, ["query"], order, F.expr(f"page_id div {slice_ids}"), "pos")
 
 
 _RESPONSE = "webPages struct<value: array<struct<url: string>>>, items array<struct<link: string>>"
@@ -87,6 +93,8 @@ def url_exclude(hits: DataFrame, patterns: Iterable[str], own_hosts: Iterable[st
 
 def dedup_first(hits: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
     """Each URL once per query, where it came first; combined before the shuffle."""
+    if len(order) == 1:
+        return hits.groupBy("query", "url").agg(F.min(order[0]).alias(order[0]))
     first = F.min(F.struct(*order)).alias("__first")
     return hits.groupBy("query", "url").agg(first).select("query", "url", "__first.*")
 
@@ -101,8 +109,15 @@ def top_n_per_query(hits: DataFrame, n: int = 10, order: Sequence[str] = ("pos",
     return hits.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def select_hits(hits: DataFrame, n: int, patterns: Iterable[str] = (), own_hosts: Iterable[str] = ()) -> DataFrame:
-    return top_n_per_query(dedup_first(url_exclude(hits, patterns, own_hosts)), n)
+def select_hits(
+    hits: DataFrame,
+    n: int,
+    patterns: Iterable[str] = (),
+    own_hosts: Iterable[str] = (),
+    order: Sequence[str] = ("pos",),
+) -> DataFrame:
+    """The first N different URLs of each query that are not excluded."""
+    return top_n_per_query(dedup_first(url_exclude(hits, patterns, own_hosts), order), n, order)
 
 
 def search_section(spark, queries: Sequence[str], hits: DataFrame, provider: str = "Corpus") -> DataFrame:

@@ -19,13 +19,14 @@ def web_search(
     pages: DataFrame,
     spec: SearchSpec,
     build_model: Callable[[], Model] | None = None,
+    order: Sequence[str] = ("pos",),
 ) -> DataFrame:
     """Report rows ``(query, ord, out)``: the hit section and, if asked, one block per page.
 
-    ``hits`` are ``(query, pos, url)`` rows from a search over pages or from stored responses. Instructions
-    for pages imply fetching and stripping them.
+    ``hits`` are ``(query, url)`` rows and their ``order`` from a search over pages (``page_id``) or from stored
+    responses (``offset``, ``pos``). Instructions for pages imply fetching and stripping them.
     """
-    chosen = select_hits(hits, spec.max_results, spec.exclude_urls, spec.own_hosts)
+    chosen = select_hits(hits, spec.max_results, spec.exclude_urls, spec.own_hosts, order)
     get = spec.get_content or bool(spec.instructions)
     strip = spec.strip or (bool(spec.instructions) and not spec.get_content)
     if not get:

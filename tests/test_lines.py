@@ -92,7 +92,8 @@ def test_numbering_over_slices_of_a_hot_key(spark):
     data = [(None if rng.random() < 0.1 else "hot" if rng.random() < 0.7 else f"k{rng.randint(0, 9)}", i * 3, rng.random() < 0.3) for i in range(2000)]
     frame = spark.createDataFrame(data, "key string, at long, flag boolean").repartition(7)
     placed = numbering.numbered(frame, ["key"], [F.col("at")], F.expr("at div 100"), "n")
-    counted = numbering.running_count(frame, ["key"], [F.col("at")], F.expr("at div 100"), F.col("flag"), "n")
+    sliced = frame.withColumn("slice", F.expr("at div 100"))
+    counted = numbering.running_count(sliced, ["key"], [F.col("at")], "slice", F.col("flag"), "n")
     got = {(r["key"], r["at"]): r["n"] for r in placed.collect()}
     runs = {(r["key"], r["at"]): r["n"] for r in counted.collect()}
     seen, flags = {}, {}
@@ -118,3 +119,22 @@ def test_gap_uses_the_fitted_fence(spark):
 def test_negative_context_is_refused():
     with pytest.raises(ValueError):
         LineSpec(before=-1)
+
+
+@pytest.mark.parametrize(
+    "pattern, carries",
+    [("plain", True), ("a[^b]c", True), ("(?i)a|b+?", True), ("^a", False), ("a$", False), ("\\ba", False), ("a(?=b)", False), ("a*+", False), ("[a-z]{2}", True)],
+)
+def test_patterns_that_carry_over_to_the_whole_text(pattern, carries):
+    from marginalia.functions.patterns import holds_in_whole
+
+    assert holds_in_whole(pattern) is carries
+
+
+@pytest.mark.parametrize("pattern", ["^b", "b$", "a b", "[^a]b", "\\bb", "(?<=x)b", "b++", "a.b"])
+def test_lines_found_with_any_kind_of_pattern(spark, pattern):
+    texts = ["a b\nb", "xb\nb a", "a\nb", "axb", "", "ab\na b c\nb"]
+    spec = LineSpec(include=(pattern,), before=1)
+    got = {r["doc_id"]: r["report"] for r in lines.grep_report(docs(spark, *texts), spec).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == "\n".join(w[2] for w in expected(text, spec)), text
