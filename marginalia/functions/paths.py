@@ -24,10 +24,19 @@ def file_base(path: Column) -> Column:
 
 
 def relative_path(path: Column, base: str) -> Column:
-    """The path below ``base`` (prefix compared without case); paths elsewhere stay whole."""
+    """The path as seen from the folder ``base``; an absolute path elsewhere climbs with ``..``.
+
+    The base itself is compared without case, the folders above it with case.
+    """
+    folders = [f for f in base.split("/") if f]
     prefix = base.rstrip("/") + "/"
-    inside = F.lower(path).startswith(F.lit(prefix.lower()))
-    return F.when(inside, F.substring(path, len(prefix) + 1, 2147483647)).otherwise(path)
+    out = F.when(F.lower(path).startswith(F.lit(prefix.lower())), F.substring(path, len(prefix) + 1, 2147483647))
+    if base.startswith("/"):
+        for shared in range(len(folders) - 1, -1, -1):
+            above = "/" + "".join(f + "/" for f in folders[:shared])
+            climbed = F.concat(F.lit("../" * (len(folders) - shared)), F.substring(path, len(above) + 1, 2147483647))
+            out = out.when(path.startswith(F.lit(above)), climbed)
+    return out.otherwise(path)
 
 
 def template_path(path: Column, template: str | Column, timestamp: str | Column, time: str | Column) -> Column:

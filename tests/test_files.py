@@ -80,9 +80,20 @@ def test_path_parts(spark, name, want):
     assert tuple(row) == want
 
 
-def test_relative_path(spark):
-    got = spark.range(1).select(paths.relative_path(F.lit("/Data/a/b"), "/data/"), paths.relative_path(F.lit("/else"), "/data"))
-    assert tuple(got.first()) == ("a/b", "/else")
+@pytest.mark.parametrize(
+    "path, base, want",
+    [
+        ("/Data/a/b", "/data/", "a/b"),
+        ("/data/x/y", "/data/in/deep", "../../x/y"),
+        ("/data/in/y", "/data/in/deep", "../y"),
+        ("/else", "/data", "../else"),
+        ("a/b", "/data", "a/b"),
+        ("src/a", "SRC", "a"),
+        ("srca/a", "src", "srca/a"),
+    ],
+)
+def test_relative_path(spark, path, base, want):
+    assert spark.range(1).select(paths.relative_path(F.lit(path), base)).first()[0] == want
 
 
 def test_sizes_and_ages(spark):
