@@ -71,27 +71,65 @@ def java_pattern(pattern: str) -> str:
     return "(?dU)" + "".join(out)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """True where the pattern occurs in the text. Plain text takes the byte search, not the regex engine."""
-    if is_literal(pattern):
-        return text.contains(F.lit(pattern))
-    return text.rlike(java_pattern(pattern))
+def required_text(pattern: str) -> str | None:
+    """The longest plain text that every match of the pattern contains, if two characters of it are certain.
 
-
-_BEYOND_THE_MATCH = re.compile(r"\\[AzZbBG]|\$|(?<!\[)\^|\(\?[=!<>]|[+*?}]\+")
+    Groups, classes and optional characters promise nothing; alternatives and inline flags make it give up.
+    """
+    if is_literal(pattern):
+        return pattern
+    if re.search(r"\(\?[a-zA-Z\-]+[:)]|\\[QE]", pattern):
+        return None
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c, step = pattern[i], 1
+        if c == "\\":
+            step = 2
+            c = pattern[i + 1 : i + 2]
+            plain = c != "" and not c.isalnum()
+        elif c == "[":
+            end = i + 2 if pattern.startswith("^", i + 1) else i + 1
+            end += pattern.startswith("]", end)
+            while end < len(pattern) and pattern[end] != "]":
+                end += 2 if pattern[end] == "\\" else 1
+            step, plain = end + 1 - i, False
+        elif c == "{":
+            step, plain = max(pattern.find("}", i) + 1 - i, 1), False
+        else:
+            if c == "|":
+                return None
+            depth += (c == "(") - (c == ")")
+            plain = c not in _META
+        after = pattern[i + step : i + step + 1]
+        if plain and depth == 0 and after not in ("*", "?", "{"):
+            run += c
+            closed = after == "+"
+        else:
+            closed = True
+        if closed:
+            runs, run = [*runs, run], ""
+        i += step
+    longest = max([*runs, run], key=len)
+    return longest if len(longest) > 1 else None
 
 
-def holds_in_whole(pattern: str) -> bool:
-    """Whether a match in one line is sure to be a match in the whole text.
+def matches(text: Column, pattern: str) -> Column:
+    """True where the pattern occurs in the text.
 
-    Anchors, look-around and possessive parts depend on what stands around a match, so they do not carry over.
+    Plain text takes the byte search alone; a pattern that cannot do without some plain text takes it first,
+    so the regex engine sees few rows.
     """
-    return not _BEYOND_THE_MATCH.search(pattern)
+    if is_literal(pattern):
+        return text.contains(F.lit(pattern))
+    found = text.rlike(java_pattern(pattern))
+    required = required_text(pattern)
+    return found if required is None else text.contains(F.lit(required)) & found
 
 
 def may_have_hits(text: Column, include: Iterable[str]) -> Column:
     """False only for texts that cannot hold a line with every pattern; far cheaper than splitting lines."""
-    return matches_all(text, [p for p in include if holds_in_whole(p)])
+    needed = (required_text(p) for p in include)
+    return reduce(lambda a, b: a & b, (text.contains(F.lit(t)) for t in needed if t), F.lit(True))
 
 
 def matches_all(text: Column, patterns: Iterable[str]) -> Column:

@@ -122,16 +122,22 @@ def test_negative_context_is_refused():
 
 
 @pytest.mark.parametrize(
-    "pattern, carries",
-    [("plain", True), ("a[^b]c", True), ("(?i)a|b+?", True), ("^a", False), ("a$", False), ("\\ba", False), ("a(?=b)", False), ("a*+", False), ("[a-z]{2}", True)],
+    "pattern, text",
+    [
+        ("plain", "plain"), ("a[^b]cde", "cde"), ("(?i)abc", None), ("abc|def", None), ("^abc$", "abc"), ("abc*", "ab"),
+        ("abc+d", "abc"), ("ab{2}cd", "cd"), ("x(abc)?yz", "yz"), ("(abc|def)gh", None), ("\\bword\\b", "word"),
+        ("a\\.b", "a.b"), ("[]ab]cd", "cd"), ("[^]ab]cd", "cd"), ("[a\\]b]cd", "cd"), ("a.b", None), ("\\Qab\\E", None),
+        ("(?<n>ab)cd", "cd"), ("", ""), ("(?=ab)cd?e", None), ("\\d+ items", " items"), ("a{2,}bc", "bc"), ("\\p{Lu}x", None),
+        ("\\x{41}bc", "bc"), ("{ab}cd", "cd"),
+    ],
 )
-def test_patterns_that_carry_over_to_the_whole_text(pattern, carries):
-    from marginalia.functions.patterns import holds_in_whole
+def test_text_a_pattern_needs(pattern, text):
+    from marginalia.functions.patterns import required_text
 
-    assert holds_in_whole(pattern) is carries
+    assert required_text(pattern) == text
 
 
-@pytest.mark.parametrize("pattern", ["^b", "b$", "a b", "[^a]b", "\\bb", "(?<=x)b", "b++", "a.b"])
+@pytest.mark.parametrize("pattern", ["^b", "b$", "a b", "[^a]b", "\\bb", "(?<=x)b", "b++", "a.b", "a b c?", "(a b)+", "a(?: b)"])
 def test_lines_found_with_any_kind_of_pattern(spark, pattern):
     texts = ["a b\nb", "xb\nb a", "a\nb", "axb", "", "ab\na b c\nb"]
     spec = LineSpec(include=(pattern,), before=1)
