@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ATTRS = r"""[^'">]*+(?:"[^"]*+"[^'">]*+|'[^']*+'[^'">]*+)*+"""
-_SCRIPT = rf"<script\b{_ATTRS}>(.*?)</script\s*+>|<style\b{_ATTRS}>(.*?)</style\s*+>"
-_COMMENT = r"<!--.*?(?:-->|\z)"
-_TAG = rf"<[!?][^>]*+>|</?[A-Za-z]{_ATTRS}>"
-_MARKUP = rf"(?is){_SCRIPT}|{_COMMENT}|{_TAG}"
+_SCRIPT = rf"script\b{_ATTRS}>(.*?)</script\s*+>|style\b{_ATTRS}>(.*?)</style\s*+>"
+_COMMENT = r"!--.*?(?:-->|\z)"
+_TAG = rf"[!?][^>]*+>|/?[A-Za-z]{_ATTRS}>"
+_MARKUP = rf"(?is)<(?:{_SCRIPT}|{_COMMENT}|{_TAG})"
+_HIDDEN = rf"(?is)<(?:{_SCRIPT}|{_COMMENT})"
 _BLANKS = " \\t\\x0B\\f\\u00A0\\u200B"
 
 
@@ -54,9 +55,11 @@ def decode_entities(text: Column) -> Column:
 
 def collapse_blanks(text: Column) -> Column:
     """Drop empty lines, squeeze runs of white lines to one empty line, drop white lines at the end."""
-    lines = F.btrim(F.regexp_replace(text, "[\r\n]+", "\n"), F.lit("\n"))
-    white = rf"(^|\n)[{_BLANKS}]++(?=\n|\z)(?:\n[{_BLANKS}]++(?=\n|\z))*+"
-    return F.rtrim(F.regexp_replace(lines, white, "$1"), F.lit("\n"))
+    lines = F.replace(text, F.lit("\r"), F.lit("\n"))
+    lines = F.btrim(F.regexp_replace(lines, "\n\n+", "\n"), F.lit("\n"))
+    white = rf"\n[{_BLANKS}]++(?=\n|\z)(?:\n[{_BLANKS}]++(?=\n|\z))*+"
+    squeezed = F.regexp_replace(F.concat(F.lit("\n"), lines), white, "\n")
+    return F.rtrim(F.substring(squeezed, 2, 2147483647), F.lit("\n"))
 
 
 def strip_html(html: Column, drop_script: bool = True) -> Column:
@@ -74,7 +77,7 @@ def page_title(html: Column) -> Column:
 
 def page_links(html: Column) -> Column:
     """The ``href`` of every anchor in page order, as written there; none from comments or scripts."""
-    visible = F.regexp_replace(html, rf"(?is){_SCRIPT}|{_COMMENT}", "")
+    visible = F.regexp_replace(html, _HIDDEN, "")
     value = r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
     raw = F.regexp_extract_all(visible, F.lit(rf"(?is)<a\b[^>]*?{value}"), F.lit(1))
     return F.transform(raw, lambda v: decode_entities(F.regexp_replace(v, r"""(?s)^["'](.*)["']\z""", "$1")))
