@@ -21,26 +21,39 @@ def converter_key(path: Column, converters: Mapping[str, Converter]) -> Column:
 
 
 def convert_dispatch(
-    files: DataFrame, converters: Mapping[str, Converter], content: str = "content", name: str = "text"
+    files: DataFrame,
+    converters: Mapping[str, Converter],
+    content: str = "content",
+    name: str = "text",
+    error: str = "error",
 ) -> DataFrame:
     """Markdown of each file by the first converter that accepts its name, empty without one.
 
-    Content crosses into Python only for rows that have a converter.
+    A converter that raises fails its file only: the message goes to ``error``, the text stays null. Content
+    crosses into Python only for rows that have a converter.
     """
     registry = dict(converters)
 
-    @F.pandas_udf("string")
-    def convert(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for keys, paths, contents in batches:
-            yield pd.Series(
-                [
-                    registry[k](p, bytes(c)) if k is not None and c is not None else None
-                    for k, p, c in zip(keys, paths, contents)
-                ],
-                dtype=object,
-            )
+    def attempt(key: str | None, path: str, given: bytes | None) -> tuple[str | None, str | None]:
+        if key is None or given is None:
+            return None, None
+        try:
+            return registry[key](path, bytes(given)), None
+        except Exception as caught:
+            return None, str(caught)
+
+    @F.pandas_udf("text string, error string")
+    def convert(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            yield pd.DataFrame([attempt(*row) for row in zip(*columns)], columns=["text", "error"], dtype=object)
 
     routed = files.withColumn("__key", converter_key(F.col("path"), registry))
     given = F.when(F.col("__key").isNotNull(), F.col(content))
-    done = convert(F.col("__key"), F.col("path"), given)
-    return routed.withColumn(name, F.coalesce(done, F.lit(""))).drop("__key")
+    done = routed.withColumn("__done", convert(F.col("__key"), F.col("path"), given))
+    failed = F.col("__done.error")
+    earlier = F.col(error) if error in files.columns else F.lit(None).cast("string")
+    return (
+        done.withColumn(name, F.when(failed.isNull(), F.coalesce(F.col("__done.text"), F.lit(""))))
+        .withColumn(error, F.coalesce(earlier, failed))
+        .drop("__key", "__done")
+    )

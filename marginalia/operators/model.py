@@ -118,9 +118,12 @@ def _ticks(content: str) -> int:
     return max(3, max(map(len, re.findall("`+", content)), default=0) + 1)
 
 
-def _ask(model: Model, content: str, instruction: str, ticks: int, retries: int) -> str:
+def _user_prompt(content: str, instruction: str, ticks: int) -> str:
     values = {"{backticks}": "`" * (ticks + 3), "{content}": content, "{instructions}": instruction}
-    user = "".join(values.get(p, p) for p in _PIECES)
+    return "".join(values.get(p, p) for p in _PIECES)
+
+
+def _ask(model: Model, user: str, retries: int) -> str:
     while True:
         error, reply = None, Reply("")
         try:
@@ -147,34 +150,58 @@ def apply_instructions(
     name: str = "out",
     retries: int = RETRIES,
     ticks: Column | None = None,
+    history: str | None = None,
 ) -> DataFrame:
     """Fold an array of instruction texts over each row's content with the caller's model.
 
     ``build_model`` runs once per task. Only the content and the instructions cross into Python, and only
-    for rows that have any. A failing call is retried, then reported inside the output.
+    for rows that have any. A failing call is retried, then reported inside the output. ``history`` names a
+    column for the exchanges, an array of ``struct<user, assistant>``.
     """
 
-    @F.pandas_udf("string")
-    def fold(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("answer string, users array<string>, assistants array<string>")
+    def fold(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = None
         for contents, asked, sizes in batches:
-            done = []
+            rows = []
             for current, steps, size in zip(contents, asked, sizes):
+                users, answers = [], []
                 if current is not None:
                     model = model or build_model()
                     for at, step in enumerate(steps):
-                        width = int(size) if at == 0 and size == size and size is not None else _ticks(current)
-                        current = _ask(model, current, step, width, retries)
-                done.append(current)
-            yield pd.Series(done, dtype=object)
+                        width = _ticks(current) if at or pd.isna(size) else int(size)
+                        user = _user_prompt(current, step, width)
+                        current = _ask(model, user, retries)
+                        if history:
+                            users.append(user)
+                            answers.append(current)
+                rows.append((current, users, answers))
+            yield pd.DataFrame(rows, columns=["answer", "users", "assistants"], dtype=object)
 
     wanted = F.size(instructions) > 0
     given = F.when(wanted, F.coalesce(F.col(content), F.lit("")))
     size = F.lit(None).cast("double") if ticks is None else ticks.cast("double")
-    answer = fold.asNondeterministic()(given, instructions, size)
-    return items.withColumn("__answer", answer).withColumn(
-        name, F.when(wanted, F.col("__answer")).otherwise(F.col(content))
-    ).drop("__answer")
+    done = items.withColumn("__done", fold.asNondeterministic()(given, instructions, size))
+    done = done.withColumn(name, F.when(wanted, F.col("__done.answer")).otherwise(F.col(content)))
+    if history:
+        exchange = lambda u, a: F.struct(u.alias("user"), a.alias("assistant"))
+        done = done.withColumn(history, F.zip_with("__done.users", "__done.assistants", exchange))
+    return done.drop("__done")
+
+
+def chat_messages(items: DataFrame, key: str, history: str) -> DataFrame:
+    """Recorded exchanges as message rows ``(conv_id, turn, role, text)``, one conversation per call."""
+    said = items.select(F.col(key).alias("item"), F.posexplode(history).alias("step", "exchange"))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    messages = F.array(
+        message("system", F.lit(SYSTEM_PROMPT)),
+        message("user", F.col("exchange.user")),
+        message("assistant", F.col("exchange.assistant")),
+    )
+    conversation = F.concat_ws("/", F.col("item").cast("string"), F.col("step").cast("string")).alias("conv_id")
+    return said.select(conversation, F.posexplode(messages).alias("turn", "message")).select(
+        "conv_id", "turn", "message.*"
+    )
 
 
 def instruction_chain(

@@ -103,10 +103,16 @@ def top_n_per_query(hits: DataFrame, n: int = 10, order: Sequence[str] = ("pos",
     """The first N hits of each query with their rank.
 
     Spark limits each query within every input partition before the shuffle (WindowGroupLimit), so a query
-    that matches most of the corpus sends at most N rows per task.
+    that matches most of the corpus sends at most N rows per task. Spark does so up to a set N; beyond it the
+    hits are numbered in slices of the first order column, which must then be an integer.
     """
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= n)
+    most = int(hits.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if 0 <= n <= most:
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+        return hits.withColumn("rank", rank).filter(F.col("rank") <= n)
+    slice_by = F.expr(f"{order[0]} div {1 << 16}")
+    placed = numbered(hits, ["query"], [F.col(c) for c in order], slice_by, "rank")
+    return placed.withColumn("rank", F.col("rank").cast("int")).filter(F.col("rank") <= n)
 
 
 def select_hits(

@@ -130,11 +130,12 @@ def no_match_notice(files: DataFrame, requests: Sequence[FileSpec], text: str =
 def wrap_decision(files: DataFrame, convertible: Column, single_command: bool = True) -> DataFrame:
     """Add ``wrap``: false only for the one convertible file of a single command.
 
-    The file count is an aggregate read as a scalar, not a window over all files.
+    Whether there is a second file is a scalar subquery that stops at two rows per task, not a window over
+    all files.
     """
     if not single_command:
         return files.withColumn("wrap", F.lit(True))
-    total = files.agg(F.count(F.lit(1)).alias("n")).scalar()
+    total = files.select(F.lit(1).alias("one")).limit(2).agg(F.count("one").alias("n")).scalar()
     return files.withColumn("wrap", ~((total == 1) & F.coalesce(convertible, F.lit(False))))
 
 

@@ -33,19 +33,21 @@ def check_distinct_paths(items: DataFrame) -> None:
 
 
 def _write_files(root: str):
-    def write(rows: Iterator) -> None:
+    def write(batches: Iterator) -> Iterator:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
-        for row in rows:
-            target = posixpath.normpath(posixpath.join(base, row["out_path"]))
-            if not target.startswith(base.rstrip("/") + "/"):
-                raise ValueError(f"output path leaves the target folder: {row['out_path']}")
-            system.create_dir(posixpath.dirname(target), recursive=True)
-            fresh = f"{target}.{uuid.uuid4().hex}.part"
-            with system.open_output_stream(fresh) as stream:
-                stream.write((row["content"] or "").encode("utf-8"))
-            system.move(fresh, target)
+        for batch in batches:
+            for path, content in zip(batch["out_path"], batch["content"]):
+                target = posixpath.normpath(posixpath.join(base, path))
+                if not target.startswith(base.rstrip("/") + "/"):
+                    raise ValueError(f"output path leaves the target folder: {path}")
+                system.create_dir(posixpath.dirname(target), recursive=True)
+                fresh = f"{target}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(fresh) as stream:
+                    stream.write((content or "").encode("utf-8"))
+                system.move(fresh, target)
+            yield batch[["out_path"]]
 
     return write
 
@@ -58,7 +60,8 @@ def save_per_item(items: DataFrame, root: str, as_files: bool = False) -> None:
     check_distinct_paths(items)
     rows = items.select("out_path", "content")
     if as_files:
-        rows.foreachPartition(_write_files(root))
+        written = rows.mapInPandas(_write_files(root), "out_path string")
+        written.write.format("noop").mode("overwrite").save()
     else:
         rows.write.mode("overwrite").parquet(root)
 

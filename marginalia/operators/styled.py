@@ -29,11 +29,16 @@ def with_links(runs: DataFrame, links: DataFrame) -> DataFrame:
     return runs.join(links.select("doc_id", "link_id", "uri"), ["doc_id", "link_id"], "left")
 
 
-def list_kind(paragraphs: DataFrame, numbering: DataFrame, abstract_numbering: DataFrame) -> DataFrame:
-    """Resolve numbering ids to ``bullet``, ``numbered`` or ``none`` through the level 0 format."""
-    level0 = abstract_numbering.filter(F.col("level") == 0).select("abstract_id", "fmt")
-    formats = numbering.join(level0, "abstract_id", "left").select("num_id", "fmt")
-    joined = paragraphs.join(formats, "num_id", "left")
+def list_kind(
+    paragraphs: DataFrame, numbering: DataFrame, abstract_numbering: DataFrame, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Resolve numbering ids to ``bullet``, ``numbered`` or ``none`` through the level 0 format.
+
+    ``keys`` names the columns that tell documents apart when each has its own definitions.
+    """
+    level0 = abstract_numbering.filter(F.col("level") == 0).select(*keys, "abstract_id", "fmt")
+    formats = numbering.join(level0, [*keys, "abstract_id"], "left").select(*keys, "num_id", "fmt")
+    joined = paragraphs.join(formats, [*keys, "num_id"], "left")
     kind = (
         F.when(F.col("num_id").isNull(), "none").when(F.col("fmt") == "bullet", "bullet").otherwise("numbered")
     )

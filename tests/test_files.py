@@ -49,6 +49,12 @@ def test_find_files_with_converters(spark, tree):
     assert out["sub/c.bin"] == ""
     assert "```markdown\nfrom sub/d.docx 6\n```" in out["sub/d.docx"]
     assert out["a.md"].endswith("Size: 18 bytes\n\n`````markdown\n# Title\n```` x\n\n`````\n")
+    def broken(path, content):
+        raise ValueError("bad zip")
+
+    failed = find_files(sources.read_files(spark, tree), FileSpec(), now, converters={".docx": broken}).collect()
+    out = {r["path"]: r["out"] for r in failed}
+    assert out["sub/d.docx"] == "## sub/d.docx - Error reading file: bad zip\n\n" and out["a.md"].startswith("## a.md\n")
     single = find_files(sources.read_files(spark, tree), FileSpec(globs=("**/*.docx",)), now, converters=convert)
     assert single.first()["out"] == "from sub/d.docx 6"
     numbered = FileSpec(globs=("**/*.docx",), lines=LineSpec(numbers=True))

@@ -65,19 +65,16 @@ def test_one_retry():
         calls.append(user)
         return model.Reply("late", 0) if len(calls) > 1 else model.Reply("", 1)
 
-    assert model._ask(ask, "c", "i", 3, 1) == "late" and len(calls) == 2
+    assert model._ask(ask, "prompt", 1) == "late" and len(calls) == 2
     calls.clear()
-    assert "EXIT CODE: 1" in model._ask(ask, "c", "i", 3, 0) and len(calls) == 1
+    assert "EXIT CODE: 1" in model._ask(ask, "prompt", 0) and len(calls) == 1
 
 
 def test_python_and_column_prompts_agree(spark):
-    seen = []
     texts = ["plain", "a ``` b", "`````", "{instructions} {backticks}"]
     frame = items(spark, *texts)
     got = [r[0] for r in frame.orderBy("id").select(model.prompt_render(F.col("text"), F.lit("do {content}"))).collect()]
-    for text in texts:
-        model._ask(lambda s, u: seen.append(u) or "", text, "do {content}", model._ticks(text), 0)
-    assert got == seen
+    assert got == [model._user_prompt(text, "do {content}", model._ticks(text)) for text in texts]
 
 
 def test_report_of_any_size(spark):
@@ -105,3 +102,15 @@ def test_page_criteria(spark):
     both = lambda url, **o: [r["instruction"] for r in spark.range(1).select(F.inline(model.instructions_for_page(F.lit(url), rules, **o))).collect()]
     assert both("http://www.example.org/x") == [] and both("http://www.example.org/x", lower=True) == ["a"]
     assert both("http://example.org", lower=True) == [] and both("http://plain") == ["b"]
+
+
+def test_history_of_calls(spark, tmp_path):
+    from marginalia.operators.sinks import save_history
+
+    done = model.instruction_chain(items(spark, "x", "y"), "text", ["one", "two"], echo_model, history="said")
+    rows = model.chat_messages(done, "id", "said").orderBy("conv_id", "turn").collect()
+    assert [(r["conv_id"], r["role"]) for r in rows[:3]] == [("0/0", "system"), ("0/0", "user"), ("0/0", "assistant")]
+    assert [r["text"] for r in rows if r["role"] == "assistant"] == ["[one:x]", "[two:[one:x]]", "[one:y]", "[two:[one:y]]"]
+    assert parts_of(rows[4]["text"]) == ("[one:x]", "two")
+    save_history(model.chat_messages(done, "id", "said"), str(tmp_path), "1")
+    assert spark.read.json(str(tmp_path / "chat-history-1.jsonl")).count() == 12

@@ -136,3 +136,11 @@ def test_list_kinds(spark):
     levels = spark.createDataFrame([(10, 0, "bullet"), (10, 1, "decimal"), (20, 0, "lowerRoman")], "abstract_id int, level int, fmt string")
     got = {r["p"]: r["list_kind"] for r in styled.list_kind(paragraphs, numbering, levels).collect()}
     assert got == {0: "none", 1: "bullet", 2: "numbered", 3: "numbered"}
+
+
+def test_list_kinds_per_document(spark):
+    paragraphs = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "doc_id string, num_id int")
+    numbering = spark.createDataFrame([("a", 1, 10), ("b", 1, 10)], "doc_id string, num_id int, abstract_id int")
+    levels = spark.createDataFrame([("a", 10, 0, "decimal"), ("b", 10, 0, "bullet")], "doc_id string, abstract_id int, level int, fmt string")
+    got = {r["doc_id"]: r["list_kind"] for r in styled.list_kind(paragraphs, numbering, levels, ["doc_id"]).collect()}
+    assert got == {"a": "numbered", "b": "bullet", "c": "numbered"}

@@ -143,3 +143,11 @@ def test_responses_of_both_shapes(spark):
     ]
     hits = search.response_hits(spark.createDataFrame(rows, "query string, offset int, body string"))
     assert [r["url"] for r in hits.orderBy("offset", "pos").collect()] == ["u1", "u2", "u3"]
+
+
+def test_very_many_hits_are_numbered_in_slices(spark):
+    hits = spark.range(0, 300000, 1, 8).select(F.lit("q").alias("query"), F.col("id").alias("pos"))
+    top = search.top_n_per_query(hits, 150000)
+    assert top.agg(F.count("rank"), F.max("rank"), F.max("pos")).first()[:] == (150000, 150000, 149999)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query" in plan and "__slice" in plan
