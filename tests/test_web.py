@@ -148,6 +148,7 @@ def test_responses_of_both_shapes(spark):
 def test_very_many_hits_are_numbered_in_slices(spark):
     hits = spark.range(0, 300000, 1, 8).select(F.lit("q").alias("query"), F.col("id").alias("pos"))
     top = search.top_n_per_query(hits, 150000)
-    assert top.agg(F.count("rank"), F.max("rank"), F.max("pos")).first()[:] == (150000, 150000, 149999)
+    got = top.agg(F.count("rank").alias("n"), F.max("rank").alias("r"), F.max("pos").alias("p")).first()
+    assert tuple(got) == (150000, 150000, 149999)
     plan = top._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(query" in plan and "__slice" in plan
+    assert "hashpartitioning(__slice" in plan
