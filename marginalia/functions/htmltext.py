@@ -7,6 +7,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 _ATTRS = r"""[^'">]*+(?:"[^"]*+"[^'">]*+|'[^']*+'[^'">]*+)*+"""
 _SCRIPT = rf"script\b{_ATTRS}>(.*?)</script\s*+>|style\b{_ATTRS}>(.*?)</style\s*+>"
 _COMMENT = r"!--.*?(?:-->|\z)"
@@ -23,7 +25,7 @@ def inner_text(html: Column, drop_script: bool = True) -> Column:
 
 def decode_core_entities(text: Column) -> Column:
     """The five core entities and the hard space, the ampersand last so nothing is decoded twice."""
-    core = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
+    core = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"))
     for name, char in (*core, ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
@@ -45,12 +47,15 @@ def _entity_char(entity: Column) -> Column:
 def decode_entities(text: Column) -> Column:
     """Every named and numeric entity in one pass; unknown ones stay as they are."""
     mark = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
-    between = F.split(text, mark, -1)
-    found = F.regexp_extract_all(text, F.lit(mark), F.lit(0))
     inside = lambda e: F.substring(e, F.lit(2), F.length(e) - 2)
-    chars = F.concat(F.transform(found, lambda e: F.coalesce(_entity_char(inside(e)), e)), F.array(F.lit("")))
-    pieces = F.zip_with(between, chars, lambda a, b: F.concat(a, b))
-    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+    def decoded(bound: Column) -> Column:
+        found = F.regexp_extract_all(bound, F.lit(mark), F.lit(0))
+        chars = F.transform(found, lambda e: F.coalesce(_entity_char(inside(e)), e))
+        pairs = F.zip_with(F.split(bound, mark, -1), F.concat(chars, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+        return F.when(bound.contains("&"), F.array_join(pairs, "")).otherwise(bound)
+
+    return let(text, decoded)
 
 
 def collapse_blanks(text: Column) -> Column:
@@ -64,7 +69,7 @@ def collapse_blanks(text: Column) -> Column:
 
 def strip_html(html: Column, drop_script: bool = True) -> Column:
     """A readable text of a page."""
-    return collapse_blanks(decode_entities(inner_text(html, drop_script)))
+    return let(inner_text(html, drop_script), lambda text: collapse_blanks(decode_entities(text)))
 
 
 def squeeze(text: Column) -> Column:
