@@ -3,7 +3,8 @@ import re
 import pytest
 from compare import difference, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from marginalia.catalog import ORACLES, QUERIES
 
 ROWS_ONLY = {"scan_files"}
 PYTHON = {"instruction_chain", "file_instructions", "report_instruction", "convert_dispatch"}
@@ -14,19 +15,19 @@ def con(sf_dir):
     return duck(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, con, sf_dir, name):
     assert difference(spark, con, sf_dir, name) is None
 
 
 def test_every_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plans_stay_distributed(spark, sf_dir, name):
     """No cross or nested-loop joins, no window over everything, Python only at the plug points."""
-    plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert not re.search(r"Window \[.*\], \[\](,|$)", plan)
     for line in plan.split("\n"):
