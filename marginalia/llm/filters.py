@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licenses import scan_licenses
 from .quality_rules import judge
 from .registry import query, table
 from .url_templates import ALLOW, BLOCK, UrlRule, judge_urls
@@ -33,3 +34,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url by rules and path templates."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+@query()
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document, with their place and the share of the template that they cover."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
