@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .filter_sql import QUALITY_SQL, url_sql
 from .licenses import scan_licenses
 from .quality_rules import judge
 from .registry import query, table
@@ -19,7 +20,7 @@ URL_RULES = (
 )
 
 
-@query()
+@query(QUALITY_SQL)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document, the base rules and the verdict with its host's share."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -30,7 +31,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(url_sql(URL_RULES))
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url by rules and path templates."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
