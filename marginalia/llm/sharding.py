@@ -14,7 +14,7 @@ from ..session import materialize
 from .ordered import running_sum
 
 SHARDS = 16
-ROUNDS = 4
+ROUNDS = 6
 PART = 0.8
 
 
@@ -50,14 +50,18 @@ def _hubs(rows: DataFrame, quota: int) -> DataFrame:
     return joined.select("row_id", F.when(F.col("n") > 1, hub).alias("hub"), "shard")
 
 
-def _round(now: DataFrame, quotas: dict[int, int]) -> tuple[DataFrame, int]:
+def _round(now: DataFrame, quotas: dict[int, int], turn: int) -> tuple[DataFrame, int]:
     """The linked rows after one round, and how many moved.
 
-    Members are counted per hub and shard before any shuffle, so a hub has as many rows as shards. A shard takes in
-    what its quota leaves beside the linked rows that stay, the members of the largest part first, hub by hub.
+    Members are counted per hub and shard before any shuffle, so a hub has as many rows as shards. Of shards with
+    equally many members one with room is preferred, then another one in each round. A shard takes in what its quota
+    leaves beside the linked rows that stay, the members of the largest part first, hub by hub.
     """
+    sizes = _sizes(now, "shard")
+    open_ = _by_shard({s: int(sizes.get(s, 0) < q) for s, q in quotas.items()}, F.col("shard"))
     held = now.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-    best = held.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("best"))
+    ranked = F.struct("n", open_.alias("open"), F.xxhash64("hub", "shard", F.lit(turn)).alias("tie"), "shard")
+    best = held.groupBy("hub").agg(F.max(ranked).alias("best"))
     wished = best.select("hub", F.col("best.shard").alias("wish"), F.col("best.n").alias("gain"))
     movers = materialize(
         now.join(wished, "hub")
@@ -65,7 +69,7 @@ def _round(now: DataFrame, quotas: dict[int, int]) -> tuple[DataFrame, int]:
         .select("row_id", "hub", "shard", "wish", (-F.col("gain")).alias("loss")),
         "movers",
     )
-    asked, leaving, sizes = _sizes(movers, "wish"), _sizes(movers, "shard"), _sizes(now, "shard")
+    asked, leaving = _sizes(movers, "wish"), _sizes(movers, "shard")
     if not asked:
         return now, 0
     room = {s: max(0, q - sizes.get(s, 0) + leaving.get(s, 0)) for s, q in quotas.items()}
@@ -111,8 +115,8 @@ def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     quotas = {s: total // shards + (s < total % shards) for s in range(shards)}
     placed = materialize(_hubs(start, min(quotas.values())), "shards")
     linked = placed.filter(F.col("hub").isNotNull())
-    for _ in range(rounds):
-        linked, moved = _round(linked, quotas)
+    for turn in range(rounds):
+        linked, moved = _round(linked, quotas, turn)
         if not moved:
             break
     even = materialize(_even(placed.filter(F.col("hub").isNull()).union(linked), quotas), "even")

@@ -113,6 +113,8 @@ def _bucketed(codes: DataFrame, max_bucket: int) -> DataFrame:
             *[F.when(F.col("mask") == _signed(m), F.array(*[F.lit(_signed(c)) for c in kids])) for m, kids in step.items()]
         )
         rows = waiting.select(F.explode(children).alias("mask"), "code")
+        if level:  # children of different masks can be alike
+            rows = rows.distinct()
         rows = rows.withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
         placed = materialize(rows.join(sizes, ["mask", "value"]), "buckets")
