@@ -215,7 +215,7 @@ def run_block(spark, sf_dir):
 SELECT event_type, run_id // 50 AS part, string_agg(out, chr(10) ORDER BY run_id) AS text FROM blocks GROUP BY ALL"""
 )
 def run_report(spark, sf_dir):
-    return combined_runs(inputs.commands(spark, sf_dir), ["event_type"], part_items=50)
+    return combined_runs(inputs.commands(spark, sf_dir), ["event_type"], slice_items=50).drop("piece")
 
 
 @query(
@@ -228,7 +228,7 @@ def combined_output(spark, sf_dir):
         F.col("doc_id").alias("ord"),
         F.concat("path", F.lit(": "), F.col("length").cast("string")).alias("out"),
     )
-    return combine(items, ["report"], part_items=100)
+    return combine(items, ["report"], slice_items=100).drop("piece")
 
 
 @query(

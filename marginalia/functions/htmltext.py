@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from .binding import let
 
 _ATTRS = r"""[^'">]*+(?:"[^"]*+"[^'">]*+|'[^']*+'[^'">]*+)*+"""
-_SCRIPT = rf"script\b{_ATTRS}>(.*?)</script\s*+>|style\b{_ATTRS}>(.*?)</style\s*+>"
+# A tag name ends before white space, a slash or the end of the tag; \b would also stop at a hyphen.
+_END = r"(?=[\s/>])"
+_SCRIPT = rf"script{_END}{_ATTRS}>(.*?)</script\s*+>|style{_END}{_ATTRS}>(.*?)</style\s*+>"
 _COMMENT = r"!--.*?(?:-->|\z)"
 _TAG = rf"[!?][^>]*+>|/?[A-Za-z]{_ATTRS}>"
 _MARKUP = rf"(?is)<(?:{_SCRIPT}|{_COMMENT}|{_TAG})"
 _HIDDEN = rf"(?is)<(?:{_SCRIPT}|{_COMMENT})"
+_DRAWING = rf"(?is)<svg{_END}{_ATTRS}>.*?</svg\s*+>"
+# Attributes up to, but not with, an href of the tag itself.
+_ATTRIBUTE = r"""[^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+"""
+_BEFORE_HREF = rf"""(?:[\s/]++(?!href[\s=]){_ATTRIBUTE})*+[\s/]++"""
 _BLANKS = " \\t\\x0B\\f\\u00A0\\u200B"
 
 
@@ -35,9 +41,10 @@ def _entity_char(entity: Column) -> Column:
     """The character of an entity given without ``&`` and ``;``; null when there is none."""
     named = {**{name: chr(point) for name, point in name2codepoint.items()}, "apos": "'"}
     table = F.create_map(*(F.lit(x) for pair in sorted(named.items()) for x in pair))
-    hexed = F.conv(F.substring(entity, 3, 20), 16, 10).cast("bigint")
-    point = F.when(entity.rlike("^#[xX][0-9A-Fa-f]{1,8}$"), hexed).when(
-        entity.rlike("^#[0-9]{1,10}$"), F.substring(entity, 2, 20).try_cast("bigint")
+    digits = F.regexp_replace(entity, "^#[xX]?0*(?=.)", "")
+    short = F.length(digits) <= 8
+    point = F.when(short & entity.rlike("^#[xX][0-9A-Fa-f]+$"), F.conv(digits, 16, 10).cast("bigint")).when(
+        short & entity.rlike("^#[0-9]+$"), digits.try_cast("bigint")
     )
     valid = (point < 0xD800) | ((point > 0xDFFF) & (point <= 0x10FFFF))
     numeric = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
@@ -77,14 +84,16 @@ def squeeze(text: Column) -> Column:
 
 
 def page_title(html: Column) -> Column:
-    return squeeze(decode_entities(F.regexp_extract(html, rf"(?is)<title\b{_ATTRS}>(.*?)</title\s*+>", 1)))
+    """The first title outside comments, scripts and drawings."""
+    visible = F.regexp_replace(F.regexp_replace(html, _HIDDEN, ""), _DRAWING, "")
+    return squeeze(decode_entities(F.regexp_extract(visible, rf"(?is)<title{_END}{_ATTRS}>(.*?)</title\s*+>", 1)))
 
 
 def page_links(html: Column) -> Column:
     """The ``href`` of every anchor in page order, as written there; none from comments or scripts."""
     visible = F.regexp_replace(html, _HIDDEN, "")
-    value = r"""\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-    raw = F.regexp_extract_all(visible, F.lit(rf"(?is)<a\b[^>]*?{value}"), F.lit(1))
+    value = r"""href\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"']+)"""
+    raw = F.regexp_extract_all(visible, F.lit(rf"(?is)<a(?=[\s/]){_BEFORE_HREF}{value}"), F.lit(1))
     return F.transform(raw, lambda v: decode_entities(F.regexp_replace(v, r"""(?s)^["'](.*)["']\z""", "$1")))
 
 

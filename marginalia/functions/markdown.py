@@ -167,6 +167,10 @@ def run_block(script: Column, output: Column, exit_code: Column) -> Column:
     return trim_end(whole)
 
 
+def run_error_block(script: Column, message: Column, trace: Column) -> Column:
+    return F.concat(F.lit("## Error executing command: "), script, F.lit("\n\n"), message, F.lit("\n"), trace)
+
+
 def table_line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 

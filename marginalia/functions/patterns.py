@@ -10,6 +10,7 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,68 +18,99 @@ from pyspark.sql import functions as F
 
 _META = set("\\.^$|?*+()[]{}")
 _QUANTIFIER = re.compile(r"\{\d+(,\d*)?\}")
+_QUOTED_NAME = re.compile(r"(\(\?|\\k)'([A-Za-z][A-Za-z0-9]*)'")
+_PUNCTUATION = tuple("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_PLAIN_ESCAPES = tuple("dDwWsSbBAzZ")
 
 
 def is_literal(pattern: str) -> bool:
     return not any(c in _META for c in pattern)
 
 
-def java_pattern(pattern: str) -> str:
-    """The Java spelling of a pattern, with Unix lines and Unicode classes switched on."""
-    out, i, in_class = [], 0, False
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\" and i + 1 < len(pattern):
-            out.append(pattern[i : i + 2])
-            braced = pattern[i + 1] in "pPkx" and i + 2 < len(pattern) and pattern[i + 2] == "{"
-            i += 2
-            if braced:
-                end = pattern.find("}", i)
-                if end >= 0:
-                    out.append(pattern[i : end + 1])
-                    i = end + 1
+@dataclass(frozen=True)
+class _Class:
+    """A character class: its items as Java writes them, and the class that is taken away from it."""
+
+    negated: bool
+    items: str
+    less: _Class | None
+
+    def java(self, inverted: bool = False) -> str:
+        own = "[" + ("^" if self.negated != inverted else "") + self.items + "]"
+        if self.less is None:
+            return own
+        return "[" + own + (self.less.java() if inverted else "&&" + self.less.java(True)) + "]"
+
+
+def _escape(pattern: str, i: int) -> str:
+    """The escape that starts at ``i``, with a braced operand."""
+    end = i + 2
+    if pattern[i + 1 : i + 2] in ("p", "P", "x", "N") and pattern.startswith("{", end):
+        end = pattern.find("}", end) + 1 or end
+    return pattern[i:end]
+
+
+def _read_class(pattern: str, i: int) -> tuple[_Class, int]:
+    """The class that starts at ``i`` and where it ends. Its last item may be a class to subtract: ``[a-z-[aeiou]]``."""
+    i += 1
+    negated = pattern.startswith("^", i)
+    i += negated
+    items, less = [], None
+    if pattern.startswith("]", i):
+        items, i = ["\\]"], i + 1
+    while i < len(pattern) and pattern[i] != "]":
+        if pattern.startswith("-[", i) and items:
+            less, i = _read_class(pattern, i + 1)
             continue
-        if in_class:
-            if c == "]":
-                in_class = False
-            elif c == "[" or pattern.startswith("&&", i):
-                out.append("\\")
-            out.append(c)
+        if pattern[i] == "\\":
+            items.append(_escape(pattern, i))
+        elif pattern[i] == "[" or pattern.startswith("&&", i):
+            items.append("\\" + pattern[i])
             i += 1
             continue
-        if c == "[":
-            in_class = True
+        else:
+            items.append(pattern[i])
+        i += len(items[-1])
+    return _Class(negated, "".join(items), less), i + 1
+
+
+def java_pattern(pattern: str) -> str:
+    """The Java spelling of a pattern, with Unix lines and Unicode classes switched on.
+
+    Class subtraction becomes an intersection, quoted group names become bracketed ones.
+    """
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        quoted = _QUOTED_NAME.match(pattern, i)
+        if quoted:
+            out.append(f"{quoted[1]}<{quoted[2]}>")
+            i = quoted.end()
+        elif c == "\\":
+            out.append(_escape(pattern, i))
+            i += len(out[-1])
+        elif c == "[":
+            found, i = _read_class(pattern, i)
+            out.append(found.java())
+        elif c == "{":
+            quantifier = _QUANTIFIER.match(pattern, i) if out else None
+            out.append(quantifier.group() if quantifier else "\\{")
+            i += len(quantifier.group()) if quantifier else 1
+        else:
             out.append(c)
             i += 1
-            if pattern.startswith("^", i):
-                out.append("^")
-                i += 1
-            if pattern.startswith("]", i):
-                out.append("\\]")
-                i += 1
-            continue
-        if c == "{":
-            quantifier = _QUANTIFIER.match(pattern, i)
-            if quantifier and out:
-                out.append(quantifier.group())
-                i = quantifier.end()
-                continue
-            out.append("\\{")
-            i += 1
-            continue
-        out.append(c)
-        i += 1
     return "(?dU)" + "".join(out)
 
 
 def required_text(pattern: str) -> str | None:
     """The longest plain text that every match of the pattern contains, if two characters of it are certain.
 
-    Groups, classes and optional characters promise nothing; alternatives and inline flags make it give up.
+    Groups, classes and optional characters promise nothing. Alternatives, inline flags and any escape but those
+    of punctuation and of plain classes and places make it give up, as an escape may take what follows it.
     """
     if is_literal(pattern):
         return pattern
-    if re.search(r"\(\?[a-zA-Z\-]+[:)]|\\[QE]", pattern):
+    if re.search(r"\(\?[a-zA-Z\-]+[:)]|\(\?#", pattern):
         return None
     runs, run, depth, i = [], "", 0, 0
     while i < len(pattern):
@@ -86,13 +118,11 @@ def required_text(pattern: str) -> str | None:
         if c == "\\":
             step = 2
             c = pattern[i + 1 : i + 2]
-            plain = c != "" and not c.isalnum()
+            plain = c in _PUNCTUATION
+            if not plain and c not in _PLAIN_ESCAPES:
+                return None
         elif c == "[":
-            end = i + 2 if pattern.startswith("^", i + 1) else i + 1
-            end += pattern.startswith("]", end)
-            while end < len(pattern) and pattern[end] != "]":
-                end += 2 if pattern[end] == "\\" else 1
-            step, plain = end + 1 - i, False
+            step, plain = _read_class(pattern, i)[1] - i, False
         elif c == "{":
             step, plain = max(pattern.find("}", i) + 1 - i, 1), False
         else:

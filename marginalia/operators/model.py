@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markdown import fence_len
-from ..session import materialize, work_folder
 from ..spec import Instruction
-from .joins import join_keys
 
 # The prompt texts.
 SYSTEM_PROMPT = """\
@@ -151,12 +149,18 @@ def apply_instructions(
     retries: int = RETRIES,
     ticks: Column | None = None,
     history: str | None = None,
+    parallelism: int | None = None,
+    every_row: bool = False,
 ) -> DataFrame:
     """Fold an array of instruction texts over each row's content with the caller's model.
 
     ``build_model`` runs once per task. Only the content and the instructions cross into Python, and only
     for rows that have any. A failing call is retried, then reported inside the output. ``history`` names a
     column for the exchanges, an array of ``struct<user, assistant>``.
+
+    Calls cost far more than bytes, so the rows with instructions are dealt to ``parallelism`` tasks (the
+    cluster's default parallelism) by a hash of the row. Rows without any stay where they are, for which the
+    items are read twice; ``every_row`` says that all rows have instructions.
     """
 
     @F.pandas_udf("answer string, users array<string>, assistants array<string>")
@@ -179,6 +183,13 @@ def apply_instructions(
             yield pd.DataFrame(rows, columns=["answer", "users", "assistants"], dtype=object)
 
     wanted = F.size(instructions) > 0
+    tasks = parallelism or items.sparkSession.sparkContext.defaultParallelism
+    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in items.schema if "map<" not in f.dataType.simpleString()))
+    if every_row:
+        items = items.repartition(tasks, hashed)
+    else:
+        without = items.filter(~F.coalesce(wanted, F.lit(False)))
+        items = items.filter(wanted).repartition(tasks, hashed).unionByName(without)
     given = F.when(wanted, F.coalesce(F.col(content), F.lit("")))
     size = F.lit(None).cast("double") if ticks is None else ticks.cast("double")
     done = items.withColumn("__done", fold.asNondeterministic()(given, instructions, size))
@@ -208,7 +219,7 @@ def instruction_chain(
     items: DataFrame, content: str, instructions: Sequence[str], build_model: Callable[[], Model], **options
 ) -> DataFrame:
     texts = F.array(*(F.lit(t) for t in instructions)) if instructions else F.expr("cast(array() as array<string>)")
-    return apply_instructions(items, content, texts, build_model, **options)
+    return apply_instructions(items, content, texts, build_model, every_row=bool(instructions), **options)
 
 
 def report_instruction(
@@ -218,36 +229,17 @@ def report_instruction(
     build_model: Callable[[], Model],
     order: str = "ord",
     out: str = "out",
-    max_chars: int = 8_000_000,
+    **options,
 ) -> DataFrame:
     """Apply instructions to the combined output of each report.
 
-    Report sizes are aggregated first. Reports up to ``max_chars`` are joined in a row. Larger ones are
-    written in order by many tasks to the shared folder and the prompt names that folder as ``{@folder}``,
-    to be read by the model's side; no task gathers them. Items are written to that folder once, as their
-    outputs may come from a model themselves and are read several times here.
+    A prompt is one value, so each report is joined in a row, at any size; what a model can take is the caller's to
+    decide, by what goes into a report. Items of one ordinal come in the order of their text. The fence of the first
+    prompt is measured on the items.
     """
-    spark = items.sparkSession
-    items = materialize(items.select(key, order, out), "report-items")
-    sizes = items.groupBy(key).agg(
-        F.sum(F.length(out) + 1).alias("__chars"), F.max(fence_len(F.col(out))).alias("__ticks")
-    )
-    fits = F.col("__chars") <= max_chars
-    small = join_keys(items, sizes.filter(fits), [key])
     text = F.transform(F.sort_array(F.collect_list(F.struct(order, out))), lambda s: s[out])
-    contents = small.groupBy(key).agg(
-        F.array_join(text, "\n").alias("__content"), F.first("__ticks").alias("__ticks")
+    contents = items.groupBy(key).agg(
+        F.array_join(text, "\n").alias("__content"), F.max(fence_len(F.col(out))).alias("__ticks")
     )
-    large = sizes.filter(~fits)
-    if not large.isEmpty():
-        folder = work_folder(spark, "reports")
-        name = F.sha1(F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null")))
-        named = large.withColumn("report_sha1", name)
-        rows = join_keys(items, named.select(key, "report_sha1"), [key]).select("report_sha1", order, out)
-        rows = rows.repartitionByRange("report_sha1", order).sortWithinPartitions("report_sha1", order)
-        rows.select(F.col(out).alias("value"), "report_sha1").write.partitionBy("report_sha1").text(folder)
-        place = F.concat(F.lit("{@" + folder + "/report_sha1="), F.col("report_sha1"), F.lit("}"))
-        contents = contents.unionByName(named.select(key, place.alias("__content"), "__ticks"))
-    return instruction_chain(
-        contents, "__content", instructions, build_model, name=out, ticks=F.col("__ticks")
-    ).select(key, out)
+    done = instruction_chain(contents, "__content", instructions, build_model, name=out, ticks=F.col("__ticks"), **options)
+    return done.select(key, out)

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-PART_ITEMS = 1000
+PART_BYTES = 1 << 20
+SLICE_ITEMS = 1000
 
 
 def union_commands(*outputs: DataFrame) -> DataFrame:
@@ -20,13 +22,24 @@ def union_commands(*outputs: DataFrame) -> DataFrame:
 
 
 def combined_output(
-    items: DataFrame, keys: Sequence[str], order: str = "ord", out: str = "out", part_items: int = PART_ITEMS
+    items: DataFrame,
+    keys: Sequence[str],
+    order: str = "ord",
+    out: str = "out",
+    part_bytes: int = PART_BYTES,
+    slice_items: int = SLICE_ITEMS,
 ) -> DataFrame:
-    """Newline-joined item outputs, as parts ``(keys, part, text)``.
+    """Newline-joined item outputs, as parts ``(keys, part, piece, text)``.
 
-    The parts of a report in order, joined by newlines, are the combined output. A part holds items of
-    ``part_items`` neighbouring ordinals, so a report of any size is joined by many tasks.
+    The parts of a report in the order of ``part`` and ``piece``, joined by newlines, are the combined output. A part is
+    a stretch of ``slice_items`` ordinals, so a report of any size is joined by many tasks. Within it a new piece
+    begins with every ``part_bytes`` bytes, so a piece holds that much and one item, also where few items are huge or
+    many share an ordinal; items of one ordinal come in the order of their text. The bytes are summed in a window
+    that can spill; only a piece is gathered.
     """
-    parts = items.withColumn("part", F.expr(f"{order} div {part_items}"))
+    sliced = items.withColumns({"part": F.expr(f"{order} div {slice_items}"), "__size": F.octet_length(out) + 1})
+    earlier = Window.partitionBy(*keys, "part").orderBy(order, out).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__size").over(earlier), F.lit(0))
+    pieces = sliced.withColumn("piece", F.floor(before / part_bytes).cast("bigint"))
     text = F.transform(F.sort_array(F.collect_list(F.struct(order, out))), lambda s: s[out])
-    return parts.groupBy(*keys, "part").agg(F.array_join(text, "\n").alias("text"))
+    return pieces.groupBy(*keys, "part", "piece").agg(F.array_join(text, "\n").alias("text"))

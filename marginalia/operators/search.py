@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.htmltext import page_title, strip_html
+from ..functions.htmltext import page_title, rate_limit_seconds, strip_html
 from ..functions.markdown import page_block, page_error_block
 from ..functions.patterns import matches_any
 from ..session import materialize
 from .joins import join_keys
 from .numbering import numbered
 
+TOP_SLICES = 64
+
+
 def all_terms(text: Column, query: str) -> Column:
     return reduce(lambda a, b: a & b, (text.contains(F.lit(t)) for t in query.split()), F.lit(True))
 
@@ -102,17 +105,15 @@ def dedup_first(hits: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
 def top_n_per_query(hits: DataFrame, n: int = 10, order: Sequence[str] = ("pos",)) -> DataFrame:
     """The first N hits of each query with their rank.
 
-    Spark limits each query within every input partition before the shuffle (WindowGroupLimit), so a query
-    that matches most of the corpus sends at most N rows per task. Spark does so up to a set N; beyond it the
-    hits are numbered in slices of the first order column, which must then be an integer.
+    A query's hits are dealt to ``TOP_SLICES`` slices by digest, each slice keeps its first N, and the first N of
+    these are the answer. So a query that matches most of the corpus is ranked by many tasks, whatever N and
+    the kind of the order columns, and one task sees N rows per slice at most.
     """
-    most = int(hits.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if 0 <= n <= most:
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
-        return hits.withColumn("rank", rank).filter(F.col("rank") <= n)
-    slice_by = F.expr(f"{order[0]} div {1 << 16}")
-    placed = numbered(hits, ["query"], [F.col(c) for c in order], slice_by, "rank")
-    return placed.withColumn("rank", F.col("rank").cast("int")).filter(F.col("rank") <= n)
+    salt = F.pmod(F.xxhash64(*order), F.lit(TOP_SLICES))
+    within = F.row_number().over(Window.partitionBy("query", salt).orderBy(*order))
+    first = hits.withColumn("__within", within).filter(F.col("__within") <= n).drop("__within")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
 def select_hits(
@@ -146,24 +147,35 @@ def fetched_block(strip: bool) -> Column:
     body = strip_html(html) if strip else html
     message = F.concat(F.lit("no page stored for "), F.col("url"))
     missing = page_error_block(F.col("url"), message, F.lit(""))
-    return F.when(html.isNull(), missing).otherwise(page_block(page_title(html), F.col("url"), body))
+    notice = F.concat(F.lit("rate limit notice stored for "), F.col("url"))
+    limited = page_error_block(F.col("url"), notice, F.lit(""))
+    shown = page_block(page_title(html), F.col("url"), body)
+    return F.when(html.isNull(), missing).when(rate_limit_seconds(html).isNotNull(), limited).otherwise(shown)
 
 
 def page_get(requests: DataFrame, pages: DataFrame, strip: bool = False) -> DataFrame:
     """Pages of requested URLs from a crawl table; a URL without a page becomes an error block.
 
-    An equi join on ``url``; adaptive execution broadcasts the requests when they are few and splits a URL
-    that is requested very often.
+    ``status`` is ``ok``, ``error`` for a URL without a page, or ``limited`` for a stored rate-limit notice, which
+    is shown as an error too. The requests are written out first, so that Spark knows their size when it plans:
+    the pages are joined to the different URLs before anything else, and while these are small they are broadcast
+    and the page table is not shuffled. Beyond that Spark shuffles both sides. The requests then meet the pages
+    that were found, and a URL that is requested very often is split.
     """
-    joined = requests.join(pages.select("url", "html"), "url", "left")
-    found = F.when(F.col("html").isNull(), "error").otherwise("ok")
-    return joined.withColumn("status", found).withColumn("out", fetched_block(strip)).drop("html")
+    asked = materialize(requests, "requests")
+    wanted = asked.select("url").distinct()
+    found = pages.select("url", "html").join(wanted, "url")
+    joined = asked.join(found, "url", "left")
+    limited = rate_limit_seconds(F.col("html")).isNotNull()
+    status = F.when(F.col("html").isNull(), "error").when(limited, "limited").otherwise("ok")
+    return joined.withColumn("status", status).withColumn("out", fetched_block(strip)).drop("html")
 
 
 def search_then_get(
     spark, queries: Sequence[str], hits: DataFrame, pages: DataFrame, strip: bool = False, provider: str = "Corpus"
 ) -> DataFrame:
     """Selected hits to report rows ``(query, ord, out)``: the section first, then one block per hit."""
+    hits = materialize(hits, "hits")
     section = search_section(spark, queries, hits, provider).select("query", F.lit(0).alias("ord"), "out")
     blocks = page_get(hits.select("query", F.col("rank").alias("ord"), "url"), pages, strip)
     return section.unionByName(blocks.select("query", "ord", "out"))

@@ -18,6 +18,7 @@ from ..functions.patterns import (
     split_exclusions,
     wildcard_regex,
 )
+from ..sources.files import text_decode
 from ..spec import FileSpec
 
 
@@ -94,10 +95,17 @@ def path_selected(path: Column, spec: FileSpec) -> Column:
     return wanted & ~any_glob(path, globs) & ~name_excluded(path, names) & ~ignored(path, spec.ignore_lines)
 
 
+def tested_text(files: DataFrame, text: str = "text") -> Column:
+    """What content tests read: the text, or the bytes of a binary file as UTF-8. Null is unreadable content."""
+    if "content" not in files.columns:
+        return F.col(text)
+    return F.coalesce(F.col(text), text_decode(F.col("content")))
+
+
 def select_files(files: DataFrame, spec: FileSpec, text: str = "text") -> DataFrame:
     """Path tests first, content tests on what is left."""
     named = files.filter(path_selected(F.col("path"), spec))
-    return named.filter(content_passes(F.col(text), spec.contains, spec.not_contains))
+    return named.filter(content_passes(tested_text(files, text), spec.contains, spec.not_contains))
 
 
 def no_match_notice(files: DataFrame, requests: Sequence[FileSpec], text: str = "text") -> DataFrame:
@@ -108,7 +116,7 @@ def no_match_notice(files: DataFrame, requests: Sequence[FileSpec], text: str =
     path, counts = F.col("path"), []
     for i, spec in enumerate(requests):
         named = path_selected(path, spec)
-        passed = named & content_passes(F.col(text), spec.contains, spec.not_contains)
+        passed = named & content_passes(tested_text(files, text), spec.contains, spec.not_contains)
         counts += [F.count_if(named).alias(f"found_{i}"), F.count_if(passed).alias(f"passed_{i}")]
 
     def notice(i: int, spec: FileSpec) -> Column:

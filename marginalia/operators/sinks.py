@@ -3,40 +3,39 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import template_path
+from ..session import qualified, shared_folder
 from .names import unique_slug
 
 # Default output names.
 FILE_TEMPLATE = "{filePath}/{fileBase}-output.md"
 PAGE_TEMPLATE = "{filePath}/{fileBase}-output.md"
-REPORT_TEMPLATE = "output.md"
 HISTORY_TEMPLATE = "chat-history-{time}.jsonl"
 
-SINGLE_FILE_BYTES = 64 << 20
-
-
 def output_paths(items: DataFrame, template: str, timestamp: str, time: str, path: str = "path") -> DataFrame:
     return items.withColumn("out_path", template_path(F.col(path), template, timestamp, time))
 
 
 def check_distinct_paths(items: DataFrame) -> None:
-    """Two items for one output path are an error; the paths alone are counted."""
-    twice = items.groupBy("out_path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(3).collect()
-    if twice:
-        raise ValueError("several items share an output path: " + ", ".join(r["out_path"] for r in twice))
+    """Two items for one output path are an error that names the first paths and their number; paths alone are counted."""
+    twice = items.groupBy("out_path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared, first = twice.agg(F.count(F.lit(1)), F.min("out_path")).first()
+    if shared:
+        raise ValueError(f"several items share an output path: {shared} paths, the first is {first}")
 
 
 def _write_files(root: str):
     def write(batches: Iterator) -> Iterator:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        system, base = fs.FileSystem.from_uri(root)
         for batch in batches:
             for path, content in zip(batch["out_path"], batch["content"]):
                 target = posixpath.normpath(posixpath.join(base, path))
@@ -52,42 +51,53 @@ def _write_files(root: str):
     return write
 
 
+def shared_root(spark: SparkSession, root: str) -> str:
+    """``root`` with scheme and host; a local folder counts as shared only where driver and executors are one machine."""
+    full = qualified(spark, root)
+    if full.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        named = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+        if not full.removeprefix("file:").lstrip("/").startswith(named.strip("/") + "/"):
+            raise ValueError(f"{full} is a folder of each executor; name one that all executors share")
+    return full.replace("file:/", "file:///", 1) if re.match("file:/[^/]", full) else full
+
+
 def save_per_item(items: DataFrame, root: str, as_files: bool = False) -> None:
     """Rows ``(out_path, content)`` to a parquet table, or to one file each below ``root``.
 
-    Files are written whole under a passing name and then moved, so a task that runs again replaces them.
+    Files are written whole under a passing name and then moved, so a task that runs again replaces them. A root
+    without a scheme is on the default file system, in both forms; the disk of single executors is refused.
     """
     check_distinct_paths(items)
     rows = items.select("out_path", "content")
     if as_files:
-        written = rows.mapInPandas(_write_files(root), "out_path string")
+        written = rows.mapInPandas(_write_files(shared_root(items.sparkSession, root)), "out_path string")
         written.write.format("noop").mode("overwrite").save()
     else:
         rows.write.mode("overwrite").parquet(root)
 
 
-def save_pages(pages: DataFrame, root: str, content: Column, folder: str = "web-pages", as_files: bool = False) -> None:
-    """Page texts under names made from their URLs."""
+def save_pages(
+    pages: DataFrame,
+    root: str,
+    content: Column,
+    folder: str = "web-pages",
+    as_files: bool = False,
+    template: str | None = None,
+    timestamp: str = "",
+    time: str = "",
+) -> None:
+    """Page texts under names made from their URLs, or under what a template makes of these names."""
     named = unique_slug(pages.withColumn("content", content), folder)
-    save_per_item(named.withColumn("out_path", F.col("name")), root, as_files)
+    path = F.col("name") if template is None else template_path(F.col("name"), template, timestamp, time)
+    save_per_item(named.withColumn("out_path", path), root, as_files)
 
 
-def save_combined(
-    items: DataFrame, target: str, order: Sequence[str], out: str = "out", single_file: bool = False
-) -> None:
+def save_combined(items: DataFrame, target: str, order: Sequence[str], out: str = "out") -> None:
     """One report in order: part files that, read in name order, are the report.
 
-    Rows are cut into ordered ranges, so every task writes its stretch. ``single_file`` asks for one part
-    and is refused above a measured size.
+    Rows are cut into ordered ranges, so every task writes its stretch, at any size.
     """
-    rows = items.select(*order, F.col(out).alias("value"))
-    if single_file:
-        size = rows.agg(F.sum(F.octet_length("value") + 1).alias("n")).first()["n"] or 0
-        if size > SINGLE_FILE_BYTES:
-            raise ValueError(f"{size} bytes are too many for a single file; write parts instead")
-        ordered = rows.coalesce(1).sortWithinPartitions(*order)
-    else:
-        ordered = rows.orderBy(*order)
+    ordered = items.select(*order, F.col(out).alias("value")).orderBy(*order)
     ordered.select("value").write.mode("overwrite").text(target)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from ..functions.markdown import fence_choice, file_block, file_error_block, fri
 from ..operators.convert import Converter, convert_dispatch, converter_key
 from ..operators.lines import shown_text
 from ..operators.model import Model, apply_instructions, instructions_for_file
-from ..operators.select import select_files, wrap_decision
+from ..operators.select import no_match_notice, select_files, wrap_decision
 from ..spec import FileSpec, LineSpec
 
 
@@ -41,6 +41,20 @@ def file_blocks(
     return shown.withColumn("out", F.coalesce(block, F.lit(""))).drop("__body", "__ticks_out")
 
 
+def find_files_report(files: DataFrame, specs: Sequence[FileSpec], now: Column, **options) -> DataFrame:
+    """Report rows ``(request, path, out)`` of several requests.
+
+    A request that found no file, or none that passed, has its notice with a null path instead of blocks.
+    """
+    report = no_match_notice(files, specs).filter(F.col("notice").isNotNull())
+    report = report.select("request", F.lit(None).cast("string").alias("path"), F.col("notice").alias("out"))
+    single = len(specs) == 1
+    for at, spec in enumerate(specs):
+        blocks = find_files(files, spec, now, single_command=single, **options)
+        report = report.unionByName(blocks.select(F.lit(at).alias("request"), "path", "out"))
+    return report
+
+
 def find_files(
     files: DataFrame,
     spec: FileSpec,

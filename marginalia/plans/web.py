@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.model import Model, apply_instructions, instructions_for_page, query_substitution
-from ..operators.search import accepted_requests, page_get, search_section, search_then_get, select_hits
-from ..spec import SearchSpec
+from ..operators.search import (
+    accepted_requests,
+    invalid_requests,
+    page_get,
+    search_section,
+    select_hits,
+)
+from ..session import materialize
+from ..spec import Instruction, SearchSpec
 
 
 def web_search(
@@ -26,7 +33,7 @@ def web_search(
     ``hits`` are ``(query, url)`` rows and their ``order`` from a search over pages (``page_id``) or from stored
     responses (``offset``, ``pos``). Instructions for pages imply fetching and stripping them.
     """
-    chosen = select_hits(hits, spec.max_results, spec.exclude_urls, spec.own_hosts, order)
+    chosen = materialize(select_hits(hits, spec.max_results, spec.exclude_urls, spec.own_hosts, order), "hits")
     get = spec.get_content or bool(spec.instructions)
     strip = spec.strip or (bool(spec.instructions) and not spec.get_content)
     if not get:
@@ -34,7 +41,9 @@ def web_search(
         return section.select("query", F.lit(0).alias("ord"), "out")
     section = search_section(spark, queries, chosen, spec.provider)
     if not spec.instructions or build_model is None:
-        return search_then_get(spark, queries, chosen, pages, strip, spec.provider)
+        blocks = page_get(chosen.select("query", F.col("rank").alias("ord"), "url"), pages, strip)
+        head = section.select("query", F.lit(0).alias("ord"), "out")
+        return head.unionByName(blocks.select("query", "ord", "out"))
     requests = chosen.select("query", F.col("rank").alias("ord"), "url")
     blocks = page_get(requests, pages, strip)
     texts = F.transform(
@@ -46,6 +55,28 @@ def web_search(
     return head.unionByName(answered.select("query", "ord", "out"))
 
 
-def web_get(requests: DataFrame, pages: DataFrame, strip: bool = False, key: str = "request") -> DataFrame:
-    """Blocks of requested pages, for request lists without a bad URL."""
-    return page_get(accepted_requests(requests, key), pages, strip)
+def web_get(
+    requests: DataFrame,
+    pages: DataFrame,
+    strip: bool = False,
+    key: str = "request",
+    instructions: Sequence[Instruction] = (),
+    build_model: Callable[[], Model] | None = None,
+    **options,
+) -> DataFrame:
+    """Blocks of requested pages, for request lists without a bad URL; instructions apply as their criteria say."""
+    blocks = page_get(accepted_requests(requests, key), pages, strip)
+    if not instructions or build_model is None:
+        return blocks
+    texts = F.transform(instructions_for_page(F.col("url"), instructions), lambda i: i["instruction"])
+    return apply_instructions(blocks, "out", texts, build_model, **options)
+
+
+def web_get_report(requests: DataFrame, pages: DataFrame, key: str = "request", **options) -> DataFrame:
+    """Report rows ``(key, ord, out)`` of all request lists.
+
+    A list with a bad URL has its message instead of pages: a line for each bad one, below a heading with a null
+    ``ord`` if there are several.
+    """
+    messages = invalid_requests(requests, key).withColumnRenamed("line", "out")
+    return messages.unionByName(web_get(requests, pages, key=key, **options).select(key, "ord", "out"))

@@ -42,6 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers show it: with its scheme and host, absolute, without dots."""
+    jvm = spark.sparkContext._jvm
+    named = jvm.org.apache.hadoop.fs.Path(path)
+    system = named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(named).toString()
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused folder below the shared one."""
     return f"{shared_folder(spark)}/marginalia/{purpose}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import extension, relative_path
 from ..functions.patterns import any_glob
+from ..session import qualified
 
 # Leading bytes (hex) and file suffixes of image types.
 IMAGE_MAGIC = (("FFD8FF", "image/jpg"), ("89504E47", "image/png"), ("474946", "image/gif"), ("424D", "image/bmp"))
@@ -24,7 +26,8 @@ IMAGE_SUFFIX = (
 def scan_files(spark: SparkSession, root: str, globs: Sequence[str] = ("**",)) -> DataFrame:
     """All files below ``root`` that a glob takes: ``path`` (relative), ``modified``, ``length``, ``content``.
 
-    Plans that use names only never read ``content``; filters on ``length`` and ``modified`` reach the scan.
+    The root may be spelt in any way its file system takes (relative, with or without scheme and host). Plans that
+    use names only never read ``content``; filters on ``length`` and ``modified`` reach the scan.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -32,7 +35,7 @@ def scan_files(spark: SparkSession, root: str, globs: Sequence[str] = ("**",)) -
         .option("ignoreMissingFiles", "true")
         .load(root)
     )
-    base = root.rstrip("/").removeprefix("file://")
+    base = re.sub("^file:/+", "/", qualified(spark, root)).rstrip("/")
     plain = F.regexp_replace("path", "^file:/+", "/")
     files = raw.select(
         relative_path(plain, base).alias("path"),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from marginalia.catalog import inputs
 from marginalia.functions import markdown, paths
 from marginalia.operators import sinks
+from marginalia.operators.report import combined_output
+from marginalia.operators.select import select_files
 from marginalia.plans.find_files import find_files
 from marginalia.sources import files as sources
 from marginalia.spec import FileSpec, LineSpec
@@ -140,12 +142,32 @@ def test_combined_report_reads_in_order(spark, tmp_path):
     rows = [(i, f"item {i}\nmore") for i in range(500)]
     items = spark.createDataFrame(rows, "ord int, out string").repartition(6)
     want = "\n".join(out for _, out in rows) + "\n"
-    for single in (False, True):
-        target = str(tmp_path / f"report{single}")
-        sinks.save_combined(items, target, ["ord"], single_file=single)
-        parts = sorted(glob.glob(target + "/part-*"))
-        assert "".join(open(p).read() for p in parts) == want
-        assert (len(parts) == 1) == single or not single
+    target = str(tmp_path / "report")
+    sinks.save_combined(items, target, ["ord"])
+    assert "".join(open(p).read() for p in sorted(glob.glob(target + "/part-*"))) == want
+
+
+@pytest.mark.parametrize("spell", ["{}", "{}/", "file:{}", "file://{}", "file://{}/", "{}/../tree", "relative"])
+def test_roots_of_any_spelling(spark, tree, spell):
+    root = os.path.relpath(tree) if spell == "relative" else spell.format(tree)
+    rows = sources.scan_files(spark, root, ["sub/**"]).select("path").collect()
+    assert sorted(r["path"] for r in rows) == ["sub/b.txt", "sub/c.bin", "sub/d.docx"]
+
+
+def test_binary_files_take_content_tests(spark, tree):
+    files = sources.read_files(spark, tree)
+    chosen = lambda **spec: sorted(r["path"] for r in select_files(files, FileSpec(**spec)).collect())
+    assert chosen(not_contains=("nothing here",)) == ["a.md", "sub/b.txt", "sub/c.bin", "sub/d.docx"]
+    assert chosen(contains=("zip",)) == ["sub/d.docx"]
+    assert chosen(contains=("b",), not_contains=("zip",)) == ["sub/c.bin"]
+
+
+def test_pieces_are_bounded_by_bytes(spark):
+    rows = [("r", i // 7, f"{i:03d} " + "x" * (3000 if i % 50 == 0 else 5)) for i in range(400)]
+    items = spark.createDataFrame(rows, "report string, ord long, out string").repartition(5)
+    pieces = combined_output(items, ["report"], part_bytes=1000, slice_items=20).orderBy("part", "piece").collect()
+    assert "\n".join(p["text"] for p in pieces) == "\n".join(out for _, _, out in rows)
+    assert len(pieces) > 10 and max(len(p["text"]) for p in pieces) < 1000 + 3010
 
 
 def test_history(spark, tmp_path):

@@ -1,4 +1,3 @@
-import glob
 import re
 import sys
 
@@ -80,11 +79,24 @@ def test_python_and_column_prompts_agree(spark):
 def test_report_of_any_size(spark):
     rows = [("small", 1, "b"), ("small", 0, "a"), *(("large", i, f"line {i} ````") for i in range(200))]
     frame = spark.createDataFrame(rows, "report string, ord long, out string").repartition(5)
-    got = {r["report"]: r["out"] for r in model.report_instruction(frame, "report", ["sum"], echo_model, max_chars=100).collect()}
+    got = {r["report"]: r["out"] for r in model.report_instruction(frame, "report", ["sum"], echo_model).collect()}
     assert got["small"] == "[sum:a\nb]"
-    folder = re.fullmatch(r"\[sum:\{@(.*)\}\]", got["large"]).group(1)
-    text = "".join(open(p).read() for p in sorted(glob.glob(folder + "/part-*")))
-    assert text == "".join(f"line {i} ````\n" for i in range(200))
+    assert got["large"] == "[sum:" + "\n".join(f"line {i} ````" for i in range(200)) + "]"
+
+
+def test_calls_are_spread_over_tasks(spark):
+    def place_model():
+        from pyspark import TaskContext
+
+        return lambda system, user: str(TaskContext.get().partitionId())
+
+    rows = spark.range(0, 1000, 1, 1).select("id", F.col("id").cast("string").alias("text"))
+    done = model.instruction_chain(rows, "text", ["go"], place_model, parallelism=12)
+    assert done.select("out").distinct().count() == 12
+    some = F.when(F.col("id") % 2 == 0, F.array(F.lit("go"))).otherwise(F.expr("cast(array() as array<string>)"))
+    got = {r["id"]: r["out"] for r in model.apply_instructions(rows, "text", some, place_model, parallelism=8).collect()}
+    assert len(got) == 1000 and all(got[i] == str(i) for i in range(1, 1000, 2))
+    assert len({got[i] for i in range(0, 1000, 2)}) == 8
 
 
 @pytest.mark.parametrize(

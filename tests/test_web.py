@@ -145,10 +145,62 @@ def test_responses_of_both_shapes(spark):
     assert [r["url"] for r in hits.orderBy("offset", "pos").collect()] == ["u1", "u2", "u3"]
 
 
-def test_very_many_hits_are_numbered_in_slices(spark):
+def test_very_many_hits_are_ranked(spark):
     hits = spark.range(0, 300000, 1, 8).select(F.lit("q").alias("query"), F.col("id").alias("pos"))
     top = search.top_n_per_query(hits, 150000)
     got = top.agg(F.count("rank").alias("n"), F.max("rank").alias("r"), F.max("pos").alias("p")).first()
     assert tuple(got) == (150000, 150000, 149999)
-    plan = top._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(__slice" in plan
+    named = hits.withColumn("pos", F.lpad(F.col("pos").cast("string"), 9, "0"))
+    for n in (3, 2000):
+        got = [(r["rank"], int(r["pos"])) for r in search.top_n_per_query(named, n).orderBy("rank").collect()]
+        assert got == [(i + 1, i) for i in range(n)]
+
+
+def test_few_urls_leave_the_page_table_unshuffled(spark, tmp_path):
+    spark.range(20000).select(F.concat(F.lit("http://h/"), "id").alias("url"), F.repeat(F.lit("<p>x"), 50).alias("html")).write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    asked = spark.createDataFrame([(i, f"http://h/{i * 3000}") for i in range(10)], "ord int, url string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        got = search.page_get(asked, pages)
+        assert sorted((r["ord"], r["status"]) for r in got.collect()) == [(i, "ok" if i < 7 else "error") for i in range(10)]
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        above = plan.split("FileScan parquet [url")[0]
+        lines = plan.split("\n")
+        scan = next(i for i, line in enumerate(lines) if "html" in line and "FileScan" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        climb, at = [], depth(lines[scan])
+        for line in reversed(lines[:scan]):
+            if depth(line) < at:
+                climb.append(line)
+                at = depth(line)
+        joins = [i for i, line in enumerate(climb) if "Join" in line]
+        assert "BroadcastHashJoin" in climb[joins[0]] and not any("Exchange" in line for line in climb[: joins[0]]) and above
+        many = spark.range(20000).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("http://h/"), "id").alias("url"))
+        assert search.page_get(many, pages).filter("status = 'ok'").count() == 20000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_boundaries_of_tags_and_attributes(spark):
+    html = (
+        "x<script-loader>keep</script-loader>y<script>a</script><styled-box>z</styled-box><!-- <title>no</title> -->"
+        "<svg><title>drawing</title></svg><title>Yes</title><a-card href='no'>c</a-card><a data-href='no' href='one'>1</a>"
+        "<a title='a > b' href=two>2</a><a rel=x/href='no'>3</a><a\nhref = \"three\">4</a><abbr href='no'>"
+    )
+    assert one(spark, html, htmltext.inner_text) == "xkeepyzdrawingYesc1234"
+    assert one(spark, html, htmltext.page_title) == "Yes"
+    assert one(spark, html, htmltext.page_links) == ["one", "two", "three"]
+
+
+def test_numeric_entities_with_leading_zeros(spark):
+    assert one(spark, "&#0000000000065;&#x000000041;&#X0041;&#00000000000000000001114112;", htmltext.decode_entities) == (
+        "AAA&#00000000000000000001114112;"
+    )
+
+
+def test_rate_limit_notices_are_errors(spark):
+    pages = spark.createDataFrame([("http://a", "Rate limit is exceeded. Try again in 7 seconds.")], "url string, html string")
+    row = search.page_get(spark.createDataFrame([(0, "http://a")], "ord int, url string"), pages).first()
+    assert row["status"] == "limited" and row["out"].startswith("## Error fetching http://a\n\nrate limit notice")
