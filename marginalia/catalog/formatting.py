@@ -9,6 +9,7 @@ from ..operators.names import unique_slug as distinct_names
 from ..operators.report import combined_output as combine
 from ..operators.report import union_commands as union_all
 from ..plans.find_files import file_blocks, find_files
+from ..plans.find_files import find_files_report as find_all
 from ..plans.run_log import run_blocks, run_report as combined_runs
 from ..spec import FileSpec, LineSpec
 from . import inputs
@@ -270,3 +271,48 @@ FROM chosen LEFT JOIN joined USING (doc_id)"""
 )
 def find_files_report(spark, sf_dir):
     return find_files(inputs.files(spark, sf_dir), REPORT_SPEC, F.timestamp_seconds(F.lit(NOW))).select("path", "out")
+
+
+@query(
+    f"""WITH {_VRUN}, failed AS (
+  SELECT run_id, CASE WHEN run_id % 10 = 3 THEN '## Error executing command: ' || script || chr(10) || chr(10) || 'no shell for ' || event_type || chr(10) ELSE out END AS out
+  FROM blocks JOIN vcmd USING (run_id, event_type))
+SELECT run_id, out FROM failed"""
+)
+def run_errors(spark, sf_dir):
+    """Commands of which some could not be run at all."""
+    error = F.when(F.col("run_id") % 10 == 3, F.concat(F.lit("no shell for "), "event_type"))
+    return run_blocks(inputs.commands(spark, sf_dir).withColumn("error", error)).select("run_id", "out")
+
+
+@query(
+    f"""WITH {inputs.VFILES}, shown AS (SELECT doc_id % 3 AS report, doc_id // 4 AS ord, path || ': ' || text AS out FROM vfiles),
+sized AS (SELECT *, ord // 40 AS part, coalesce(sum(strlen(out) + 1) OVER (
+  PARTITION BY report, ord // 40 ORDER BY ord, out ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM shown)
+SELECT report, part, (before // 20000)::BIGINT AS piece, string_agg(out, chr(10) ORDER BY ord, out) AS text FROM sized GROUP BY ALL"""
+)
+def report_pieces(spark, sf_dir):
+    """Reports with repeated ordinals, in pieces by bytes."""
+    items = inputs.files(spark, sf_dir).select(
+        (F.col("doc_id") % 3).alias("report"), F.expr("doc_id div 4").alias("ord"), F.concat("path", F.lit(": "), "text").alias("out")
+    )
+    return combine(items, ["report"], part_bytes=20000, slice_items=40)
+
+
+NOTICE_SPECS = (
+    FileSpec(globs=("**/en/*.md",), contains=("the",)),
+    FileSpec(globs=("**/*.md", "**/*.py"), contains=("no such words anywhere",)),
+    FileSpec(globs=("lost/**",)),
+)
+
+
+@query(
+    f"""WITH {inputs.VFILES}
+SELECT 0 AS request, path, '## ' || path || {_FACTS} || '```' || {_LANG} || chr(10) || text || chr(10) || '```' || chr(10) AS out
+FROM vfiles WHERE path LIKE '%/en/%.md' AND contains(text, 'the')
+UNION ALL SELECT 1, NULL, '## Pattern: **/*.md **/*.py' || chr(10) || chr(10) || ' - No files matched criteria' || chr(10)
+UNION ALL SELECT 2, NULL, '## Pattern: lost/**' || chr(10) || chr(10) || ' - No files found' || chr(10)"""
+)
+def find_files_notices(spark, sf_dir):
+    """Several requests in one report, those without a file as notices."""
+    return find_all(inputs.files(spark, sf_dir), NOTICE_SPECS, F.timestamp_seconds(F.lit(NOW)))

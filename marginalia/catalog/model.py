@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import convert, model
+from ..plans.report import chained_report as chain
 from ..spec import Instruction
 from . import inputs
 from .registry import query
@@ -122,13 +123,64 @@ def report_instruction(spark, sf_dir):
     || chr(10) || chr(10) || 'STDERR: ' || event_type
   ELSE props END AS out FROM events"""
 )
-def retry_error(spark, sf_dir):
+def error_section(spark, sf_dir):
     event = F.col("event_id")
     error = F.when(event % 5 == 0, F.concat(F.lit("call "), "event_type", F.lit(" broke")))
     out = model.error_section(F.col("props"), (event % 3).cast("int"), error, F.col("event_type"))
     return inputs.table(spark, sf_dir, "events").select("event_id", out.alias("out"))
 
 
+def failing_model():
+    """Fails by content: at the first call of a prompt, at each call with a code, or by an exception."""
+    from ..operators.model import Reply
+
+    seen = set()
+
+    def ask(system, user):
+        if "kind 1" in user and user not in seen:
+            seen.add(user)
+            return Reply("half", 1, "again")
+        if "kind 2" in user:
+            return Reply("partly", 7, "broken pipe")
+        if "kind 3" in user:
+            raise RuntimeError("no line")
+        return "done"
+
+    return ask
+
+
+@query(
+    """SELECT event_id, CASE event_id % 4
+  WHEN 2 THEN 'partly' || chr(10) || chr(10) || '## Error Applying Instructions' || chr(10) || chr(10) || 'EXIT CODE: 7' || chr(10) || chr(10) || 'STDERR: broken pipe'
+  WHEN 3 THEN chr(10) || chr(10) || '## Error Applying Instructions' || chr(10) || chr(10) || 'EXIT CODE: 0' || chr(10) || chr(10) || 'ERROR: no line' || chr(10) || chr(10) || 'STDERR: '
+  ELSE 'done' END AS out FROM events"""
+)
+def retry_error(spark, sf_dir):
+    """A model that fails once, always or by an exception, through retries."""
+    kind = F.concat(F.lit("kind "), (F.col("event_id") % 4).cast("string"), F.lit(" of "), F.col("event_id").cast("string"))
+    events = inputs.table(spark, sf_dir, "events").select("event_id", kind.alias("text"))
+    return model.instruction_chain(events, "text", ["go"], failing_model).select("event_id", "out")
+
+
+@query(
+    f"""WITH {inputs.VFILES}, {inputs.VCMD}, rows AS (
+  SELECT 0 AS cmd, doc_id AS ord, path AS out FROM vfiles UNION ALL SELECT 1, run_id, script FROM vcmd UNION ALL SELECT 2, page_id, url FROM pages),
+whole AS (SELECT string_agg(out, chr(10) ORDER BY cmd, ord) AS content FROM rows)
+SELECT NULL::INT AS cmd, NULL::BIGINT AS part, NULL::BIGINT AS piece, {_digest_sql('content', "'Summarise it'")} AS text FROM whole"""
+)
+def chained_report(spark, sf_dir):
+    """One report over files, commands and pages, with an instruction on the whole."""
+    return chain(
+        [
+            inputs.files(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("path").alias("out")),
+            inputs.commands(spark, sf_dir).select(F.col("run_id").alias("ord"), F.col("script").alias("out")),
+            inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.col("url").alias("out")),
+        ],
+        ["Summarise it"],
+        digest_model,
+    )
+
+
 def _describe(path: str, content: bytes) -> str:
     return f"{path} holds {len(content)} bytes"
 

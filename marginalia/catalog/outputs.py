@@ -53,6 +53,19 @@ def save_pages(spark, sf_dir):
     return spark.read.parquet(folder)
 
 
+@query(
+    """WITH named AS (SELECT page_id, url, html, trim(regexp_replace(regexp_replace(url, '^https?://|#.*$', '', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '-') AS slug FROM pages),
+placed AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY md5(url), page_id) AS n FROM named)
+SELECT 'web-pages/' || slug || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '-output.md' AS out_path, html AS content FROM placed"""
+)
+def save_page_outputs(spark, sf_dir):
+    """Page outputs under a template of the page's name."""
+    folder = work_folder(spark, "page-outputs")
+    pages = inputs.table(spark, sf_dir, "pages")
+    sinks.save_pages(pages, folder, F.col("html"), template=sinks.PAGE_TEMPLATE, timestamp=STAMP, time=TIME)
+    return spark.read.parquet(folder)
+
+
 def _arriving(spark, sf_dir):
     schema = inputs.table(spark, sf_dir, "documents").schema
     documents = grep.read_documents(spark, sf_dir, schema, "documents.parquet")

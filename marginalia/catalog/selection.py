@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import select
+from ..functions.patterns import line_hit
+from ..operators import select, sinks
 from ..sources import files as sources
+from ..session import work_folder
 from ..spec import FileSpec
 from . import inputs
 from .registry import query
@@ -20,9 +22,42 @@ _GLOB_ORD = """CASE WHEN regexp_full_match(path, '(?i)([^/]*/)*en/[^/]*\\.md') T
   WHEN regexp_full_match(path, '(?i)([^/]*/)*[^/]*\\.py') THEN 3 END"""
 
 
-@query()
+@query(
+    f"""WITH {inputs.VFILES}
+SELECT path, length, text FROM vfiles WHERE path LIKE '%/en/%.md' OR path LIKE 'src1/%'"""
+)
 def scan_files(spark, sf_dir):
-    return sources.scan_files(spark, sf_dir, ("**/*.parquet",)).select("path", "length")
+    """Documents written as files of their own and scanned again."""
+    folder = work_folder(spark, "files")
+    items = inputs.files(spark, sf_dir).select(F.col("path").alias("out_path"), F.col("text").alias("content"))
+    sinks.save_per_item(items, folder, as_files=True)
+    return sources.read_files(spark, folder, ("**/en/*.md", "src1/**")).select("path", "length", "text")
+
+
+@query(
+    """SELECT doc_id, list_count(list_filter(string_split(text, chr(10)), lambda l: contains(l, 'The') AND regexp_matches(l, 't[b-df-hj-np-tv-z]'))) AS hits
+FROM documents WHERE contains(text, 'The') AND regexp_matches(text, 'n[b-df-hj-np-tv-z][aeiou]')"""
+)
+def escaped_patterns(spark, sf_dir):
+    """Patterns with code points and class subtraction, for files and for lines."""
+    docs = inputs.table(spark, sf_dir, "documents")
+    chosen = select.file_contains_all(docs, [r"\x54he", "n[a-z-[aeiou]][aeiou]"])
+    hits = F.filter(F.split("text", "\n", -1), lambda line: line_hit(line, [r"\u0054he", "t[a-z-[aeiou]]"], ()))
+    return chosen.select("doc_id", F.size(hits).cast("bigint").alias("hits"))
+
+
+@query(
+    """SELECT doc_id FROM documents WHERE contains(text, 'the') AND NOT contains(text || CASE WHEN doc_id % 3 = 0 THEN 'zq' || chr(0) ELSE '' END, 'zq')
+UNION ALL SELECT doc_id FROM documents WHERE (doc_id % 3 = 0 OR contains(text, 'zq')) AND regexp_matches(text, '[Tt]he ')"""
+)
+def binary_content_tests(spark, sf_dir):
+    """A third of the files are binary: their bytes pass or fail both kinds of content test."""
+    odd = F.col("doc_id") % 3 == 0
+    content = F.when(odd, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("7A7100")))).otherwise(F.encode("text", "UTF-8"))
+    files = inputs.files(spark, sf_dir).select("doc_id", "path", F.when(~odd, F.col("text")).alias("text"), content.alias("content"))
+    without = select.select_files(files, FileSpec(contains=("the",), not_contains=("zq",)))
+    with_both = select.select_files(files, FileSpec(contains=("[Tt]he ", "zq")))
+    return without.select("doc_id").unionByName(with_both.select("doc_id"))
 
 
 @query(f"WITH {inputs.VFILES} SELECT doc_id, path FROM vfiles WHERE path LIKE '%/en/%.md'")

@@ -9,8 +9,10 @@ from ..functions.markdown import page_block as block
 from ..functions.markdown import page_error_block
 from ..operators import search
 from ..plans.web import web_get, web_search
-from ..spec import SearchSpec
+from ..plans.web import web_get_report as web_get_all
+from ..spec import Instruction, SearchSpec
 from . import inputs
+from .model import _digest_sql, digest_model
 from .registry import query
 
 _ENTITIES = (
@@ -267,3 +269,63 @@ def web_search_report(spark, sf_dir):
     spec = SearchSpec(max_results=5, exclude_urls=("(?i)SPAM",), get_content=True, strip=True)
     hits = inputs.searched(spark, sf_dir)
     return web_search(spark, inputs.TERM_QUERIES, hits, _pages(spark, sf_dir), spec, order=["page_id"])
+
+
+_EDGES = (
+    "<body><script-loader>keep</script-loader><!-- <title>no</title><a href='no'>n</a> --><svg><title>drawn</title></svg>"
+    "<title>Page &#0000000000065;&#x00041;</title><a-card href='no'>c</a-card><a data-href='no' href='one'>1</a>"
+    "<a title='a > b' href='two'>2</a></body>"
+)
+
+
+@query(
+    f"""WITH lined AS (SELECT page_id, regexp_replace(html, '(?is)<title[^>]*>.*?</title>', '') AS html FROM pages),
+body AS (SELECT page_id, {_INNER} AS t, html FROM lined),
+found AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '<script[^>]*>.*?</script>|<!--.*?-->', '', 'gis'), '<a\\s[^>]*href="([^"]*)"', 1) AS l FROM lined)
+SELECT page_id, 'Page AA' AS title, 'keepdrawnPage AAc12' || {_decoded('t')} AS text, len(l) + 2 AS n_links FROM body JOIN found USING (page_id)"""
+)
+def html_edges(spark, sf_dir):
+    """Pages with custom tags, hidden titles, attributes that only look like links, and padded entities."""
+    html = F.concat(F.lit(_EDGES), F.regexp_replace("html", "(?is)<title[^>]*>.*?</title>", ""))
+    text = htmltext.decode_entities(htmltext.inner_text(html))
+    return _pages(spark, sf_dir).select(
+        "page_id", htmltext.page_title(html).alias("title"), text.alias("text"), F.size(htmltext.page_links(html)).cast("bigint").alias("n_links")
+    )
+
+
+@query(
+    f"""WITH {inputs.VHITS}, firsts AS (SELECT query, url FROM vhits GROUP BY query, url)
+SELECT query, url, row_number() OVER (PARTITION BY query ORDER BY url)::INT AS rank FROM firsts QUALIFY rank <= 1500"""
+)
+def top_many_by_name(spark, sf_dir):
+    """More hits per query than a window limit takes, ordered by a string."""
+    hits = inputs.hits(spark, sf_dir).select("query", "url").distinct()
+    return search.top_n_per_query(hits, 1500, ["url"])
+
+
+@query(
+    f"""WITH {inputs.VREQUESTS}, {_STRIPPED},
+bad AS (SELECT *, count(*) OVER (PARTITION BY request) AS n FROM vrequests WHERE NOT starts_with(url, 'http')),
+good AS (SELECT * FROM vrequests WHERE request NOT IN (SELECT request FROM bad)),
+blocks AS (SELECT request, ord, url, {_block_sql('text')} AS out FROM good JOIN pages USING (url) JOIN collapsed USING (page_id))
+SELECT request, ord, CASE WHEN contains(url, '.example.net') THEN {_digest_sql('out', "'Find the author'", "repeat('`', 7)")} ELSE out END AS out FROM blocks
+UNION ALL SELECT request, ord, CASE WHEN n = 1 THEN 'Invalid URL: ' || url ELSE '  ' || url END FROM bad
+UNION ALL SELECT DISTINCT request, NULL::BIGINT, 'Invalid URLs:' FROM bad WHERE n > 1"""
+)
+def web_get_messages(spark, sf_dir):
+    """Requested pages with an instruction for some sites, and the messages of rejected lists."""
+    rules = (Instruction("Find the author", "example.net"),)
+    asked = inputs.requests(spark, sf_dir)
+    return web_get_all(asked, _pages(spark, sf_dir), strip=True, instructions=rules, build_model=digest_model)
+
+
+@query(
+    f"""WITH {_STRIPPED}, lowered AS (SELECT page_id, lower(text) AS body FROM collapsed),
+terms AS (SELECT query, unnest(string_split(lower(query), ' ')) AS term
+  FROM (VALUES ('Nation the'), ('le de'), ('der die das'), ('no such words anywhere')) q(query))
+SELECT query, page_id, url FROM pages JOIN lowered USING (page_id), terms GROUP BY query, page_id, url HAVING bool_and(contains(body, term))"""
+)
+def text_search(spark, sf_dir):
+    """Terms in the text of pages, where tags and attributes are no hits."""
+    pages = _pages(spark, sf_dir).withColumn("text", htmltext.strip_html(F.col("html")))
+    return search.corpus_search(pages, inputs.TERM_QUERIES, "text")

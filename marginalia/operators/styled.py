@@ -25,8 +25,19 @@ def ordered_array(order: Sequence[str], value: Column) -> Column:
 
 
 def with_links(runs: DataFrame, links: DataFrame) -> DataFrame:
-    """Look up link targets; an unknown link id leaves ``uri`` null."""
-    return runs.join(links.select("doc_id", "link_id", "uri"), ["doc_id", "link_id"], "left")
+    """Look up link targets; an unknown link id leaves ``uri`` null.
+
+    Only runs with a link id meet the links; all others pass by without a shuffle.
+    """
+    linked = runs.filter(F.col("link_id").isNotNull()).join(links.select("doc_id", "link_id", "uri"), ["doc_id", "link_id"], "left")
+    others = runs.filter(F.col("link_id").isNull()).withColumn("uri", F.lit(None).cast(links.schema["uri"].dataType))
+    return linked.unionByName(others)
+
+
+def first_defined(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row per key with its first value: by the column ``ord`` if there is one, else the smallest."""
+    order = "ord" if "ord" in rows.columns else value
+    return rows.groupBy(*keys).agg(F.min_by(value, order).alias(value))
 
 
 def list_kind(
@@ -34,11 +45,16 @@ def list_kind(
 ) -> DataFrame:
     """Resolve numbering ids to ``bullet``, ``numbered`` or ``none`` through the level 0 format.
 
-    ``keys`` names the columns that tell documents apart when each has its own definitions.
+    ``keys`` names the columns that tell documents apart when each has its own definitions. Of repeated
+    definitions the first counts (see ``first_defined``), so paragraphs never multiply. Paragraphs without a
+    numbering id take no part in the join.
     """
-    level0 = abstract_numbering.filter(F.col("level") == 0).select(*keys, "abstract_id", "fmt")
-    formats = numbering.join(level0, [*keys, "abstract_id"], "left").select(*keys, "num_id", "fmt")
-    joined = paragraphs.join(formats, [*keys, "num_id"], "left")
+    level0 = first_defined(abstract_numbering.filter(F.col("level") == 0), [*keys, "abstract_id"], "fmt")
+    numbers = first_defined(numbering.filter(F.col("num_id").isNotNull()), [*keys, "num_id"], "abstract_id")
+    formats = numbers.join(level0, [*keys, "abstract_id"], "left").select(*keys, "num_id", "fmt")
+    numbered_ones = paragraphs.filter(F.col("num_id").isNotNull()).join(formats, [*keys, "num_id"], "left")
+    others = paragraphs.filter(F.col("num_id").isNull()).withColumn("fmt", F.lit(None).cast("string"))
+    joined = numbered_ones.unionByName(others)
     kind = (
         F.when(F.col("num_id").isNull(), "none").when(F.col("fmt") == "bullet", "bullet").otherwise("numbered")
     )
