@@ -59,12 +59,17 @@ WHITE_RUN = r"(?=[\t-\r \x85\xA0]|[^\x00-\xFF])([\t-\r \x85\xA0\u1680\u2000-\u20
 
 
 def trim_end(text: Column) -> Column:
-    """Without trailing white space of any kind."""
-    return F.rtrim(text, F.lit(WHITE_SPACE))
+    """Without trailing white space of any kind.
+
+    Plain spaces are trimmed first, which is cheap; the whole class is tried only where white space is left.
+    """
+    bare = F.rtrim(text)
+    return F.when(F.lit(WHITE_SPACE).contains(F.right(bare, F.lit(1))), F.rtrim(text, F.lit(WHITE_SPACE))).otherwise(bare)
 
 
 def trim_start(text: Column) -> Column:
-    return F.ltrim(text, F.lit(WHITE_SPACE))
+    bare = F.ltrim(text)
+    return F.when(F.lit(WHITE_SPACE).contains(F.left(bare, F.lit(1))), F.ltrim(text, F.lit(WHITE_SPACE))).otherwise(bare)
 
 
 def is_blank(text: Column) -> Column:
