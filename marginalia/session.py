@@ -56,7 +56,13 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def materialize(rows: DataFrame, purpose: str) -> DataFrame:
-    """Write rows to the shared folder and read them back, so that later passes do not recompute them."""
-    folder = work_folder(rows.sparkSession, purpose)
+    """Write rows to the shared folder and read them back, so that later passes do not recompute them.
+
+    The copy is deleted when the driver ends, as what reads it may be evaluated any time before.
+    """
+    spark = rows.sparkSession
+    folder = work_folder(spark, purpose)
     rows.write.parquet(folder)
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(named)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
