@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sinks
-from ..session import work_folder
+from ..session import is_folder, work_folder
 from ..spec import LineSpec
 from ..streaming import grep
 from . import inputs
@@ -68,7 +68,11 @@ def save_page_outputs(spark, sf_dir):
 
 def _arriving(spark, sf_dir):
     schema = inputs.table(spark, sf_dir, "documents").schema
-    documents = grep.read_documents(spark, sf_dir, schema, "documents.parquet")
+    table = f"{sf_dir}/documents.parquet"  # one file, or a folder of files
+    if is_folder(spark, table):
+        documents = grep.read_documents(spark, table, schema)
+    else:
+        documents = grep.read_documents(spark, sf_dir, schema, "documents.parquet")
     return documents.withColumn("path", inputs.doc_path(("txt",)))
 
 

@@ -50,6 +50,11 @@ def qualified(spark: SparkSession, path: str) -> str:
     return system.makeQualified(named).toString()
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(named).isDirectory()
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused folder below the shared one."""
     return f"{shared_folder(spark)}/marginalia/{purpose}-{uuid.uuid4().hex}"
