@@ -146,17 +146,19 @@ def judge(docs: DataFrame, text: str, host: str, carry: Column, spec: RuleSpec =
     have no words and fail; repeated rows are documents of their own; an empty table gives no rows.
 
     The measures are written once to the shared folder and read twice, so texts are read once. Documents are counted
-    per host before any shuffle, and verdicts are joined on the host: Spark broadcasts them if they are few and splits
-    a hot host's documents otherwise.
+    per host before any shuffle. The counts are written too, so their size is known when the verdicts are joined on the
+    host: Spark broadcasts them while they are few, and what ``carry`` holds is then not shuffled; it splits a hot
+    host's documents otherwise.
     """
     rows = materialize(
         measured(docs, text, host, carry).withColumns({"base_failed": base_failed(spec), "failed": any_failed(spec)}),
         "measures",
     )
-    counted = (
+    counted = materialize(
         rows.filter(F.col("host").isNotNull())
         .groupBy("host")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("bigint")).alias("n_failed"))
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("bigint")).alias("n_failed")),
+        "hosts",
     )
     mean, strength = beta_prior(counted)
     rate = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
