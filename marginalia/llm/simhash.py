@@ -266,6 +266,8 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     kept = materialize(
         judged.filter(F.col("component") == F.col(key)).groupBy(F.col(key).alias("kept_key")).agg(F.count(F.lit(1)).alias("n")), "kept"
     )
-    once = docs.join(kept.filter("n = 1"), F.col(key) == F.col("kept_key"), "left_semi")
-    repeated = docs.join(kept.filter("n > 1"), F.col(key) == F.col("kept_key"), "left_semi").dropDuplicates([key])
+    # The kept keys grow with the documents, so they are never broadcast, whatever their number.
+    same = F.col(key) == F.col("kept_key")
+    once = docs.join(kept.filter("n = 1").hint("merge"), same, "left_semi")
+    repeated = docs.join(kept.filter("n > 1").hint("merge"), same, "left_semi").dropDuplicates([key])
     return once.union(repeated).union(docs.filter(F.col(key).isNull()))
