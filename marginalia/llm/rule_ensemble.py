@@ -114,7 +114,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> RuleMo
     """
     known = labelled.filter(F.col(label).isin(0, 1))
     rows = statistics(known, text, F.col(label).cast("double")).withColumnRenamed("row", "label")
-    rows = materialize(rows.coalesce(SAMPLE_PARTITIONS), "statistics")
+    # The sample is dealt anew, as a few partitions serve the training and the scan must keep its own; sorted, so reruns agree.
+    dealt = rows.repartition(SAMPLE_PARTITIONS, F.xxhash64(*STATISTICS)).sortWithinPartitions(*STATISTICS, "label")
+    rows = materialize(dealt, "statistics")
     n, good = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     share = (good + 1) / (n + 2)
     if good in (0, n):
