@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
@@ -19,7 +20,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHU
     What a task holds of a batch besides Spark's own copy then does not follow the number of rows in it.
     """
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = held = 0
         for row, size in enumerate(sizes):
             if row > start and held + size > limit:

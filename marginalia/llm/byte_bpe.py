@@ -23,6 +23,7 @@ from .batches import Memo, free_name, shared_state, text_chunks
 from .pieces import piece_finder
 
 MAX_RANK_FILE = 64 << 20
+MEMO_PAIRS = 1 << 19
 
 
 class RankError(ValueError):
@@ -127,6 +128,8 @@ class Encoder:
             else:
                 good = fits.get(pair := last * base + token)
                 if good is None:
+                    if len(fits) >= MEMO_PAIRS:
+                        fits.clear()
                     good = fits[pair] = self._go_together(last, token)
             if good:
                 found.append(token)

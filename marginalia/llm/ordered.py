@@ -21,13 +21,11 @@ def running_sum(rows: DataFrame, order: Sequence[str], value: Column, name: str)
     """
     dealt = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).withColumn("__value", value)
     kept = materialize(dealt, "ranges")
-    totals = kept.groupBy("__part").agg(F.sum("__value").alias("n")).collect()
-    before, start = {}, 0
-    for part, n in sorted(map(tuple, totals)):
-        before[part] = start
-        start += n
-    base = F.lit(0)
-    if before:
-        base = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__part"))
+    totals = dict(map(tuple, kept.groupBy("__part").agg(F.sum("__value").alias("n")).collect()))
+    before, start = [], 0
+    for part in range(max(totals, default=0) + 1):
+        before.append(F.lit(start).cast("bigint"))
+        start += totals.get(part, 0)
+    base = F.get(F.array(*before), F.col("__part"))
     own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return kept.withColumn(name, (F.sum("__value").over(own) + base).cast("bigint")).drop("__part", "__value")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,7 +105,7 @@ def _best(query: pa.Table, cell: pa.Table, k: int, top: float, pivot: np.ndarray
     cell = cell.sort_by([("far", "ascending"), ("id", "ascending")])
     vectors, ids, far = _matrix(cell["vector"]), cell["id"].to_numpy(), cell["far"].to_numpy()
     asked, names = _matrix(query["vector"]), query["id"].to_numpy()
-    bound = pa.compute.fill_null(query["bound"], NONE).to_numpy().copy()
+    bound = pc.fill_null(query["bound"], NONE).to_numpy().copy()
     starts = np.arange(0, len(ids), ANNULUS)
     ends = np.minimum(starts + ANNULUS, len(ids))
     distance, length = _pivot_distance(asked, pivot[None, :])
@@ -156,7 +157,7 @@ def _routed(queries: DataFrame, cells: dict[int, tuple[int, float, float]], pivo
         for batch in batches:
             if batch.num_rows:
                 distance, length = _pivot_distance(_matrix(batch.column("vector")), pivots[number])
-                bound = pa.compute.fill_null(batch.column("bound"), NONE).to_numpy()
+                bound = pc.fill_null(batch.column("bound"), NONE).to_numpy()
                 going = _most(distance, length[:, None], inner[None, :], outer[None, :], top) >= bound[:, None]
                 wanted = pa.array([number[row].tolist() for row in going], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, wanted], [*batch.schema.names, "cells"])
