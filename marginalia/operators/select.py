@@ -12,7 +12,6 @@ from ..functions.patterns import (
     any_glob,
     glob_match,
     ignore_exclusions,
-    matches,
     matches_all,
     matches_any,
     split_exclusions,

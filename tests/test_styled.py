@@ -144,3 +144,11 @@ def test_list_kinds_per_document(spark):
     levels = spark.createDataFrame([("a", 10, 0, "decimal"), ("b", 10, 0, "bullet")], "doc_id string, abstract_id int, level int, fmt string")
     got = {r["doc_id"]: r["list_kind"] for r in styled.list_kind(paragraphs, numbering, levels, ["doc_id"]).collect()}
     assert got == {"a": "numbered", "b": "bullet", "c": "numbered"}
+
+
+def test_repeated_definitions_do_not_multiply_paragraphs(spark):
+    paragraphs = spark.createDataFrame([(1, 5), (2, None), (3, 6), (4, 9)], "para int, num_id int")
+    numbering = spark.createDataFrame([(5, 1, 0), (5, 2, 1), (6, 2, 0), (None, 1, 0)], "num_id int, abstract_id int, ord int")
+    levels = spark.createDataFrame([(1, 0, "bullet"), (1, 0, "bullet"), (2, 0, "decimal"), (2, 1, "bullet")], "abstract_id int, level int, fmt string")
+    got = [(r["para"], r["list_kind"]) for r in styled.list_kind(paragraphs, numbering, levels).orderBy("para").collect()]
+    assert got == [(1, "bullet"), (2, "none"), (3, "numbered"), (4, "numbered")]
