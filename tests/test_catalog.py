@@ -31,7 +31,7 @@ def test_plans_stay_distributed(spark, sf_dir, name):
     assert not re.search(r"Window \[.*\], \[\](,|$)", plan)
     for line in plan.split("\n"):
         if "Exchange SinglePartition" in line:
-            assert name in {"no_match_notice", "wrap_decision"}
+            assert name in {"no_match_notice", "wrap_decision", "find_files_notices"}
     assert ("Python" in plan or "ArrowEval" in plan) == (name in PYTHON)
 
 
