@@ -20,6 +20,9 @@ _META = set("\\.^$|?*+()[]{}")
 _QUANTIFIER = re.compile(r"\{\d+(,\d*)?\}")
 _QUOTED_NAME = re.compile(r"(\(\?|\\k)'([A-Za-z][A-Za-z0-9]*)'")
 _PUNCTUATION = tuple("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+_WITH_OPERAND = re.compile(
+    r"\\(?:[pPx]\{[^}]*\}|[pP][A-Z]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|c[A-Za-z]|k<[A-Za-z0-9]+>|k'[A-Za-z0-9]+')"
+)
 _PLAIN_ESCAPES = tuple("dDwWsSbBAzZ")
 
 
@@ -105,8 +108,8 @@ def java_pattern(pattern: str) -> str:
 def required_text(pattern: str) -> str | None:
     """The longest plain text that every match of the pattern contains, if two characters of it are certain.
 
-    Groups, classes and optional characters promise nothing. Alternatives, inline flags and any escape but those
-    of punctuation and of plain classes and places make it give up, as an escape may take what follows it.
+    Groups, classes and optional characters promise nothing, nor do escapes with what belongs to them. Alternatives,
+    inline flags and all escapes that are not known here make it give up, as an escape may take what follows it.
     """
     if is_literal(pattern):
         return pattern
@@ -116,10 +119,11 @@ def required_text(pattern: str) -> str | None:
     while i < len(pattern):
         c, step = pattern[i], 1
         if c == "\\":
-            step = 2
+            operand = _WITH_OPERAND.match(pattern, i)
+            step = operand.end() - i if operand else 2
             c = pattern[i + 1 : i + 2]
             plain = c in _PUNCTUATION
-            if not plain and c not in _PLAIN_ESCAPES:
+            if not (operand or plain or c in _PLAIN_ESCAPES):
                 return None
         elif c == "[":
             step, plain = _read_class(pattern, i)[1] - i, False

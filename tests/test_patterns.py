@@ -52,10 +52,14 @@ def test_the_text_shortcut_never_changes_a_match(spark):
 
 
 @pytest.mark.parametrize(
-    "pattern", [r"\x41bc", r"\u0041bc", r"\012ab", r"\cAbc", r"(?<q>x)\k<q>ab", r"\p{L}ab\Qx\E", r"(?#note)ab", r"(a)\1bc"]
-)
-def test_escapes_that_take_operands_promise_nothing(pattern):
-    assert required_text(pattern) is None
+    "pattern, text",
+    [
+        (r"\x41bc", "bc"), (r"\u0041bc", "bc"), (r"\x{41}bc", "bc"), (r"\012ab", None), (r"\cAbc", "bc"), (r"(?<q>x)\k<q>ab", "ab"),
+        (r"\p{L}ab\Qx\E", None), (r"(?#note)ab", None), (r"(a)\1bc", None), (r"ab\pLcd?", "ab"),
+    ],
+)
+def test_operands_of_escapes_are_no_text(pattern, text):
+    assert required_text(pattern) == text
 
 
 def test_subtraction_and_quoted_names(spark):
