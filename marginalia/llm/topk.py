@@ -197,28 +197,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, pivot_count: int = PIVOT
     parts = F.get(F.array(*[F.lit(cells.get(c, (1,))[0]) for c in range(len(pivots))]), F.col("cell"))
     index = index.withColumn("part", F.pmod(F.xxhash64("id", "vector"), parts).cast("int")).withColumn("asks", is_query)
 
-    def own_part(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        asking = rows.filter(rows["asks"])
-        if not len(asking):
-            return ANSWER.empty_table()
-        asking = asking.append_column("bound", pa.nulls(len(asking), pa.int64()))
-        return _best(asking, rows, k, top, pivots[key[0].as_py()])
-
-    def any_part(key: tuple[pa.Scalar, ...], asking: pa.Table, rows: pa.Table) -> pa.Table:
+    def best(key: tuple[pa.Scalar, ...], asking: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(rows) or not len(asking):
             return ANSWER.empty_table()
         return _best(asking, rows, k, top, pivots[key[0].as_py()])
 
     answer = "query bigint, id bigint, score bigint"
-    seeds = index.select("id", "vector", "far", "cell", "part", F.coalesce("asks", F.lit(False)).alias("asks"))
-    first = seeds.groupBy("cell", "part").applyInArrow(own_part, answer)
+    # The same vector of a repeated id in both passes, so that a bound counts each candidate row once.
+    once = index.filter("asks").groupBy("id").agg(F.min(F.struct("vector", "cell", "part")).alias("own"))
+    asked = materialize(once.select("id", "own.*", F.lit(None).cast("bigint").alias("bound")), "asked")
+    seeds = index.select("id", "vector", "far", "cell", "part")
+    first = asked.groupBy("cell", "part").cogroup(seeds.groupBy("cell", "part")).applyInArrow(best, answer)
     bounds = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
-    asked = index.filter("asks").groupBy("id").agg(F.min("vector").alias("vector"))
-    queries = materialize(asked.join(bounds, F.col("id") == F.col("query"), "left").select("id", "vector", "bound"), "queries")
+    known_best = asked.drop("bound").join(bounds, F.col("id") == F.col("query"), "left")
+    queries = materialize(known_best.select("id", "vector", "bound"), "queries")
     blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     left = _routed(queries, cells, pivots, top).withColumn("block", block)
-    right = index.select("id", "vector", "far", "cell", "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInArrow(any_part, answer)
+    right = seeds.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = left.groupBy("cell", "part", "block").cogroup(right.groupBy("cell", "part", "block")).applyInArrow(best, answer)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query", "rank", "id", "score")

@@ -58,6 +58,16 @@ def test_odd_vectors(spark):
     assert asked(spark, [(50, [1])], 50, 5) == {}
 
 
+def test_repeated_queries_in_a_small_cell(spark):
+    """Copies of a query do not raise its bound above its k-th best score."""
+    near = [(1, [990, 3]), (2, [995, -4]), (3, [1001, 7])]
+    far = [(100 + 3 * i, [-1000 + i % 7, i % 5]) for i in range(60)]
+    rows = [*near, *far, (50, [1000, 1]), (50, [1000, 1])]
+    assert asked(spark, rows, 50, 5, pivot_count=2) == brute(rows, 50, 5)
+    rows = [*near, *far, (50, [1003, 2]), (50, [-1001, 1]), (50, [-1001, 1])]
+    assert asked(spark, rows, 50, 5, pivot_count=2) == brute(rows, 50, 5)
+
+
 def test_quantised_values(spark):
     rows = [([0.5, -0.001],), ([float("nan")],), ([float("inf")],), ([None, 1.0],), (None,), ([],)]
     got = spark.createDataFrame(rows, "e array<float>").select(quantised(F.col("e")).alias("v")).collect()
