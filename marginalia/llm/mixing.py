@@ -2,7 +2,8 @@
 
 Every source gets a number of words. Whole epochs come first; the rest is drawn by Efraimidis and Spirakis: a document
 of weight w has the key -ln(u) / w with u uniform, the documents with the smallest keys are taken until their words
-reach the budget. u is a digest of the document's id, so reruns agree.
+reach the budget. u is a digest of the document's id, so reruns agree. Rows that share id and weight follow each other
+by size, digest of the text and number of the row, so the cut can go between them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix"
+#: What tells the rows of a source apart in the draw; rows equal in it are copies.
+PLACE = ("key", "id", "size", "tie")
 
 
 def word_count(text: Column) -> Column:
@@ -64,8 +67,9 @@ def plan_mix(
 ) -> DataFrame:
     """One row per source: ``source``, ``source_size``, ``target``, ``epochs`` and ``cutoff``.
 
-    ``rows`` has ``id``, ``source``, ``size`` (words) and ``key``. Sources in code point order, null last, have the
-    given weights in turn. A document is taken ``epochs`` times, and once more if ``(key, id)`` is not after ``cutoff``.
+    ``rows`` has ``id``, ``source``, ``size`` (words), ``key``, ``tie`` and ``row_id``. Sources in code point order,
+    null last, have the given weights in turn. A document is taken ``epochs`` times, and once more if its place
+    (``PLACE`` and ``row_id``) is not after ``cutoff``.
     The cut is where the words drawn come nearest to what the target leaves beyond whole epochs.
     """
     order = ["missing", "source"]
@@ -82,44 +86,73 @@ def plan_mix(
         .select("source", "source_size", "target", "epochs", "rest", "start"),
         "targets",
     )
-    drawn = running_sum(rows.withColumn("missing", F.col("source").isNull()), [*order, "key", "id", "size"], F.col("size"), "upto")
+    drawn = running_sum(rows.withColumn("missing", F.col("source").isNull()), [*order, *PLACE, "row_id"], F.col("size"), "upto")
     placed = join_keys(drawn, planned.select("source", "rest", "start"), ["source"])
     middle = F.col("upto") - F.col("start") - F.col("size") / 2
     last = (
         placed.filter((F.col("size") > 0) & (F.col("rest") > 0) & (middle <= F.col("rest")))
         .groupBy("source")
-        .agg(F.max(F.struct("key", "id")).alias("cutoff"))
+        .agg(F.max(F.struct(*PLACE, "row_id")).alias("cutoff"))
     )
     return materialize(join_keys(planned, last, ["source"], "left").drop("rest", "start"), "mix")
 
 
-def copies(size: Column, key: Column, identity: Column) -> Column:
+def copies(drawn: Column) -> Column:
     """How often a document is taken, beside the columns of ``plan_mix``."""
-    drawn = (size > 0) & (F.struct(key.alias("key"), identity.alias("id")) <= F.col("cutoff"))
-    return F.col("epochs") + F.coalesce(drawn, F.lit(False)).cast("bigint")
+    return F.col("epochs") + F.coalesce((F.col("size") > 0) & drawn, F.lit(False)).cast("bigint")
+
+
+def measures(body: Column, identity: Column) -> list[Column]:
+    """The columns of ``PLACE``."""
+    key = sampling_key(identity, quality_weight(body))
+    return [key.alias("key"), identity.alias("id"), word_count(body).alias("size"), F.xxhash64(body).alias("tie")]
 
 
 def measured(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """``PLACE``, ``source`` and ``row_id`` of each row; to be written, as a second pass may number rows differently."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
-        F.col(key).alias("id"), F.col(source).alias("source"), word_count(body).alias("size"),
-        sampling_key(F.col(key), quality_weight(body)).alias("key"),
-    )
+        *measures(body, F.col(key)), F.col(source).alias("source"), F.monotonically_increasing_id().alias("row_id")
+    )
+
+
+def _at_cut(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with ``alike``, the copies among which a source's cut goes, and ``drawn``, how many of them it draws."""
+    last = F.struct(*[F.col(f"cutoff.{c}") for c in PLACE])
+    joined = join_keys(rows, plan.select("source", "cutoff"), ["source"]).filter(F.struct(*PLACE) == last)
+    before = F.count(F.when(F.col("row_id") <= F.col("cutoff.row_id"), 1))
+    counted = joined.groupBy("source").agg(F.count(F.lit(1)).alias("alike"), before.alias("drawn"))
+    return materialize(join_keys(plan, counted, ["source"], "left"), "mix")
+
+
+def _some_of(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with ``taken``: whether a row is among the ``drawn`` first of its source.
+
+    ``plan`` has the sources of ``rows`` with ``alike``, their number. Rows are numbered by their source and number
+    alone; only the last number drawn, one row per source, is joined to them.
+    """
+    kept = materialize(rows.withColumn("number", F.monotonically_increasing_id()), "copies")
+    upto = running_sum(plan.select("source", "alike", "drawn"), ["source"], F.col("alike"), "upto")
+    starts = upto.select("source", "drawn", (F.col("upto") - F.col("alike")).alias("start"))
+    placed = running_sum(kept.select("source", "number"), ["source", "number"], F.lit(1), "place")
+    first = join_keys(placed, starts, ["source"]).filter(F.col("place") - F.col("start") <= F.col("drawn"))
+    last = materialize(first.groupBy("source").agg(F.max("number").alias("last")), "last")
+    return join_keys(kept, last, ["source"], "left").withColumn("taken", F.coalesce(F.col("number") <= F.col("last"), F.lit(False)))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document: ``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
 
     Texts are read once. A null or empty text has no words; a source without words has target 0 and none of its
-    documents is taken. Documents with equal keys and ids (repeated rows) are taken or left together. The null source
-    is a source of its own; an empty table gives no rows.
+    documents is taken. Repeated rows are documents of their own, also in the draw. The null source is a source of its
+    own; an empty table gives no rows.
 
-    Sizes are summed before they are shuffled. The draw is one sort over all documents by source and key, dealt out by
-    ranges, so a hot source is spread over many tasks.
+    Sizes are summed before they are shuffled. The draw is one sort over all documents by source, key and row, dealt
+    out by ranges, so a hot source or id is spread over many tasks.
     """
     rows = materialize(measured(docs, key, text, source), "sizes")
     joined = join_keys(rows, plan_mix(rows), ["source"])
-    taken = joined.withColumn("copies", copies(F.col("size"), F.col("key"), F.col("id")))
+    taken = joined.withColumn("copies", copies(F.struct(*PLACE, "row_id") <= F.col("cutoff")))
     return taken.select(
         "id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
@@ -128,13 +161,22 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
 
-    Only the plan, one row per source, is joined to the documents, so texts are not shuffled while it is small.
+    Only the plan, one row per source, is joined to the documents, so texts are not shuffled while it is small. Where a
+    cut goes between copies, just these rows are written and numbered, as any of them are as good.
     """
-    plan = plan_mix(materialize(measured(docs, key, text, source), "sizes"))
+    sizes = materialize(measured(docs, key, text, source), "sizes")
+    plan = _at_cut(sizes, plan_mix(sizes))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     carried = docs.select(row.alias("row"), F.col(source).alias("source"))
     body, identity = F.coalesce(F.col(f"row.`{text}`"), F.lit("")), F.col(f"row.`{key}`")
-    joined = join_keys(carried, plan, ["source"])
-    n = copies(word_count(body), sampling_key(identity, quality_weight(body)), identity)
-    taken = joined.withColumn("n", n.cast("int")).filter("n > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    joined = join_keys(carried, plan, ["source"]).select("*", *measures(body, identity))
+    at, last = F.struct(*PLACE), F.struct(*[F.col(f"cutoff.{c}") for c in PLACE])
+    parted = F.col("drawn") < F.col("alike")
+    split = plan.filter(parted)
+    taken = joined.withColumn("n", copies(at <= last))
+    if not split.isEmpty():
+        among = F.coalesce((at == last) & parted, F.lit(False))
+        some = _some_of(joined.filter(among).select("row", "source", "epochs", "size"), split)
+        taken = taken.filter(~among).select("row", "n").union(some.select("row", copies(F.col("taken")).alias("n")))
+    chosen = taken.filter("n > 0")
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")

@@ -139,6 +139,24 @@ def test_heavier_documents_are_drawn_earlier(spark):
     assert mean[1] >= mean[0]
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_cut_goes_between_copies(spark, hot):
+    """A source that consists of copies of one id reaches its target in the plan and in the rows."""
+    rows = [(hot, "a b c d e f g h i j", "b")] * 400 + [(hot, "k l m n o p q r s t", "b")] * 200
+    rows += [(1000 + i, "u v w x y z", s) for i in range(900) for s in ("a", "c")] + [(None, "one two three", None)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = mix(docs).collect()
+    check_mix(docs, planned)
+    assert {r.source for r in planned if r.source == "b" and 1 < r.target / r.source_size < 2 or 0 < r.target / r.source_size < 1}
+    taken = Counter()
+    for r in planned:
+        taken[r.source] += r.taken
+    out = Counter()
+    for r in mixed(docs).collect():
+        out[r.source] += len(r.text.split())
+    assert out == taken
+
+
 def test_null_sources_come_last(spark):
     rows = [(1, "a " * 100, None), (2, "b " * 100, "z"), (3, "c " * 100, "é"), (4, "d " * 100, "Z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
