@@ -5,6 +5,7 @@ import pytest
 from odd import LONG, empty_documents, odd_documents
 from pyspark.sql import functions as F
 
+from marginalia.llm import sharding
 from marginalia.llm.layout import op6_sharding
 from marginalia.llm.mixing import mix, mixed
 from marginalia.llm.ordered import running_sum
@@ -52,6 +53,23 @@ def test_hot_groups_are_split_and_others_kept_together(spark):
     assert len(hot) <= 10
 
 
+@pytest.mark.parametrize("large", [64, 1])
+def test_groups_that_fit_stay_whole(spark, monkeypatch, large):
+    """Mostly copies: a group beyond a shard, some large ones, many small ones; all that fit are whole."""
+    monkeypatch.setattr(sharding, "LARGE", large, raising=False)
+    sizes = [3300, 500] + [100] * 5 + [30] * 60 + [4] * 500 + [2] * 900
+    groups = [f"g{g}" for g, n in enumerate(sizes) for _ in range(n)] + [None] * 600
+    frame = spark.createDataFrame(list(enumerate(groups)), "row_id long, `group` string").repartition(5, "row_id")
+    rows = sharding.assign(frame).collect()
+    counts = Counter(r.shard for r in rows)
+    assert len(rows) == len(groups) and max(counts.values()) - min(counts.values()) <= 1
+    shards = defaultdict(set)
+    for r in rows:
+        shards[groups[r.row_id]].add(r.shard)
+    assert len(shards["g0"]) <= 9
+    assert [g for g, held in shards.items() if g not in ("g0", None) and len(held) > 1] == []
+
+
 def test_more_copies_than_room(spark):
     docs = spark.createDataFrame([(i, "same") for i in range(333)], "doc_id long, text string")
     check_shards(shard_documents(docs).collect())
