@@ -3,7 +3,7 @@
 Nothing else in the package imports this subpackage.
 """
 
-from . import classifier, duplicates, filters, integrity, layout, search, tokens  # noqa: F401
+from . import classifier, dialogue, duplicates, filters, integrity, layout, search, tokens  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
