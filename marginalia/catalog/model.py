@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import convert, model
+from ..operators.sinks import save_history
+from ..plans.report import Command, chat_history
 from ..plans.report import chained_report as chain
+from ..session import work_folder
 from ..spec import Instruction
 from . import inputs
 from .registry import query
@@ -162,25 +165,62 @@ def retry_error(spark, sf_dir):
     return model.instruction_chain(events, "text", ["go"], failing_model).select("event_id", "out")
 
 
-@query(
-    f"""WITH {inputs.VFILES}, {inputs.VCMD}, rows AS (
-  SELECT 0 AS cmd, doc_id AS ord, path AS out FROM vfiles UNION ALL SELECT 1, run_id, script FROM vcmd UNION ALL SELECT 2, page_id, url FROM pages),
-whole AS (SELECT string_agg(out, chr(10) ORDER BY cmd, ord) AS content FROM rows)
-SELECT NULL::INT AS cmd, NULL::BIGINT AS part, NULL::BIGINT AS piece, {_digest_sql('content', "'Summarise it'")} AS text FROM whole"""
-)
-def chained_report(spark, sf_dir):
-    """One report over files, commands and pages, with an instruction on the whole."""
+CHAIN_BYTES = 4096
+_CHAIN_STEPS = {0: "Summarise it", 1: "List the commands"}
+_OWN_STEP = "CASE cmd " + " ".join(f"WHEN {c} THEN '{text}'" for c, text in _CHAIN_STEPS.items()) + " END"
+
+# Each level joins what is left of a command in pieces and answers them, until the command has one answer.
+_CHAIN = f"""WITH RECURSIVE {inputs.VFILES}, {inputs.VCMD}, folded AS (
+  SELECT 0 AS cmd, 0 AS level, doc_id AS ord, path AS out FROM vfiles UNION ALL SELECT 1, 0, run_id, script FROM vcmd
+  UNION ALL
+  SELECT cmd, level + 1, piece, {_digest_sql("string_agg(out, chr(10) ORDER BY ord)", _OWN_STEP)} FROM (
+    SELECT *, coalesce(sum(strlen(out) + 1) OVER (PARTITION BY cmd ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {CHAIN_BYTES // 2} AS piece,
+           count(*) OVER (PARTITION BY cmd) AS n FROM folded)
+  WHERE level = 0 OR n > 1 GROUP BY cmd, level, piece)"""
+
+
+def _chain(spark, sf_dir):
     return chain(
         [
-            inputs.files(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("path").alias("out")),
-            inputs.commands(spark, sf_dir).select(F.col("run_id").alias("ord"), F.col("script").alias("out")),
+            Command(
+                inputs.files(spark, sf_dir).select(F.col("doc_id").alias("ord"), F.col("path").alias("out")),
+                (_CHAIN_STEPS[0],),
+            ),
+            Command(
+                inputs.commands(spark, sf_dir).select(F.col("run_id").alias("ord"), F.col("script").alias("out")),
+                (_CHAIN_STEPS[1],),
+            ),
             inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.col("url").alias("out")),
         ],
-        ["Summarise it"],
         digest_model,
+        CHAIN_BYTES,
+        slice_items=1000,
     )
 
 
+@query(
+    f"""{_CHAIN}
+SELECT cmd, 0 AS part, 0 AS piece, arg_max(out, level) AS text FROM folded GROUP BY cmd
+UNION ALL SELECT 2, page_id // 1000, 0, string_agg(url, chr(10) ORDER BY page_id) FROM pages GROUP BY ALL"""
+)
+def chained_report(spark, sf_dir):
+    """One report over files, commands and pages; the first two have an instruction each, which sees their outputs only."""
+    return _chain(spark, sf_dir).pieces
+
+
+@query(
+    f"""{_CHAIN}
+SELECT lpad(cmd::VARCHAR, 9, '0') || '/000000000/' || lpad((level - 1)::VARCHAR, 9, '0') || '/' || lpad(ord::VARCHAR, 9, '0') AS conv_id, out AS text
+FROM folded WHERE level > 0"""
+)
+def chained_history(spark, sf_dir):
+    """What the model said at each level of the same report, read back from the chat history that was saved."""
+    folder = work_folder(spark, "chain-history")
+    target = save_history(chat_history(_chain(spark, sf_dir).exchanges), folder, "0")
+    said = spark.read.schema("conv_id string, role string, content string").json(target)
+    return said.filter("role = 'assistant'").select("conv_id", F.col("content").alias("text"))
+
+
 def _describe(path: str, content: bytes) -> str:
     return f"{path} holds {len(content)} bytes"
 

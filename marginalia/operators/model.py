@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
@@ -11,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markdown import fence_len
+from ..session import materialize
 from ..spec import Instruction
+from .joins import join_keys
+from .report import bounded_pieces
 
 # The prompt texts.
 SYSTEM_PROMPT = """\
@@ -38,6 +42,7 @@ Result after applying instructions (do not enclose in backticks):
 """
 
 RETRIES = 1
+PROMPT_BYTES = 1 << 20
 _PIECES = re.split(r"(\{backticks\}|\{content\}|\{instructions\})", USER_PROMPT)
 
 
@@ -158,9 +163,10 @@ def apply_instructions(
     for rows that have any. A failing call is retried, then reported inside the output. ``history`` names a
     column for the exchanges, an array of ``struct<user, assistant>``.
 
-    Calls cost far more than bytes, so the rows with instructions are dealt to ``parallelism`` tasks (the
-    cluster's default parallelism) by a hash of the row. Rows without any stay where they are, for which the
-    items are read twice; ``every_row`` says that all rows have instructions.
+    Calls cost far more than bytes, so the rows with instructions are dealt to ``parallelism`` tasks (by
+    default one per core or shuffle partition, whichever are more), in turn and not by their content, so that copies are
+    spread too. Rows without any stay where they are, for which the items are read twice; ``every_row`` says that all
+    rows have instructions.
     """
 
     @F.pandas_udf("answer string, users array<string>, assistants array<string>")
@@ -183,13 +189,13 @@ def apply_instructions(
             yield pd.DataFrame(rows, columns=["answer", "users", "assistants"], dtype=object)
 
     wanted = F.size(instructions) > 0
-    tasks = parallelism or items.sparkSession.sparkContext.defaultParallelism
-    hashed = F.xxhash64(*(F.col(f"`{f.name}`") for f in items.schema if "map<" not in f.dataType.simpleString()))
+    spark = items.sparkSession
+    tasks = parallelism or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if every_row:
-        items = items.repartition(tasks, hashed)
+        items = items.repartition(tasks)
     else:
         without = items.filter(~F.coalesce(wanted, F.lit(False)))
-        items = items.filter(wanted).repartition(tasks, hashed).unionByName(without)
+        items = items.filter(wanted).repartition(tasks).unionByName(without)
     given = F.when(wanted, F.coalesce(F.col(content), F.lit("")))
     size = F.lit(None).cast("double") if ticks is None else ticks.cast("double")
     done = items.withColumn("__done", fold.asNondeterministic()(given, instructions, size))
@@ -222,6 +228,63 @@ def instruction_chain(
     return apply_instructions(items, content, texts, build_model, every_row=bool(instructions), **options)
 
 
+def fold_instruction(
+    items: DataFrame,
+    keys: Sequence[str],
+    instruction: str,
+    build_model: Callable[[], Model],
+    order: str = "ord",
+    out: str = "out",
+    limit: int = PROMPT_BYTES,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """One answer ``(keys, out)`` per report, and the exchanges ``(keys, level, piece, user, assistant)`` that led to it.
+
+    A report of ``limit`` bytes at most is one prompt. A longer one is asked in pieces of that size, and the answers, joined
+    in order, are a report again that is asked in the same way, level by level, until one answer is left. So no value
+    is longer than the limit, whatever a report holds, and a report's answers never meet those of another one.
+    Answers have to be shorter than what they answer: an error says so if the number of pieces stops falling.
+    """
+    answers, exchanges, before = [], [], None
+    rows = items.select(*keys, F.col(order).alias("ord"), F.col(out).alias("out"))
+    while True:
+        pieces = bounded_pieces(rows, keys, "ord", "out", limit)
+        asked = instruction_chain(pieces, "text", [instruction], build_model, name="answer", history="said", **options)
+        given = materialize(asked.select(*keys, "piece", "answer", "said"), "answers")
+        said = given.select(*keys, F.lit(len(answers)).alias("level"), "piece", F.inline("said"))
+        exchanges.append(said)
+        several = given.filter("piece = 1").select(*keys)
+        left = join_keys(given, several, keys, "left_semi")
+        answers.append(join_keys(given, several, keys, "left_anti").select(*keys, F.col("answer").alias("out")))
+        now = left.count()
+        if not now:
+            return reduce(DataFrame.unionByName, answers), reduce(DataFrame.unionByName, exchanges)
+        if before is not None and now >= before:
+            raise ValueError(f"answers are as long as what they answer: {now} pieces are left of {before}")
+        before, rows = now, left.select(*keys, F.col("piece").alias("ord"), F.col("answer").alias("out"))
+
+
+def fold_instructions(
+    items: DataFrame,
+    keys: Sequence[str],
+    instructions: Sequence[str],
+    build_model: Callable[[], Model],
+    order: str = "ord",
+    out: str = "out",
+    **options,
+) -> tuple[DataFrame, DataFrame]:
+    """Apply instructions one after the other to each report: its answer to one is the report for the next.
+
+    Returns answers ``(keys, out)`` and exchanges ``(keys, step, level, piece, user, assistant)``.
+    """
+    rows, exchanges = items.select(*keys, F.col(order).alias("ord"), F.col(out).alias("out")), []
+    for step, instruction in enumerate(instructions):
+        answers, said = fold_instruction(rows, keys, instruction, build_model, **options)
+        exchanges.append(said.withColumn("step", F.lit(step)))
+        rows = answers.select(*keys, F.lit(0).alias("ord"), "out")
+    return rows.select(*keys, "out"), reduce(DataFrame.unionByName, exchanges)
+
+
 def report_instruction(
     items: DataFrame,
     key: str,
@@ -231,15 +294,12 @@ def report_instruction(
     out: str = "out",
     **options,
 ) -> DataFrame:
-    """Apply instructions to the combined output of each report.
+    """Apply instructions to the combined output of each report, as ``(key, out)``; see ``fold_instruction``.
 
-    A prompt is one value, so each report is joined in a row, at any size; what a model can take is the caller's to
-    decide, by what goes into a report. Items of one ordinal come in the order of their text. The fence of the first
-    prompt is measured on the items.
+    A report is asked in pieces of ``limit`` bytes, so it may be of any size. Items of one ordinal come in the order of
+    their first characters. Reports without any output have no answer; a null key is a report of its own.
     """
-    text = F.transform(F.sort_array(F.collect_list(F.struct(order, out))), lambda s: s[out])
-    contents = items.groupBy(key).agg(
-        F.array_join(text, "\n").alias("__content"), F.max(fence_len(F.col(out))).alias("__ticks")
-    )
-    done = instruction_chain(contents, "__content", instructions, build_model, name=out, ticks=F.col("__ticks"), **options)
-    return done.select(key, out)
+    if not instructions:
+        raise ValueError("there is no instruction to apply")
+    answers, _ = fold_instructions(items, [key], instructions, build_model, order, out, **options)
+    return answers.withColumnRenamed("out", out)

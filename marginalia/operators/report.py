@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..session import materialize
+from .ordered import sum_before
 
 PART_BYTES = 1 << 20
 SLICE_ITEMS = 1000
+PREFIX = 256
 
 
 def union_commands(*outputs: DataFrame) -> DataFrame:
@@ -34,12 +37,48 @@ def combined_output(
     The parts of a report in the order of ``part`` and ``piece``, joined by newlines, are the combined output. A part is
     a stretch of ``slice_items`` ordinals, so a report of any size is joined by many tasks. Within it a new piece
     begins with every ``part_bytes`` bytes, so a piece holds that much and one item, also where few items are huge or
-    many share an ordinal; items of one ordinal come in the order of their text. The bytes are summed in a window
-    that can spill; only a piece is gathered.
+    many share an ordinal; items of one ordinal come in the order of their text. The bytes are summed over ranges of
+    the order, so items of one ordinal are dealt to many tasks too; only a piece is gathered.
     """
-    sliced = items.withColumns({"part": F.expr(f"{order} div {slice_items}"), "__size": F.octet_length(out) + 1})
-    earlier = Window.partitionBy(*keys, "part").orderBy(order, out).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("__size").over(earlier), F.lit(0))
-    pieces = sliced.withColumn("piece", F.floor(before / part_bytes).cast("bigint"))
+    sliced = items.withColumn("part", F.expr(f"{order} div {slice_items}"))
+    size, start = F.octet_length(out) + 1, [order, F.left(F.col(out), F.lit(PREFIX))]
+    placed = sum_before(sliced, [*keys, "part"], [order, out], size, "__before", deal=start)
+    pieces = placed.withColumn("piece", F.floor(F.col("__before") / part_bytes).cast("bigint"))
     text = F.transform(F.sort_array(F.collect_list(F.struct(order, out))), lambda s: s[out])
     return pieces.groupBy(*keys, "part", "piece").agg(F.array_join(text, "\n").alias("text"))
+
+
+def bounded_pieces(items: DataFrame, keys: Sequence[str], order: str, out: str, limit: int) -> DataFrame:
+    """Newline-joined item outputs as pieces ``(keys, piece, text)`` of ``limit`` bytes at most, numbered from 0.
+
+    Items longer than a quarter of half the limit are cut into stretches, which are joined again without a newline. A piece
+    begins with the first stretch behind every half of the limit, and no stretch is longer than that half, so numbers have
+    no gaps. Items of one ordinal come in the order of their first characters, then of their digests. Null outputs are
+    left out, as they are when outputs are joined.
+    """
+    step = limit // 2
+    stretch = (step - 1) // 4  # a character has four bytes at most
+    if stretch < 1:
+        raise ValueError("pieces need ten bytes at least")
+    given = items.filter(F.col(out).isNotNull()).select(
+        *keys,
+        F.col(order).alias("__ord"),
+        F.left(F.col(out), F.lit(PREFIX)).alias("__prefix"),
+        F.sha2(F.col(out).cast("binary"), 256).alias("__digest"),
+        F.monotonically_increasing_id().alias("__item"),
+        F.col(out).alias("__out"),
+    )
+    length = F.length("__out")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((length - 1) / stretch)).cast("int"))
+    cut = materialize(given, "items").withColumn("__nth", F.explode(starts))
+    text = F.substring(F.col("__out"), F.col("__nth") * stretch + 1, F.lit(stretch))
+    own = F.when(F.col("__nth") == 0, F.concat(F.lit("\n"), text)).otherwise(text)
+    rows = cut.withColumn("__text", own).drop("__out")
+    places = ["__ord", "__prefix", "__digest", "__item", "__nth"]
+    placed = sum_before(rows, keys, places, F.octet_length("__text"), "__before")
+    numbered = placed.withColumn("piece", F.floor(F.col("__before") / step).cast("bigint"))
+    parts = F.sort_array(F.collect_list(F.struct("__before", "__nth", "__text")))
+    pieces = numbered.groupBy(*keys, "piece").agg(parts.alias("__parts"))
+    joined = F.array_join(F.transform("__parts", lambda p: p["__text"]), "")
+    whole = F.get("__parts", F.lit(0))["__nth"] == 0  # else it begins within an item, and with a stretch of that
+    return pieces.select(*keys, "piece", F.when(whole, F.substring(joined, F.lit(2), F.length(joined))).otherwise(joined).alias("text"))

@@ -1,27 +1,66 @@
-"""One report over several commands, with instructions on the whole, saved in order."""
+"""One report over several commands, each with instructions of its own, saved in order."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.model import Model, report_instruction
+from ..operators.model import SYSTEM_PROMPT, Model, fold_instructions
 from ..operators.report import combined_output, union_commands
 
 
+class Command(NamedTuple):
+    """Outputs ``(ord, out)`` of a command and the instructions that apply to all of them together."""
+
+    outputs: DataFrame
+    instructions: tuple[str, ...] = ()
+
+
+class Report(NamedTuple):
+    """Pieces ``(cmd, part, piece, text)`` of a report and the exchanges ``(cmd, step, level, piece, user, assistant)``."""
+
+    pieces: DataFrame
+    exchanges: DataFrame | None
+
+
 def chained_report(
-    outputs: Sequence[DataFrame], instructions: Sequence[str] = (), build_model: Callable[[], Model] | None = None, **options
-) -> DataFrame:
-    """Pieces ``(cmd, part, piece, text)`` of the outputs ``(ord, out)`` of several commands, one after the other.
+    commands: Sequence[Command | DataFrame], build_model: Callable[[], Model] | None = None, limit: int | None = None, **options
+) -> Report:
+    """The report of several commands, one after the other.
 
-    With instructions the whole report becomes one prompt and the answer is the one piece, of a null command.
+    Instructions of a command apply to the outputs of that command only; its answer is then its one piece. Commands with
+    the same instructions are asked in one go, each on its own. Outputs beyond ``limit`` bytes are answered in
+    pieces whose answers are answered again, so no command is ever one value.
     """
-    rows = union_commands(*(o.select(F.col("ord").cast("bigint").alias("ord"), "out") for o in outputs))
-    if not instructions or build_model is None:
-        return combined_output(rows, ["cmd"], **options)
-    placed = rows.select(F.lit(0).alias("report"), F.struct("cmd", "ord").alias("ord"), "out")
-    answer = report_instruction(placed, "report", instructions, build_model)
-    none = lambda kind: F.lit(None).cast(kind)
-    return answer.select(none("int").alias("cmd"), none("bigint").alias("part"), none("bigint").alias("piece"), F.col("out").alias("text"))
+    given = [c if isinstance(c, Command) else Command(c) for c in commands]
+    rows = union_commands(*(c.outputs.select(F.col("ord").cast("bigint").alias("ord"), "out") for c in given))
+    lists = list(dict.fromkeys(tuple(c.instructions) if build_model else () for c in given))
+    pieces, exchanges = [], []
+    for steps in lists:
+        own = [i for i, c in enumerate(given) if (tuple(c.instructions) if build_model else ()) == steps]
+        outputs = rows.filter(F.col("cmd").isin(own))
+        if not steps:
+            pieces.append(combined_output(outputs, ["cmd"], **options))
+            continue
+        sized = {} if limit is None else {"limit": limit}
+        answers, said = fold_instructions(outputs, ["cmd"], steps, build_model, **sized)
+        zero = F.lit(0).cast("bigint")
+        pieces.append(answers.select("cmd", zero.alias("part"), zero.alias("piece"), F.col("out").alias("text")))
+        exchanges.append(said)
+    whole = reduce(DataFrame.unionByName, pieces)
+    return Report(whole, reduce(DataFrame.unionByName, exchanges) if exchanges else None)
+
+
+def chat_history(exchanges: DataFrame) -> DataFrame:
+    """The exchanges of a report as messages ``(conv_id, turn, role, text)``, one conversation per call."""
+    call = F.concat_ws("/", *(F.lpad(F.col(c).cast("string"), 9, "0") for c in ("cmd", "step", "level", "piece")))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    said = F.array(
+        message("system", F.lit(SYSTEM_PROMPT)), message("user", F.col("user")), message("assistant", F.col("assistant"))
+    )
+    rows = exchanges.select(call.alias("conv_id"), F.posexplode(said).alias("turn", "message"))
+    return rows.select("conv_id", "turn", "message.*")

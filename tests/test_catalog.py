@@ -6,7 +6,7 @@ from compare import difference, duck
 from __spark_entry__ import entry
 from marginalia.catalog import ORACLES, QUERIES
 
-PYTHON = {"instruction_chain", "file_instructions", "report_instruction", "convert_dispatch", "retry_error", "chained_report", "web_get_messages"}
+PYTHON = {"instruction_chain", "file_instructions", "convert_dispatch", "retry_error", "web_get_messages"}
 
 
 @pytest.fixture(scope="module")

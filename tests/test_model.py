@@ -126,3 +126,76 @@ def test_history_of_calls(spark, tmp_path):
     assert parts_of(rows[4]["text"]) == ("[one:x]", "two")
     save_history(model.chat_messages(done, "id", "said"), str(tmp_path), "1")
     assert spark.read.json(str(tmp_path / "chat-history-1.jsonl")).count() == 12
+
+
+def brute_fold(rows, ask, limit):
+    """Answers of one report, level by level, with plain loops over stretches of its text."""
+    step, level = limit // 2, [text for _, text in sorted(rows)]
+    cut = (step - 1) // 4
+    while True:
+        pieces, before = {}, 0
+        for text in level:
+            for at in range(0, max(1, len(text)), cut):
+                lead = "" if at else "\n"
+                pieces.setdefault(before // step, []).append(lead + text[at : at + cut])
+                before += len((lead + text[at : at + cut]).encode())
+        firsts, place = {}, 0
+        for text in level:  # whether a piece begins with an item
+            for at in range(0, max(1, len(text)), cut):
+                size = len(text[at : at + cut].encode()) + (not at)
+                firsts.setdefault(place // step, not at)
+                place += size
+        joined = ["".join(pieces[k])[1 if firsts[k] else 0 :] for k in sorted(pieces)]
+        assert all(len(text.encode()) <= limit for text in joined)
+        level = [ask(text) for text in joined]
+        if len(level) == 1:
+            return level[0]
+
+
+def short_model():
+    from hashlib import md5
+
+    return lambda system, user: md5(user.encode()).hexdigest()
+
+
+def test_folded_reports_equal_a_loop(spark):
+    rows = [("a", i, f"line {i} of ünit\n") for i in range(90)] + [("b", 0, "ß" * 700), ("b", 1, "\n\nend"), ("b", 2, "")]
+    rows += [("one", 5, "x"), (None, 1, "no key")]
+    frame = spark.createDataFrame(rows, "report string, ord long, out string").repartition(7)
+    answers, said = model.fold_instruction(frame, ["report"], "sum", short_model, limit=200)
+    got = {r["report"]: r["out"] for r in answers.collect()}
+    ask = lambda text: short_model()("", model._user_prompt(text, "sum", model._ticks(text)))
+    assert got == {key: brute_fold([r[1:] for r in rows if r[0] == key], ask, 200) for key in ("a", "b", "one", None)}
+    assert said.groupBy("report").agg(F.max("level")).filter("report = 'a'").first()[1] >= 2
+    assert said.agg(F.max(F.length("user"))).first()[0] < 200 + len(model.USER_PROMPT) + 100
+    two = {r["report"]: r["out"] for r in model.report_instruction(frame, "report", ["sum", "again"], short_model, limit=200).collect()}
+    again = lambda text: short_model()("", model._user_prompt(text, "again", 3))
+    assert two["a"] == again(got["a"])
+
+
+def test_answers_that_do_not_get_shorter_are_an_error(spark):
+    frame = spark.createDataFrame([("a", i, "x" * 30) for i in range(20)], "report string, ord long, out string")
+    with pytest.raises(ValueError, match="as long as what they answer"):
+        model.fold_instruction(frame, ["report"], "sum", lambda: lambda system, user: user, limit=100)
+
+
+def test_copies_are_spread_over_tasks(spark):
+    def place_model():
+        from pyspark import TaskContext
+
+        return lambda system, user: str(TaskContext.get().partitionId())
+
+    rows = spark.range(2050).select(F.when(F.col("id") < 2000, F.lit("same")).otherwise(F.col("id").cast("string")).alias("text"))
+    done = model.instruction_chain(rows, "text", ["go"], place_model, parallelism=8)
+    assert done.groupBy("out").count().agg(F.max("count")).first()[0] < 2 * 2050 / 8
+
+
+def test_each_command_has_its_own_instructions(spark):
+    from marginalia.plans.report import Command, chained_report, chat_history
+
+    frame = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "ord long, out string")
+    report = chained_report([Command(frame("a", "b"), ("sum",)), frame("plain"), Command(frame("c"), ("sum", "cut"))], echo_model)
+    assert {r["cmd"]: r["text"] for r in report.pieces.collect()} == {0: "[sum:a\nb]", 1: "plain", 2: "[cut:[sum:c]]"}
+    said = chat_history(report.exchanges).filter("role = 'assistant'").orderBy("conv_id").collect()
+    assert [r["text"] for r in said] == ["[sum:a\nb]", "[sum:c]", "[cut:[sum:c]]"]
+    assert chained_report([frame("x")]).exchanges is None
