@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import line_hit
 from ..operators import select, sinks
-from ..sources import files as sources
+from ..plans.find_files import find_files_below
 from ..session import work_folder
+from ..sources import files as sources
 from ..spec import FileSpec
 from . import inputs
+from .formatting import NOW
 from .registry import query
 
 GLOBS = ("**/en/*.md", "src1/**", "**/doc1*.t?t", "**.py")
@@ -34,6 +36,41 @@ def scan_files(spark, sf_dir):
     return sources.read_files(spark, folder, ("**/en/*.md", "src1/**")).select("path", "length", "text")
 
 
+READ_BYTES = 4000
+
+
+@query(
+    f"""WITH {inputs.VFILES}, named AS (SELECT *, doc_id % 7 = 3 AS gone FROM vfiles WHERE path LIKE 'src1%' OR path LIKE '%.md')
+SELECT path, CASE WHEN length > {READ_BYTES} THEN length || ' bytes are more than the {READ_BYTES} that are read' WHEN gone THEN 'gone' END AS error,
+  CASE WHEN length <= {READ_BYTES} AND NOT gone THEN text END AS text FROM named"""
+)
+def unreadable_files(spark, sf_dir):
+    """Documents as files, some too large and some gone since they were listed: these are rows with an error."""
+    folder = work_folder(spark, "files")
+    items = inputs.files(spark, sf_dir).select("doc_id", F.col("path").alias("out_path"), F.col("text").alias("content"))
+    sinks.save_per_item(items.filter("doc_id % 7 != 3"), folder, as_files=True)
+    listed = sources.list_files(spark, folder, ("src1*/**", "**/*.md"))
+    gone = inputs.files(spark, sf_dir).filter("doc_id % 7 = 3").select("path", "modified", "length")
+    gone = gone.filter(F.col("path").startswith("src1") | F.col("path").endswith(".md"))
+    read = sources.decoded(sources.read_content(spark, listed.unionByName(gone), folder, max_bytes=READ_BYTES))
+    missing = F.col("error").contains("No such file") | F.col("error").contains("does not exist")
+    return read.select("path", F.when(missing, "gone").otherwise(F.col("error")).alias("error"), "text")
+
+
+@query(
+    f"""WITH {inputs.VFILES} SELECT '## ' || path || ' - Error reading file: ' || length || ' bytes are more than the {READ_BYTES} that are read' || chr(10) || chr(10) AS out
+FROM vfiles WHERE path LIKE '%.txt' AND length > {READ_BYTES}"""
+)
+def unreadable_blocks(spark, sf_dir):
+    """Blocks of files that are too large to be read; the others are shown as ever."""
+    folder = work_folder(spark, "files")
+    items = inputs.files(spark, sf_dir).select(F.col("path").alias("out_path"), F.col("text").alias("content"))
+    sinks.save_per_item(items, folder, as_files=True)
+    now = F.timestamp_seconds(F.lit(NOW))
+    blocks = find_files_below(spark, folder, FileSpec(globs=("**/*.txt",)), now, {"max_bytes": READ_BYTES})
+    return blocks.filter("error IS NOT NULL").select("out")
+
+
 @query(
     """SELECT doc_id, list_count(list_filter(string_split(text, chr(10)), lambda l: contains(l, 'The') AND regexp_matches(l, 't[b-df-hj-np-tv-z]'))) AS hits
 FROM documents WHERE contains(text, 'The') AND regexp_matches(text, 'n[b-df-hj-np-tv-z][aeiou]')"""

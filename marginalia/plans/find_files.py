@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markdown import fence_choice, file_block, file_error_block, friendly_age, friendly_size
 from ..operators.convert import Converter, convert_dispatch, converter_key
 from ..operators.lines import shown_text
 from ..operators.model import Model, apply_instructions, instructions_for_file
-from ..operators.select import no_match_notice, select_files, wrap_decision
+from ..operators.select import no_match_notice, path_selected, select_files, wrap_decision
+from ..sources.files import decoded, list_files, read_content
 from ..spec import FileSpec, LineSpec
 
 
@@ -55,6 +56,15 @@ def find_files_report(files: DataFrame, specs: Sequence[FileSpec], now: Column,
     return report
 
 
+def find_files_below(spark: SparkSession, root: str, spec: FileSpec, now: Column, read: Mapping[str, int] | None = None, **options) -> DataFrame:
+    """Blocks of the selected files below a folder: names are tested on the listing, so only what they select is read.
+
+    A file that cannot be read shows its error; where there are content tests, it fails them and is left out.
+    """
+    listed = list_files(spark, root).filter(path_selected(F.col("path"), spec))
+    return find_files(decoded(read_content(spark, listed, root, **(read or {}))), spec, now, **options)
+
+
 def find_files(
     files: DataFrame,
     spec: FileSpec,

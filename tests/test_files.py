@@ -15,6 +15,82 @@ from marginalia.sources import files as sources
 from marginalia.spec import FileSpec, LineSpec
 
 
+def read_or_error(spark, root, listed=None, **options):
+    files = sources.list_files(spark, root) if listed is None else listed
+    rows = sources.decoded(sources.read_content(spark, files, root, **options)).collect()
+    return {r["path"]: (r["text"], r["error"]) for r in rows}
+
+
+def test_files_that_cannot_be_read_are_rows(spark, tmp_path):
+    root = tmp_path / "odd names é %20"
+    root.mkdir()
+    for name in ("good.md", "gone.md", "turned.md", "a b%41 ü.md"):
+        (root / name).write_text(f"text of {name}")
+    with open(root / "huge.md", "wb") as file:  # takes no room on disk
+        file.truncate(3 << 30)
+    files = spark.createDataFrame(sources.list_files(spark, str(root)).collect())
+    (root / "gone.md").unlink()
+    (root / "turned.md").unlink()
+    (root / "turned.md").mkdir()
+    got = read_or_error(spark, str(root), files)
+    assert got["good.md"] == ("text of good.md", None) and got["a b%41 ü.md"] == ("text of a b%41 ü.md", None)
+    assert got["huge.md"] == (None, f"{3 << 30} bytes are more than the {512 << 20} that are read")
+    for name in ("gone.md", "turned.md"):
+        assert got[name][0] is None and got[name][1]
+    (root / "good.md").write_text("x" * 50)  # grew since it was listed
+    assert read_or_error(spark, str(root), files, max_bytes=20)["good.md"] == (None, "it grew beyond the 20 bytes that are read")
+
+
+def test_a_forbidden_file_is_a_row_with_its_reason(spark, tree, monkeypatch):
+    from pyarrow import fs
+
+    real = fs.LocalFileSystem()
+
+    class Refusing:
+        def open_input_stream(self, path, **options):
+            if path.endswith("b.txt"):
+                raise PermissionError(f"Permission denied: {path}")
+            return real.open_input_stream(path, **options)
+
+    class Uris:
+        @staticmethod
+        def from_uri(root):
+            return Refusing(), root.removeprefix("file://")
+
+    monkeypatch.setattr(fs, "FileSystem", Uris)
+    import pyarrow as pa
+
+    read = sources._reader(f"file://{tree}", 1000)
+    batch = pa.RecordBatch.from_pydict({"path": ["a.md", "sub/b.txt", "sub/c.bin"], "length": [18, 14, 3]})
+    rows = [row for out in read([batch]) for row in out.to_pylist()]
+    assert [r["content"] is None for r in rows] == [False, True, False]
+    assert rows[1]["error"].startswith("Permission denied") and rows[0]["error"] is None
+
+
+def test_reading_is_dealt_by_bytes(spark, tmp_path):
+    root = tmp_path / "many"
+    root.mkdir()
+    for i in range(40):
+        (root / f"{i:02d}.txt").write_text("y" * (60_000 if i == 7 else 1000))
+    read = sources.read_content(spark, sources.list_files(spark, str(root)), str(root), task_bytes=30_000)
+    assert read.rdd.getNumPartitions() >= 7
+    sizes = [sum(r["length"] for r in part) for part in read.select("length").rdd.glom().collect()]
+    assert sum(sizes) == 39_000 + 60_000 and sorted(sizes)[-2] <= 12_000
+    assert sources.read_files(spark, str(root), ["no/such"]).count() == 0
+
+
+def test_unreadable_files_fail_content_tests_and_show_errors(spark, tree):
+    from marginalia.plans.find_files import find_files_below
+
+    now = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    shown = lambda read, **spec: {r["path"]: r["out"] for r in find_files_below(spark, tree, FileSpec(**spec), now, read).collect()}
+    blocks = shown({"max_bytes": 15}, globs=("**/*.md", "**/*.txt"))
+    assert blocks["a.md"] == "## a.md - Error reading file: 18 bytes are more than the 15 that are read\n\n"
+    assert "second" in blocks["sub/b.txt"]
+    assert set(shown({"max_bytes": 15}, globs=("**/*.md", "**/*.txt"), not_contains=("nothing",))) == {"sub/b.txt"}
+    assert set(shown(None, globs=("**/*.md",), contains=("Title",))) == {"a.md"}
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "tree"
@@ -38,7 +114,7 @@ def test_scan_and_decode(spark, tree):
 
 
 def test_names_only_plan_leaves_content_unread(spark, tree, capsys):
-    sources.scan_files(spark, tree).filter("length > 5").select("path").explain()
+    sources.list_files(spark, tree).filter("length > 5").select("path").explain()
     plan = capsys.readouterr().out
     assert "content" not in plan.split("ReadSchema")[1] and "GreaterThan(length,5)" in plan
 
