@@ -13,6 +13,8 @@ of bounded size: where it errs, a chunk that occurs once takes the way of shared
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -26,7 +28,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from ..session import materialize
-from .batches import Memo, free_name, shared_state, text_chunks
+from .batches import free_name, shared_state, text_chunks
+from .token_counts import byte_letters
 
 MAX_MODEL_FILE = 64 << 20
 WINDOW_BITS = 5
@@ -34,12 +37,17 @@ MIN_CHUNK, MAX_CHUNK = 128, 4096
 CUT_BITS = 9
 FILTER_BITS = 26
 FILTER_KEYS = 3
+MEMO_PIECES, MEMO_WORDS = 3 << 16, 1 << 15
+KEY_LENGTH = 64
+#: Texts that lower-casing and normalising treat as Python does, and the pieces that are merged on their own in them.
+PLAIN = re.compile("[ \\t-\\r!-~À-ÖØ-öø-ÿ]*").fullmatch
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t-\\ra-z0-9ß-öø-ÿ]+").findall
 
 _PART = T.StructType(
     [
         T.StructField("h1", T.LongType()),
         T.StructField("h2", T.LongType()),
-        T.StructField("ids", T.BinaryType()),
+        T.StructField("codes", T.BinaryType()),
         T.StructField("head", T.BinaryType()),
         T.StructField("head_n", T.IntegerType()),
         T.StructField("tail", T.BinaryType()),
@@ -137,8 +145,31 @@ def filter_places(h1: np.ndarray, h2: np.ndarray) -> list[np.ndarray]:
     return [((first + second * np.uint64(k)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64) for k in range(FILTER_KEYS)]
 
 
+class Recent(dict):
+    """Codes by key, in two generations: when the newer one is full it becomes the older one, which is dropped."""
+
+    def __init__(self, code: Callable[[object], bytes], most: int) -> None:
+        super().__init__()
+        self.code, self.most, self.older = code, most, {}
+
+    def __missing__(self, key: str | bytes) -> bytes:
+        coded = self.older.get(key)
+        if coded is None:
+            coded = self.code(key)
+        if len(key) <= KEY_LENGTH:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = coded
+        return coded
+
+
 class WordEncoder:
-    """Ids of texts by the tokenizer library, word by word; words that come again are looked up."""
+    """Codes of texts by the tokenizer library, word by word; what comes again is looked up.
+
+    Codes are ids of two bytes each, four for larger vocabularies. Plain text, of printable ASCII and the letters of
+    Latin-1, is cut into pieces here, which go to the library's merges; any other word goes through all of the library.
+    """
 
     def __init__(self, model: str) -> None:
         self.library = Tokenizer.from_str(model)
@@ -148,55 +179,71 @@ class WordEncoder:
         self.names = [""] * (max(names.values(), default=-1) + 1)
         for name, at in names.items():
             self.names[at] = name
-        self.words = Memo(self._word)
-
-    def _word(self, word: bytes) -> list[int]:
-        return self.library.encode(word.decode(), add_special_tokens=False).ids
-
-    def encode(self, text: bytes) -> list[int]:
-        """The ids of a text; white space between words gives none, so words stand on their own."""
-        ids: list[int] = []
-        for word in map(self.words.__getitem__, text.split()):
-            ids += word
-        return ids
+        self.kind = "H" if len(self.names) <= 1 << 16 else "I"
+        self.letters = dict(enumerate(byte_letters()))
+        self.merge = self.library.model.tokenize
+        added = [re.escape(token.content) for token in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or "(?!)").search
+        self.pieces = Recent(self._piece, MEMO_PIECES)
+        self.words = Recent(self._odd_word, MEMO_WORDS)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [token.id for token in self.merge(shown)]).tobytes()
+
+    def _odd_word(self, word: bytes) -> bytes:
+        return array(self.kind, self.library.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES(text.lower())))
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        return self._plain(text) if PLAIN(text) and not self.special(text) else self.words[word]
+
+    def encode(self, text: bytes) -> bytes:
+        """The codes of a text; white space between words gives none, so words stand on their own."""
+        shown = text.decode()
+        if PLAIN(shown) and not self.special(shown):
+            return self._plain(shown)
+        return b"".join(map(self._word, text.split()))
+
+    def ids(self, codes: bytes) -> np.ndarray:
+        return np.frombuffer(codes, self.kind).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
     def coded(self, chunk: bytes) -> tuple[bytes, bytes, int, bytes | None, int]:
-        """A chunk's ids, its head up to the first white space and its tail from the last on, each with its count of ids.
+        """A chunk's codes, its head up to the first white space and its tail from the last on, each with its count of bytes.
 
         A chunk without white space is all head and has no tail.
         """
-        ids = self.encode(chunk)
+        codes = self.encode(chunk)
         words = chunk.split(None, 1)
         head = b"" if chunk[:1].isspace() or not words else words[0]
         if len(head) == len(chunk):
-            return _packed(ids), chunk, len(ids), None, 0
+            return codes, chunk, len(codes), None, 0
         tail = b"" if chunk[-1:].isspace() else chunk.rsplit(None, 1)[-1]
-        return _packed(ids), head, len(self.encode(head)), tail, len(self.encode(tail))
-
-
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<i4").tobytes()
+        return codes, head, len(self.encode(head)), tail, len(self.encode(tail))
 
 
-def joined(parts: list[dict], encode: Callable[[bytes], list[int]]) -> np.ndarray:
-    """The ids of a text from those of its parts, with every joint encoded again.
+def joined(parts: list[dict], encode: Callable[[bytes], bytes]) -> bytes:
+    """The codes of a text from those of its parts, with every joint encoded again.
 
-    ``open`` is the text since the last white space: it is not settled until white space follows.
+    ``open_`` is the text since the last white space: it is not settled until white space follows.
     """
     settled, open_ = [], b""
     for part in parts:
         if part["tail"] is None:
             open_ += part["head"]
             continue
-        ids = np.frombuffer(part["ids"], "<i4")
-        settled.append(np.array(encode(open_ + part["head"]), dtype="<i4"))
-        settled.append(ids[part["head_n"] : len(ids) - part["tail_n"]])
+        codes = part["codes"]
+        settled.append(encode(open_ + part["head"]))
+        settled.append(codes[part["head_n"] : len(codes) - part["tail_n"]])
         open_ = part["tail"]
-    settled.append(np.array(encode(open_), dtype="<i4"))
-    return np.concatenate(settled)
+    settled.append(encode(open_))
+    return b"".join(settled)
 
 
 def _counted(docs: DataFrame, text: str) -> DataFrame:
@@ -343,7 +390,7 @@ def encode(
                 held = own.as_py()
                 for piece in pieces.as_py() or ():
                     held[piece["at"]] = piece
-                flat.append(joined(held, encoder.encode))
+                flat.append(encoder.ids(joined(held, encoder.encode)))
                 if decoded:
                     back.append(encoder.decode(flat[-1]))
             offsets = np.r_[0, np.cumsum([len(x) for x in flat])].astype(np.int32)

@@ -31,8 +31,8 @@ def chunks_of(text):
 
 
 def by_parts(parts):
-    names = ["ids", "head", "head_n", "tail", "tail_n"]
-    return joined([dict(zip(names, ENCODER.coded(part))) for part in parts], ENCODER.encode).tolist()
+    names = ["codes", "head", "head_n", "tail", "tail_n"]
+    return ENCODER.ids(joined([dict(zip(names, ENCODER.coded(part))) for part in parts], ENCODER.encode)).tolist()
 
 
 @settings(max_examples=400, deadline=None)
@@ -52,6 +52,16 @@ def test_words_with_odd_white_space_and_special_strings():
         assert ENCODER.decode(ids) == LIBRARY.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_every_plain_character_and_a_small_memo(monkeypatch):
+    plain = [chr(c) for c in range(0x250) if chunk_reuse.PLAIN(chr(c))]
+    rng = random.Random(1)
+    texts = [a + b for a in plain for b in ("", "'s", "x", "1")] + ["".join(rng.choices(plain, k=rng.randint(1, 12))) for _ in range(5000)]
+    monkeypatch.setattr(chunk_reuse, "MEMO_PIECES", 50)
+    small = WordEncoder(MODEL)
+    for text in texts + texts[:100]:
+        assert small.ids(small.encode(text.encode())).tolist() == whole(text), text
+
+
 def test_chunks_follow_the_content():
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdeféß漢", k=rng.randint(1, 9))) for _ in range(500)]
