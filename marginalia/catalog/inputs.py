@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.htmltext import strip_html
 from ..operators.line_rows import split_lines
 from ..operators.search import corpus_search
 
@@ -108,17 +109,24 @@ VHITS = """vhits AS (
 TERM_QUERIES = ("Nation the", "le de", "der die das", "no such words anywhere")
 
 
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their ``text``, in which tags and attributes are no hits."""
+    return table(spark, sf_dir, "pages").withColumn("text", strip_html(F.col("html")))
+
+
 def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_search(table(spark, sf_dir, "pages"), TERM_QUERIES, "html")
+    return corpus_search(page_text(spark, sf_dir), TERM_QUERIES, "text")
 
 
+# Over ``collapsed (page_id, text)``, the text of pages.
 VSEARCHED = """terms AS (
   SELECT query, unnest(string_split(lower(query), ' ')) AS term
   FROM (VALUES ('Nation the'), ('le de'), ('der die das'), ('no such words anywhere')) q(query)),
+lowered AS (SELECT page_id, lower(text) AS body FROM collapsed),
 vsearched AS (
   SELECT query, page_id, url
-  FROM (SELECT query, page_id, url FROM pages, terms GROUP BY query, page_id, url
-        HAVING bool_and(contains(lower(html), term))))"""
+  FROM (SELECT query, page_id, url FROM pages JOIN lowered USING (page_id), terms GROUP BY query, page_id, url
+        HAVING bool_and(contains(body, term))))"""
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import htmltext
 from ..functions.markdown import page_block as block
 from ..functions.markdown import page_error_block
 from ..operators import search
+from ..operators.text_index import build_index, search_index
 from ..plans.web import web_get, web_search
 from ..plans.web import web_get_report as web_get_all
 from ..spec import Instruction, SearchSpec
@@ -140,19 +141,50 @@ def rate_limited_pages(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", htmltext.rate_limit_seconds(content).alias("wait_seconds"))
 
 
-@query(f"WITH {inputs.VSEARCHED} SELECT query, page_id, url FROM vsearched")
+_SEARCHED = f"{_STRIPPED}, {inputs.VSEARCHED}"
+
+
+@query(f"WITH {_SEARCHED} SELECT query, page_id, url FROM vsearched")
 def corpus_search(spark, sf_dir):
     return inputs.searched(spark, sf_dir)
 
 
 @query(
-    f"""WITH {inputs.VSEARCHED}
+    f"""WITH {_SEARCHED}
 SELECT query, page_id, url, row_number() OVER (PARTITION BY query ORDER BY page_id)::BIGINT AS pos FROM vsearched"""
 )
 def hit_positions(spark, sf_dir):
     return search.hit_positions(inputs.searched(spark, sf_dir))
 
 
+# A query from the titles of pages: two words, or one that stands in no text, or a part of a word in capitals.
+_ASKED = f"""asked AS (
+  SELECT DISTINCT CASE page_id % 4 WHEN 0 THEN w[1] || ' ' || w[-1] WHEN 1 THEN w[1] || ' ' || 'zq' || page_id || 'zq'
+    WHEN 2 THEN upper(substr(w[-1], 2, 4)) ELSE w[2] || ' ' || w[3] || '  ' || substr(w[1], 1, 1) END AS query
+  FROM (SELECT page_id, string_split({_TITLE}, ' ') AS w FROM pages WHERE page_id % 3 = 0))"""
+
+
+@query(
+    f"""WITH {_STRIPPED}, {_ASKED}, lowered AS (SELECT page_id, lower(text) AS body FROM collapsed)
+SELECT query, page_id, url FROM asked, pages JOIN lowered USING (page_id)
+WHERE query IS NOT NULL AND len(list_filter(string_split(lower(query), ' '), lambda t: NOT contains(body, t))) = 0"""
+)
+def indexed_search(spark, sf_dir):
+    """A table of queries, made from the titles of pages, searched in an index of the text of all pages."""
+    pages = inputs.page_text(spark, sf_dir)
+    words, page_id = F.split(htmltext.page_title(F.col("html")), " "), F.col("page_id")
+    word = lambda n: F.try_element_at(words, F.lit(n))
+    absent = F.concat(F.lit("zq"), page_id.cast("string"), F.lit("zq"))
+    query = (
+        F.when(page_id % 4 == 0, F.concat(word(1), F.lit(" "), word(-1)))
+        .when(page_id % 4 == 1, F.concat(word(1), F.lit(" "), absent))
+        .when(page_id % 4 == 2, F.upper(F.substring(word(-1), 2, 4)))
+        .otherwise(F.concat(word(2), F.lit(" "), word(3), F.lit("  "), F.substring(word(1), 1, 1)))
+    )
+    asked = inputs.table(spark, sf_dir, "pages").filter("page_id % 3 = 0").select(query.alias("query"))
+    return search_index(build_index(pages), asked)
+
+
 @query(
     """SELECT regexp_extract(url, '^[a-z]+') AS query, page_id AS "offset", i::INT AS pos,
   CASE i WHEN 0 THEN url ELSE url || '&again' END AS url FROM pages, (VALUES (0), (1)) v(i)"""
@@ -256,7 +288,7 @@ def web_get_report(spark, sf_dir):
 
 
 @query(
-    f"""WITH {inputs.VSEARCHED}, {_STRIPPED},
+    f"""WITH {_SEARCHED},
 top AS (SELECT query, url, row_number() OVER (PARTITION BY query ORDER BY page_id)::INT AS rank FROM vsearched
   WHERE NOT regexp_matches(url, '(?i)SPAM') QUALIFY rank <= 5),
 section AS (SELECT q.query, '## Web Search for ''' || q.query || ''' using Corpus' || chr(10) || chr(10)
