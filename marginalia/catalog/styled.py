@@ -128,6 +128,24 @@ def markdown_links(spark, sf_dir):
     return paragraphs.withColumn("out", F.substring("out", 3, 2147483647))
 
 
+@query(
+    """WITH links AS (SELECT page_id AS doc_id, page_id % 3 AS link_id, i AS ord, CASE i WHEN 1 THEN url WHEN 2 THEN 'a/' || url ELSE url || '/0' END AS uri
+  FROM pages, (VALUES (1), (2), (3)) v(i) WHERE i < 3 OR page_id % 2 = 0)
+SELECT doc_id, k, uri FROM (SELECT doc_id, unnest(generate_series(0, 3)) AS k FROM documents) r
+LEFT JOIN (SELECT doc_id, link_id, min_by(uri, ord) AS uri FROM links GROUP BY 1, 2) l USING (doc_id) WHERE k = link_id
+UNION ALL SELECT doc_id, k, NULL FROM (SELECT doc_id, unnest(generate_series(0, 3)) AS k FROM documents) WHERE k <> doc_id % 3 OR doc_id NOT IN (SELECT page_id FROM pages)"""
+)
+def repeated_links(spark, sf_dir):
+    """Runs whose link id is given two or three times: the first target counts and no run is doubled."""
+    times = F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("ord")
+    pages = inputs.table(spark, sf_dir, "pages").select("page_id", "url", times).filter("ord < 3 OR page_id % 2 = 0")
+    uri = F.when(F.col("ord") == 1, F.col("url")).when(F.col("ord") == 2, F.concat(F.lit("a/"), "url")).otherwise(F.concat("url", F.lit("/0")))
+    links = pages.select(F.col("page_id").alias("doc_id"), (F.col("page_id") % 3).alias("link_id"), "ord", uri.alias("uri"))
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("k")
+    runs = inputs.table(spark, sf_dir, "documents").select("doc_id", k).withColumn("link_id", F.col("k"))
+    return styled.with_links(runs, links).select("doc_id", "k", "uri")
+
+
 @query(
     f"""WITH {inputs.VWORDS}, shown AS (
   SELECT doc_id, para, string_agg(CASE WHEN k > 0 AND (k - 1) % 4 = 3 THEN '<br/>' ELSE '' END

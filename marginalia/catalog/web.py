@@ -277,6 +277,53 @@ def page_get(spark, sf_dir):
     return search.page_get(asked, pages).select("ord", "url", "status", "out")
 
 
+DAY, CRAWLED = 86400, 1700000000
+_CAPTURES = f"""captures AS (
+  SELECT url, page_id, to_timestamp({CRAWLED} + (page_id % 5) * {DAY}) AS captured, html FROM pages
+  UNION ALL SELECT url, page_id, to_timestamp({CRAWLED} + (10 + page_id % 4) * {DAY}), html || ' later' FROM pages WHERE page_id % 3 = 0
+  UNION ALL SELECT url, page_id + 1000000, to_timestamp({CRAWLED} + (10 + page_id % 4) * {DAY}), html || ' again' FROM pages WHERE page_id % 6 = 0
+  UNION ALL SELECT 'http://hot.example/', page_id, to_timestamp({CRAWLED} + page_id), '<title>hot</title>' || page_id FROM pages),
+asked AS (
+  SELECT page_id AS ord, CASE WHEN page_id % 7 = 1 THEN 'http://hot.example/' ELSE url END AS url,
+         to_timestamp({CRAWLED} + (page_id % 17 - 1) * {DAY} + page_id) AS asked_at FROM pages)"""
+
+
+def _captures(spark, sf_dir):
+    pages, page_id = _pages(spark, sf_dir), F.col("page_id")
+    crawled = lambda day: F.timestamp_seconds(F.lit(CRAWLED) + day * DAY).alias("captured")
+    html = lambda mark: F.concat("html", F.lit(mark)).alias("html")
+    later = crawled(10 + page_id % 4)
+    hot = F.concat(F.lit("<title>hot</title>"), page_id.cast("string")).alias("html")
+    captures = pages.select("url", "page_id", crawled(page_id % 5), "html")
+    captures = captures.union(pages.filter("page_id % 3 = 0").select("url", "page_id", later, html(" later")))
+    captures = captures.union(pages.filter("page_id % 6 = 0").select("url", page_id + 1000000, later, html(" again")))
+    captures = captures.union(pages.select(F.lit("http://hot.example/"), page_id, F.timestamp_seconds(F.lit(CRAWLED) + page_id), hot))
+    at = F.timestamp_seconds(F.lit(CRAWLED) + (page_id % 17 - 1) * DAY + page_id).alias("at")
+    url = F.when(page_id % 7 == 1, F.lit("http://hot.example/")).otherwise(F.col("url")).alias("url")
+    return captures, pages.select(page_id.alias("ord"), url, at)
+
+
+def _captured_sql(latest: str) -> str:
+    return f"""WITH {_CAPTURES},
+chosen AS (SELECT a.ord, a.url, max_by(html, (captured, page_id)) AS html FROM asked a LEFT JOIN captures c ON a.url = c.url{latest} GROUP BY ALL)
+SELECT ord, r.url, CASE WHEN html IS NULL THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN html IS NULL THEN {_NO_PAGE} ELSE {_block_sql('html').replace('|| url ||', '|| r.url ||')} END AS out FROM chosen r"""
+
+
+@query(_captured_sql(" AND captured <= asked_at"))
+def page_get_as_of(spark, sf_dir):
+    """Pages as they were when they were asked for, from several captures of a URL, one of them very hot."""
+    captures, asked = _captures(spark, sf_dir)
+    return search.page_get(asked, captures, at="at", captured="captured").select("ord", "url", "status", "out")
+
+
+@query(_captured_sql(""))
+def page_get_newest(spark, sf_dir):
+    """One block per request, of the newest of several captures."""
+    captures, asked = _captures(spark, sf_dir)
+    return search.page_get(asked.drop("at"), captures, captured="captured").select("ord", "url", "status", "out")
+
+
 @query(
     f"""WITH {inputs.VREQUESTS}, {_STRIPPED},
 good AS (SELECT * FROM vrequests WHERE request NOT IN (SELECT request FROM vrequests WHERE NOT starts_with(url, 'http')))

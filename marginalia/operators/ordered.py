@@ -1,4 +1,4 @@
-"""Places and running sums in a given order, without one task that sees all rows of a key."""
+"""Places, running sums and latest values in a given order, without one task that sees all rows of a key."""
 
 from __future__ import annotations
 
@@ -68,3 +68,20 @@ def sum_before(
     joined = _with_earlier(local, totals, keys, "__base")
     total = (F.col("__base") + F.col("__local")).cast("bigint")
     return joined.withColumn(name, total).drop("__part", "__at", "__local", "__base", "__value")
+
+
+def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the last ``value`` that is not null at or before each, among the rows of the same keys in ``order``.
+
+    The union of a table of states and a table of questions, in the order of their times, so becomes an as-of join in which
+    a key with very many states or questions is many ranges.
+    """
+    ranges = _ranges(rows, [*keys, *order], None)
+    upto = Window.partitionBy(*keys, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    local = ranges.withColumn("__local", F.last(value, ignorenulls=True).over(upto))
+    ends = ranges.filter(F.col(value).isNotNull()).groupBy(*keys, "__part").agg(F.max_by(value, "__at").alias("__end"))
+    parts = join_keys(ranges.select(*keys, "__part").distinct(), ends, [*keys, "__part"], "left")
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = parts.select(*keys, "__part", F.last("__end", ignorenulls=True).over(before).alias("__earlier"))
+    joined = join_keys(local, earlier.filter(F.col("__earlier").isNotNull()), [*keys, "__part"], "left")
+    return joined.withColumn(name, F.coalesce("__local", "__earlier")).drop("__part", "__at", "__local", "__earlier")

@@ -15,6 +15,7 @@ from ..functions.patterns import matches_any
 from ..session import materialize
 from .joins import join_keys
 from .numbering import numbered
+from .ordered import latest
 
 TOP_SLICES = 64
 
@@ -153,19 +154,73 @@ def fetched_block(strip: bool) -> Column:
     return F.when(html.isNull(), missing).when(rate_limit_seconds(html).isNotNull(), limited).otherwise(shown)
 
 
-def page_get(requests: DataFrame, pages: DataFrame, strip: bool = False) -> DataFrame:
+#: Before and after all times: captures without a time, and requests that take the newest.
+NEVER, ALWAYS = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
+
+
+def newest_pages(pages: DataFrame, wanted: DataFrame, newest: Sequence[str]) -> DataFrame:
+    """``(url, html)``: of the captures of each wanted URL the one with the greatest ``newest``, of equal ones one for sure.
+
+    Pages meet the wanted URLs first, so that only their captures are compared, and are compared before they are shuffled.
+    """
+    found = pages.select("url", *newest, "html").join(wanted, "url")
+    capture = F.struct(*newest, F.col("html").isNotNull().alias("__stored"), "html")
+    return found.groupBy("url").agg(F.max(capture)["html"].alias("html"))
+
+
+def captures_as_of(asked: DataFrame, pages: DataFrame, at: str, captured: str, newest: Sequence[str]) -> DataFrame:
+    """``(url, at, html)``: for each different URL and time of ``asked`` the newest capture that is not after it.
+
+    Times are settled on keys alone, by a union of captures and requests in the order of time; texts are then joined for
+    the captures chosen. Captures without a time come before all others, requests without a time after them.
+    """
+    time = lambda c, else_: F.coalesce(F.col(c).cast("timestamp"), F.lit(else_).cast("timestamp"))
+    requests = asked.select("url", time(at, ALWAYS).alias("__time")).distinct()
+    urls = requests.select("url").distinct()
+    stored = pages.withColumn("__time", time(captured, NEVER))
+    capture = F.struct("__time", *newest)
+    seen = stored.join(urls, "url").select("url", "__time", F.lit(0).alias("__kind"), capture.alias("__capture")).distinct()
+    questions = requests.select("url", "__time", F.lit(1).alias("__kind"), F.lit(None).cast(seen.schema["__capture"].dataType).alias("__capture"))
+    located = latest(seen.unionByName(questions), ["url"], ["__time", "__kind", "__capture"], "__capture", "__found")
+    chosen = materialize(located.filter("__kind = 1 AND __found IS NOT NULL").select("url", F.col("__time").alias("__asked"), "__found"), "captures")
+    keys = chosen.select("url", "__found").distinct()
+    texts = join_keys(stored.select("url", capture.alias("__found"), "html"), keys, ["url", "__found"], "left_semi")
+    text = F.max(F.struct(F.col("html").isNotNull().alias("__stored"), "html"))["html"]
+    once = texts.groupBy("url", "__found").agg(text.alias("html"))
+    return join_keys(chosen, once, ["url", "__found"]).select("url", "__asked", "html")
+
+
+def page_get(
+    requests: DataFrame,
+    pages: DataFrame,
+    strip: bool = False,
+    at: str | None = None,
+    captured: str | None = None,
+    newest: Sequence[str] | None = None,
+) -> DataFrame:
     """Pages of requested URLs from a crawl table; a URL without a page becomes an error block.
 
+    Each request gives one row, however often its URL was crawled: the newest capture counts, by the columns ``newest``
+    (``page_id`` where pages have it). With ``at``, a time of requests, and ``captured``, the time of pages, it is the
+    newest capture that is not after the request, and a URL that was first crawled later is an error.
+
     ``status`` is ``ok``, ``error`` for a URL without a page, or ``limited`` for a stored rate-limit notice, which
     is shown as an error too. The requests are written out first, so that Spark knows their size when it plans:
     the pages are joined to the different URLs before anything else, and while these are small they are broadcast
     and the page table is not shuffled. Beyond that Spark shuffles both sides. The requests then meet the pages
     that were found, and a URL that is requested very often is split.
     """
+    if newest is None:
+        newest = [c for c in ("page_id",) if c in pages.columns]
     asked = materialize(requests, "requests")
-    wanted = asked.select("url").distinct()
-    found = pages.select("url", "html").join(wanted, "url")
-    joined = asked.join(found, "url", "left")
+    if at is None or captured is None:
+        by_captured = [] if captured is None else [captured]
+        found = newest_pages(pages, asked.select("url").distinct(), [*by_captured, *newest])
+        joined = asked.join(found, "url", "left")
+    else:
+        found = captures_as_of(asked, pages, at, captured, newest)
+        timed = asked.withColumn("__asked", F.coalesce(F.col(at).cast("timestamp"), F.lit(ALWAYS).cast("timestamp")))
+        joined = timed.join(found, ["url", "__asked"], "left").drop("__asked")
     limited = rate_limit_seconds(F.col("html")).isNotNull()
     status = F.when(F.col("html").isNull(), "error").when(limited, "limited").otherwise("ok")
     return joined.withColumn("status", status).withColumn("out", fetched_block(strip)).drop("html")

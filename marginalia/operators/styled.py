@@ -27,9 +27,11 @@ def ordered_array(order: Sequence[str], value: Column) -> Column:
 def with_links(runs: DataFrame, links: DataFrame) -> DataFrame:
     """Look up link targets; an unknown link id leaves ``uri`` null.
 
+    Of a link id that a document gives more than once the first counts (see ``first_defined``), so runs never multiply.
     Only runs with a link id meet the links; all others pass by without a shuffle.
     """
-    linked = runs.filter(F.col("link_id").isNotNull()).join(links.select("doc_id", "link_id", "uri"), ["doc_id", "link_id"], "left")
+    targets = first_defined(links.filter(F.col("link_id").isNotNull()), ["doc_id", "link_id"], "uri")
+    linked = runs.filter(F.col("link_id").isNotNull()).join(targets, ["doc_id", "link_id"], "left")
     others = runs.filter(F.col("link_id").isNull()).withColumn("uri", F.lit(None).cast(links.schema["uri"].dataType))
     return linked.unionByName(others)
 

@@ -204,3 +204,30 @@ def test_rate_limit_notices_are_errors(spark):
     pages = spark.createDataFrame([("http://a", "Rate limit is exceeded. Try again in 7 seconds.")], "url string, html string")
     row = search.page_get(spark.createDataFrame([(0, "http://a")], "ord int, url string"), pages).first()
     assert row["status"] == "limited" and row["out"].startswith("## Error fetching http://a\n\nrate limit notice")
+
+
+def test_repeated_captures_give_one_block(spark):
+    day = lambda n: f"2024-01-{n:02d} 00:00:00"
+    stored = [("http://a", 1, day(1), "one"), ("http://a", 2, day(3), "two"), ("http://a", 3, day(3), "three"), ("http://a", 3, day(3), "tree"),
+              ("http://b", 4, None, "old"), ("http://b", 5, day(9), "new"), ("http://n", 6, day(1), None)]
+    pages = spark.createDataFrame(stored, "url string, page_id long, captured string, html string")
+    asked = [(0, "http://a", day(2)), (1, "http://a", day(3)), (2, "http://a", None), (3, "http://b", day(2)), (4, "http://b", day(9)),
+             (5, "http://a", "2023-12-31 00:00:00"), (6, "http://a", day(2)), (7, "http://n", day(2)), (8, None, day(2))]
+    requests = spark.createDataFrame(asked, "ord int, url string, at string").repartition(4)
+    got = {r["ord"]: (r["status"], r["out"]) for r in search.page_get(requests, pages, at="at", captured="captured").collect()}
+    assert len(got) == len(asked)
+    text = lambda n: got[n][1].split("```\n")[1].strip() if got[n][0] == "ok" else got[n][0]
+    assert [text(n) for n in range(9)] == ["one", "tree", "tree", "old", "new", "error", "one", "error", "error"]
+    newest = {r["ord"]: r["out"] for r in search.page_get(requests.drop("at"), pages).collect()}
+    assert len(newest) == len(asked) and "tree" in newest[0] and "new" in newest[3]
+
+
+def test_a_hot_url_is_cut_into_ranges(spark):
+    from marginalia.operators.ordered import latest
+
+    rows = spark.range(40_000, numPartitions=8).select(
+        F.lit("hot").alias("url"), F.col("id").alias("t"), F.when(F.col("id") % 1000 == 7, F.col("id")).alias("v")
+    )
+    got = latest(rows, ["url"], ["t"], "v", "last")
+    assert got.filter(~F.col("last").eqNullSafe(F.when(F.col("t") >= 7, F.floor((F.col("t") - 7) / 1000) * 1000 + 7))).count() == 0
+    assert got.count() == 40_000
