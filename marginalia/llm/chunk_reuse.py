@@ -22,6 +22,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,7 +168,7 @@ class Recent(dict):
 class WordEncoder:
     """Codes of texts by the tokenizer library, word by word; what comes again is looked up.
 
-    Codes are ids of two bytes each, four for larger vocabularies. Plain text, of printable ASCII and the letters of
+    Codes are ids of two bytes each, four for larger vocabularies; in tables they are compressed. Plain text, of printable ASCII and the letters of
     Latin-1, is cut into pieces here, which go to the library's merges; any other word goes through all of the library.
     """
 
@@ -184,6 +185,7 @@ class WordEncoder:
         self.merge = self.library.model.tokenize
         added = [re.escape(token.content) for token in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(added) or "(?!)").search
+        self.pack, self.unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         self.pieces = Recent(self._piece, MEMO_PIECES)
         self.words = Recent(self._odd_word, MEMO_WORDS)
 
@@ -215,7 +217,7 @@ class WordEncoder:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
     def coded(self, chunk: bytes) -> tuple[bytes, bytes, int, bytes | None, int]:
-        """A chunk's codes, its head up to the first white space and its tail from the last on, each with its count of bytes.
+        """A chunk's packed codes, its head up to the first white space and its tail from the last on, each with its count of bytes.
 
         A chunk without white space is all head and has no tail.
         """
@@ -223,22 +225,22 @@ class WordEncoder:
         words = chunk.split(None, 1)
         head = b"" if chunk[:1].isspace() or not words else words[0]
         if len(head) == len(chunk):
-            return codes, chunk, len(codes), None, 0
+            return self.pack(codes), chunk, len(codes), None, 0
         tail = b"" if chunk[-1:].isspace() else chunk.rsplit(None, 1)[-1]
-        return codes, head, len(self.encode(head)), tail, len(self.encode(tail))
+        return self.pack(codes), head, len(self.encode(head)), tail, len(self.encode(tail))
 
 
-def joined(parts: list[dict], encode: Callable[[bytes], bytes]) -> bytes:
+def joined(parts: list[dict], encoder: WordEncoder) -> bytes:
     """The codes of a text from those of its parts, with every joint encoded again.
 
     ``open_`` is the text since the last white space: it is not settled until white space follows.
     """
-    settled, open_ = [], b""
+    settled, open_, encode = [], b"", encoder.encode
     for part in parts:
         if part["tail"] is None:
             open_ += part["head"]
             continue
-        codes = part["codes"]
+        codes = encoder.unpack(part["codes"])
         settled.append(encode(open_ + part["head"]))
         settled.append(codes[part["head_n"] : len(codes) - part["tail_n"]])
         open_ = part["tail"]
@@ -390,7 +392,7 @@ def encode(
                 held = own.as_py()
                 for piece in pieces.as_py() or ():
                     held[piece["at"]] = piece
-                flat.append(encoder.ids(joined(held, encoder.encode)))
+                flat.append(encoder.ids(joined(held, encoder)))
                 if decoded:
                     back.append(encoder.decode(flat[-1]))
             offsets = np.r_[0, np.cumsum([len(x) for x in flat])].astype(np.int32)

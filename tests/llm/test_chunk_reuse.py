@@ -32,7 +32,7 @@ def chunks_of(text):
 
 def by_parts(parts):
     names = ["codes", "head", "head_n", "tail", "tail_n"]
-    return ENCODER.ids(joined([dict(zip(names, ENCODER.coded(part))) for part in parts], ENCODER.encode)).tolist()
+    return ENCODER.ids(joined([dict(zip(names, ENCODER.coded(part))) for part in parts], ENCODER)).tolist()
 
 
 @settings(max_examples=400, deadline=None)
