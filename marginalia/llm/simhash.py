@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .batches import text_chunks
+from .batches import free_name, text_chunks
 from .components import components
 
 BITS = 64
@@ -257,17 +257,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest key.
+    """``docs`` with one row of each component: the one with the smallest key, null keys last.
 
-    Rows that repeat that key are one document and stay as one row. Documents without a key cannot be told apart by
-    it, so they all stay.
+    Rows are told apart by a number that is written with them, not by their key: of rows that share a key those in
+    one component are one group, those with other texts stay, and rows without a key are compared like any other. Of rows
+    equal in component and key one stays.
     """
-    judged = near_duplicates(docs, key, text)
-    kept = materialize(
-        judged.filter(F.col("component") == F.col(key)).groupBy(F.col(key).alias("kept_key")).agg(F.count(F.lit(1)).alias("n")), "kept"
-    )
-    # The kept keys grow with the documents, so they are never broadcast, whatever their number.
-    same = F.col(key) == F.col("kept_key")
-    once = docs.join(kept.filter("n = 1").hint("merge"), same, "left_semi")
-    repeated = docs.join(kept.filter("n > 1").hint("merge"), same, "left_semi").dropDuplicates([key])
-    return once.union(repeated).union(docs.filter(F.col(key).isNull()))
+    row, wanted = free_name(docs.columns, "row"), free_name(docs.columns, "kept_row")
+    # Hash tables of rows grow with the documents, so the rows kept are merged, not broadcast, whatever their number.
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    judged = near_duplicates(numbered.select(row, F.col(text).alias("text")), row, "text").select(row, "component")
+    keyed = judged.join(numbered.select(row, F.col(key).alias("key")).hint("merge"), row)
+    first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", row))
+    kept = materialize(keyed.groupBy("component").agg(first.alias("first")).select(F.col("first")[row].alias(wanted)), "kept")
+    return numbered.join(kept.hint("merge"), F.col(row) == F.col(wanted), "left_semi").drop(row)

@@ -117,4 +117,15 @@ def test_odd_documents(spark):
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 7, 9]
+    clash = drop_near_duplicates(docs.withColumns({"kept_row": F.lit("x"), "component": F.lit(1), "fingerprint": F.lit("f"), "kept_key": F.lit(2)}))
+    assert clash.columns == [*docs.columns, "kept_row", "component", "fingerprint", "kept_key"] and clash.count() == kept.count()
     assert near_duplicates(empty_documents(spark)).collect() == [] == drop_near_duplicates(empty_documents(spark)).collect()
+
+
+def test_rows_are_kept_by_row_and_not_by_id(spark):
+    a, b, c = (f"text {x} " + " ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, b), (None, c), (None, c), (None, "alone without an id")]
+    for seed in range(3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(seed + 1)
+        got = sorted((r.text, r.doc_id) for r in drop_near_duplicates(docs).collect())
+        assert got == sorted([(a, 3), (b, 7), (c, 9), ("alone without an id", None)])
