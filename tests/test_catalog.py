@@ -1,4 +1,7 @@
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from compare import difference, duck
@@ -6,6 +9,7 @@ from compare import difference, duck
 from __spark_entry__ import entry
 from marginalia.catalog import ORACLES, QUERIES
 
+ROOT = str(Path(__file__).resolve().parent.parent)
 PYTHON = {"instruction_chain", "file_instructions", "convert_dispatch", "retry_error", "web_get_messages"}
 
 
@@ -38,3 +42,12 @@ def test_plans_stay_distributed(spark, sf_dir, name):
 def test_entry(spark):
     rows = entry(spark)
     assert rows.columns == ["doc_id", "path", "out"] and rows.count() > 0
+
+
+@pytest.mark.parametrize("lost", ["marginalia.llm", "ahocorasick", "corpus_pipeline"])
+def test_queries_load_without_the_training_data_operators(lost):
+    """In a process of its own, in which one module cannot be imported."""
+    code = f"import sys; sys.modules[{lost!r}] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True)
+    count, pipeline = done.stdout.split()
+    assert int(count) >= len(QUERIES) and pipeline == "False"
