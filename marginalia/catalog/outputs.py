@@ -92,3 +92,16 @@ def stream_save(spark, sf_dir):
     rows = grep.stream_grep(_arriving(spark, sf_dir), PLAIN)
     grep.stream_save(rows, f"{folder}/out", f"{folder}/checkpoint", "{filePath}/{fileBase}.out", STAMP, TIME)
     return spark.read.schema("out_path string, content string").parquet(f"{folder}/out/batch=*")
+
+
+@query(
+    """WITH placed AS (SELECT source || '/' || lang AS base, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents)
+SELECT base || CASE WHEN n > 1 THEN ' (' || n || ')' ELSE '' END || '.out' AS out_path FROM placed"""
+)
+def stream_save_repeats(spark, sf_dir):
+    """Arriving documents that share output paths get a number each, over all batches."""
+    folder = work_folder(spark, "stream-repeats")
+    rows = _arriving(spark, sf_dir).withColumn("path", F.concat("source", F.lit("/"), "lang", F.lit(".txt")))
+    reports = rows.select("path", F.col("text").alias("report"))
+    grep.stream_save(reports, f"{folder}/out", f"{folder}/checkpoint", "{filePath}/{fileBase}.out", STAMP, TIME, on_repeat="number")
+    return spark.read.schema("out_path string, content string").parquet(f"{folder}/out/batch=*").select("out_path")

@@ -1,9 +1,14 @@
-"""The line search over arriving documents: stateless, append mode."""
+"""The line search over arriving documents, and saving its reports under paths of their own."""
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions.markdown import fence_choice
@@ -41,17 +46,63 @@ def run_to_parquet(rows: DataFrame, target: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def numbered_path(path: str, nth: int) -> str:
+    """``a/b.md`` for the first item of a path, then ``a/b (2).md`` and so on."""
+    if nth == 1:
+        return path
+    base, suffix = posixpath.splitext(path)
+    return f"{base} ({nth}){suffix}"
+
+
+def settle_paths(rows: DataFrame, on_repeat: str = "error") -> DataFrame:
+    """Arriving ``(out_path, content)`` with paths that no earlier item has, in this batch or any before it.
+
+    How often each path was met is kept in the state of the stream, so a batch that is replayed finds the counts of the
+    batch before it and gives its items the same paths. A path met again is an error that ends the stream before
+    anything of its batch is written (``error``), or it gets a number (``number``). Items of one path meet in one task, a
+    few at a time.
+    """
+    if on_repeat not in ("error", "number"):
+        raise ValueError(f"a repeated path is an error or gets a number, not {on_repeat!r}")
+
+    def settle(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        met = state.get[0] if state.exists else 0
+        for batch in batches:
+            if on_repeat == "error" and met + len(batch) > 1:
+                raise ValueError(f"several items share an output path: {key[0]}")
+            paths = [numbered_path(key[0], met + n) for n in range(1, len(batch) + 1)]
+            met += len(batch)
+            yield pd.DataFrame({"out_path": paths, "content": batch["content"].tolist()}, dtype=object)
+        state.update((met,))
+
+    grouped = rows.select("out_path", "content").groupBy("out_path")
+    return grouped.applyInPandasWithState(
+        settle, "out_path string, content string", "met bigint", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def stream_save(
-    rows: DataFrame, root: str, checkpoint: str, template: str, timestamp: str, time: str, out: str = "report"
+    rows: DataFrame,
+    root: str,
+    checkpoint: str,
+    template: str,
+    timestamp: str,
+    time: str,
+    out: str = "report",
+    on_repeat: str = "error",
 ) -> None:
-    """Per-item outputs while streaming. Each batch owns a folder by its id, so a replayed batch replaces it."""
+    """Per-item outputs while streaming, each under a path of its own; see ``settle_paths`` for a path met again.
+
+    Each batch owns a folder by its id, so a replayed batch replaces it.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        named = output_paths(batch.withColumn("content", F.col(out)), template, timestamp, time)
-        named.select("out_path", "content").write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
+    named = output_paths(rows.withColumn("content", F.col(out)), template, timestamp, time)
     query = (
-        rows.writeStream.foreachBatch(save)
+        settle_paths(named, on_repeat)
+        .writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

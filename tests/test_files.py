@@ -270,3 +270,44 @@ def test_stream_reads_new_files_once(spark, tmp_path, sf_dir):
     want = {(r["doc_id"], r["report"]) for r in grep_report(docs, spec).collect()}
     got = spark.read.parquet(out).collect()
     assert len(got) == len(want) and {(r["doc_id"], r["report"]) for r in got} == want
+
+
+def test_streamed_paths_are_settled_over_batches(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from marginalia.streaming import grep
+
+    folder, schema = str(tmp_path / "in"), "path string, report string"
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def save(name, on_repeat):
+        rows = grep.read_documents(spark, folder, spark.createDataFrame([], schema).schema, files_per_batch=1)
+        grep.stream_save(rows, str(tmp_path / name), str(tmp_path / (name + "-check")), "{filePath}/{fileBase}.out", "S", "T", on_repeat=on_repeat)
+
+    def saved(name):
+        rows = spark.read.schema("out_path string, content string").parquet(str(tmp_path / name / "batch=*")).collect()
+        return sorted((r["out_path"], r["content"]) for r in rows)
+
+    arrive(("d/a.md", "1"), ("d/b.md", "1"))
+    save("numbered", "number")
+    save("strict", "error")
+    arrive(("d/a.md", "2"))
+    arrive(("d/a.md", "3"), ("d/c.md", "1"))
+    save("numbered", "number")
+    want = [("d/a (2).out", "2"), ("d/a (3).out", "3"), ("d/a.out", "1"), ("d/b.out", "1"), ("d/c.out", "1")]
+    assert saved("numbered") == want
+    with pytest.raises(StreamingQueryException, match="several items share an output path: d/a.out"):
+        save("strict", "error")
+    assert saved("strict") == [("d/a.out", "1"), ("d/b.out", "1")]
+    # The last batch was written but its end was not recorded: it is replayed and replaces itself.
+    ended = sorted(glob.glob(str(tmp_path / "numbered-check" / "commits" / "[0-9]*")), key=lambda p: int(os.path.basename(p)))
+    os.remove(ended[-1])
+    for crc in glob.glob(str(tmp_path / "numbered-check" / "commits" / ".*.crc")):
+        os.remove(crc)
+    save("numbered", "number")
+    assert saved("numbered") == want
+    arrive(("d/c.md", "x"), ("d/c.md", "x"))
+    save("numbered", "number")
+    assert [r for r in saved("numbered") if r[0].startswith("d/c")] == [("d/c (2).out", "x"), ("d/c (3).out", "x"), ("d/c.out", "1")]
