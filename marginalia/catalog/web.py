@@ -82,6 +82,17 @@ def decode_entities(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", htmltext.decode_entities(text).alias("text"))
 
 
+_REFERENCES = "&notit; &NotEqualTilde;&nang &copy2 &amp;lt; &ampamp; &#128;&#x81;&#0;&#xD800; &#65x &CounterClockwiseContourIntegral; &zwj;&nosuch;&;"
+_SHOWN = "'¬it; ' || chr(8770) || chr(824) || '&nang ©2 &lt; &amp; €' || chr(129) || chr(65533) || chr(65533) || ' Ax ' || chr(8755) || ' ' || chr(8205) || '&nosuch;&;'"
+
+
+@query(f"SELECT page_id, {_decoded(_INNER)} || ' ' || {_SHOWN} AS text FROM pages")
+def decode_html5(spark, sf_dir):
+    """The text of pages with all references of HTML5, with and without semicolon."""
+    text = F.concat(htmltext.inner_text(F.col("html")), F.lit(" " + _REFERENCES))
+    return _pages(spark, sf_dir).select("page_id", htmltext.decode_html5(text).alias("text"))
+
+
 _SPACED = "(' ' || chr(10) || replace(replace(text, '. ', chr(10) || '  ' || chr(9) || chr(10) || chr(13) || chr(10) || chr(160) || chr(10)), ', ', chr(13) || chr(10) || chr(10)) || chr(10) || ' ')"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+import zlib
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,6 +67,65 @@ def decode_entities(text: Column) -> Column:
     return let(text, decoded)
 
 
+_BUCKETS = 64
+# What HTML takes for a reference: a number, or up to 32 characters; the semicolon may be missing.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _listed(entries: dict[str, str]) -> Column:
+    """A constant map, given as one literal."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string, string>")
+
+
+def _html5_name(name: Column) -> Column:
+    """The characters for a name without ``&``; what follows the longest known start of it stays. Null for none.
+
+    Names with their semicolon are looked up in one of 64 maps by checksum. A start of a name never holds a semicolon, so
+    it is one of the few names that HTML knows without one; an alternation, longest first, finds it.
+    """
+    buckets: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
+    for known, chars in html5.items():
+        buckets[zlib.crc32(known.encode()) % _BUCKETS][known] = chars
+    maps = F.from_json(F.lit(json.dumps(buckets)), "array<map<string, string>>")
+    whole = F.try_element_at(F.get(maps, (F.crc32(name.cast("binary")) % _BUCKETS).cast("int")), name)
+    open_ended = {known: chars for known, chars in html5.items() if not known.endswith(";")}
+    longest = "^(?:" + "|".join(sorted(open_ended, key=len, reverse=True)) + ")"
+    start = F.regexp_extract(name, longest, 0)
+    known = F.concat(F.try_element_at(_listed(open_ended), start), F.substring(name, F.length(start) + 1, F.length(name)))
+    return F.coalesce(whole, F.when(start != "", known))
+
+
+def _html5_number(number: Column) -> Column:
+    """The character for ``#65;`` or ``#x41``: 128 to 159 as in Windows-1252, none for what is no character."""
+    digits = F.regexp_replace(number, "^#[xX]?0*(?=[0-9a-fA-F])|;$", "")
+    hexadecimal = number.rlike("^#[xX]")
+    point = F.when(F.length(digits) > 8, F.lit(1 << 40)).when(hexadecimal, F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.cast("bigint"))
+    low = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    replaced = (point == 0) | ((point >= 0xD800) & (point <= 0xDFFF)) | (point > 0x10FFFF)
+    control = ((point < 0x20) & ~point.isin(9, 10, 12, 13)) | (point == 0x7F)
+    no_character = control | ((point >= 0xFDD0) & (point <= 0xFDEF)) | (point.bitwiseAND(0xFFFE) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    coded = F.when((point >= 0x80) & (point < 0xA0), F.try_element_at(_listed(low), point.cast("string")))
+    return F.when(replaced, F.lit("\ufffd")).otherwise(F.coalesce(coded, F.when(no_character, F.lit("")).otherwise(char)))
+
+
+def decode_html5(text: Column) -> Column:
+    """All references of HTML5, as browsers read them: 2,125 names, some of them without semicolon, and any number.
+
+    ``decode_entities`` is narrower: it wants the semicolon and leaves what names no character.
+    """
+
+    def decoded(bound: Column) -> Column:
+        found = F.regexp_extract_all(bound, F.lit(_REFERENCE), F.lit(0))
+        inside = lambda e: F.substring(e, F.lit(2), F.length(e))
+        char = lambda e: F.when(e.startswith("&#"), _html5_number(inside(e))).otherwise(F.coalesce(_html5_name(inside(e)), e))
+        chars = F.transform(found, char)
+        pairs = F.zip_with(F.split(bound, _REFERENCE, -1), F.concat(chars, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+        return F.when(bound.contains("&"), F.array_join(pairs, "")).otherwise(bound)
+
+    return let(text, decoded)
+
+
 def collapse_blanks(text: Column) -> Column:
     """Drop empty lines, squeeze runs of white lines to one empty line, drop white lines at the end."""
     lines = F.replace(text, F.lit("\r"), F.lit("\n"))

@@ -231,3 +231,18 @@ def test_a_hot_url_is_cut_into_ranges(spark):
     got = latest(rows, ["url"], ["t"], "v", "last")
     assert got.filter(~F.col("last").eqNullSafe(F.when(F.col("t") >= 7, F.floor((F.col("t") - 7) / 1000) * 1000 + 7))).count() == 0
     assert got.count() == 40_000
+
+
+def test_html5_references_equal_unescape(spark):
+    from html import unescape
+    from html.entities import html5
+
+    rng = random.Random(12)
+    names = sorted(html5)
+    texts = [f"x&{name}y" for name in names] + [f"&{name} " for name in names]
+    texts += [f"&#{n};" for n in [*range(300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000, 10**12]]
+    texts += [f"&#{c}{n:{w}x}{e}" for c in "xX" for n in (0, 9, 11, 65, 0x80, 0x81, 0x9F, 0x2028, 0x1F600) for w in ("", "012") for e in (";", "", "g")]
+    parts = ["&", "#", "x", ";", "amp", "lt", "not", "notin", "copy", "CounterClockwiseContourIntegral", "a", " ", "\n", "1", "65", "é", "<", "\t", "🙂"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", htmltext.decode_html5(F.col("v")).alias("got")).collect()
+    assert [(r["v"], r["got"]) for r in rows if r["got"] != unescape(r["v"])] == []
