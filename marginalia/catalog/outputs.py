@@ -34,6 +34,14 @@ def save_combined(spark, sf_dir):
     return spark.read.text(folder)
 
 
+@query(f"WITH {inputs.VLINES} SELECT line AS value FROM vlines")
+def save_report(spark, sf_dir):
+    """All documents in order in one file, read back line by line; tests compare the file byte for byte."""
+    target = f"{work_folder(spark, 'report')}/all.md"
+    sinks.save_report(inputs.table(spark, sf_dir, "documents"), target, ["doc_id"], "text")
+    return spark.read.text(target)
+
+
 @query("SELECT conv_id, role, text AS content FROM conversations")
 def save_history(spark, sf_dir):
     folder = work_folder(spark, "history")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
+import shutil
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,9 @@ from .names import unique_slug
 FILE_TEMPLATE = "{filePath}/{fileBase}-output.md"
 PAGE_TEMPLATE = "{filePath}/{fileBase}-output.md"
 HISTORY_TEMPLATE = "chat-history-{time}.jsonl"
+REPORT_NAME = "output.md"
+COPY_BYTES = 8 << 20
+
 
 def output_paths(items: DataFrame, template: str, timestamp: str, time: str, path: str = "path") -> DataFrame:
     return items.withColumn("out_path", template_path(F.col(path), template, timestamp, time))
@@ -101,6 +108,85 @@ def save_combined(items: DataFrame, target: str, order: Sequence[str], out: str
     ordered.select("value").write.mode("overwrite").text(target)
 
 
+def _copy_parts(target: str):
+    """Copies parts ``(path, start)`` into a file that exists, each from its place on."""
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+                with open(path, "rb") as part, open(target, "r+b") as whole:
+                    whole.seek(start)
+                    shutil.copyfileobj(part, whole, COPY_BYTES)
+                    whole.flush()
+                    os.fsync(whole.fileno())
+            yield batch
+
+    return copy
+
+
+def save_report(items: DataFrame, target: str, order: Sequence[str], out: str = "out") -> None:
+    """One report in order as one file: the items' texts, joined by newlines.
+
+    Items are written as ordered part files, by all tasks; the sizes of these give each its place in the whole. Where the
+    file system can join files (``concat``), that is one step without reading; on a folder that all machines share, tasks
+    copy the parts side by side into the file. Either way the file is made under a passing name and then takes the place of
+    ``target`` at once: a run that fails leaves the target as it was, and a run that is repeated replaces it. A null text
+    is an empty one, no items make an empty file. Stores that can do neither get a folder from ``save_combined``.
+    """
+    spark = items.sparkSession
+    full = shared_root(spark, target)
+    folder = f"{full}.{uuid.uuid4().hex}.parts"
+    jvm = spark.sparkContext._jvm
+    path_of = jvm.org.apache.hadoop.fs.Path
+    system = path_of(full).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        save_combined(items, folder, order, out)
+        listed = sorted((f.getPath().getName(), f.getLen()) for f in system.listStatus(path_of(folder)))
+        parts = [(name, size) for name, size in listed if name.startswith("part-") and size]
+        starts = [0, *accumulate(size for _, size in parts)]
+        whole = path_of(folder, "whole")
+        if not full.startswith("file:"):
+            _concatenate(spark, system, folder, [name for name, _ in parts], whole)
+        else:
+            local = folder.removeprefix("file://")
+            with open(f"{local}/whole", "wb") as file:
+                file.truncate(starts[-1])
+            if parts:
+                rows = [(f"{local}/{name}", start) for (name, _), start in zip(parts, starts)]
+                placed = spark.createDataFrame(rows, "path string, start bigint").repartition(len(rows))
+                placed.mapInArrow(_copy_parts(f"{local}/whole"), placed.schema).write.format("noop").mode("overwrite").save()
+            os.truncate(f"{local}/whole", max(0, starts[-1] - 1))  # the newline after the last item
+        _replace(spark, whole, path_of(full))
+    finally:
+        system.delete(path_of(folder), True)
+
+
+def _concatenate(spark: SparkSession, system, folder: str, names: Sequence[str], whole) -> None:
+    """Joins part files by the file system's own means, without the newline after the last one."""
+    gateway, path_of = spark.sparkContext._gateway, spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not names:
+        system.create(whole).close()
+        return
+    paths = [path_of(f"{folder}/{name}") for name in names]
+    others = gateway.new_array(path_of, len(paths) - 1)
+    for at, path in enumerate(paths[1:]):
+        others[at] = path
+    if len(others):
+        system.concat(paths[0], others)
+    system.truncate(paths[0], system.getFileStatus(paths[0]).getLen() - 1)
+    system.rename(paths[0], whole)
+
+
+def _replace(spark: SparkSession, source, target) -> None:
+    """Moves a file over another one in one step."""
+    gateway, fs = spark.sparkContext._gateway, spark.sparkContext._jvm.org.apache.hadoop.fs
+    option = getattr(fs, "Options$Rename")
+    options = gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    context = fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(source, target, options)
+
+
 def history_path(template: str, time: str) -> str:
     return (template or HISTORY_TEMPLATE).replace("{time}", time)
 

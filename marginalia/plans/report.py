@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import posixpath
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import template_path
 from ..operators.model import SYSTEM_PROMPT, Model, fold_instructions
 from ..operators.report import combined_output, union_commands
+from ..operators.sinks import REPORT_NAME, save_report
 
 
 class Command(NamedTuple):
@@ -64,3 +67,16 @@ def chat_history(exchanges: DataFrame) -> DataFrame:
     )
     rows = exchanges.select(call.alias("conv_id"), F.posexplode(said).alias("turn", "message"))
     return rows.select("conv_id", "turn", "message.*")
+
+
+def save_commands(report: DataFrame, root: str, templates: Mapping[int, str], timestamp: str = "", time: str = "") -> list[str]:
+    """The report of each command with a template as one file below ``root``; returns the files, in the order of commands."""
+    spark = report.sparkSession
+    paths = [template_path(F.lit(REPORT_NAME), template, timestamp, time) for template in templates.values()]
+    names = list(spark.range(1).select(*(p.alias(str(i)) for i, p in enumerate(paths))).first()) if paths else []
+    if len(set(names)) < len(names):
+        raise ValueError(f"several commands share an output path: {sorted(names)}")
+    targets = [posixpath.join(root, name) for name in names]
+    for cmd, target in zip(templates, targets):
+        save_report(report.filter(F.col("cmd") == cmd), target, ["part", "piece"], "text")
+    return targets

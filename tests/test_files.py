@@ -311,3 +311,37 @@ def test_streamed_paths_are_settled_over_batches(spark, tmp_path):
     arrive(("d/c.md", "x"), ("d/c.md", "x"))
     save("numbered", "number")
     assert [r for r in saved("numbered") if r[0].startswith("d/c")] == [("d/c (2).out", "x"), ("d/c (3).out", "x"), ("d/c.out", "1")]
+
+
+def test_a_report_is_one_file(spark, tmp_path, monkeypatch):
+    rows = [(i, f"item {i}\nmöre" if i % 7 else None) for i in range(3000)]
+    items = spark.createDataFrame(rows, "ord int, out string").repartition(6)
+    target = str(tmp_path / "out" / "report.md")
+    want = "\n".join(out or "" for _, out in rows)
+    for _ in range(2):  # a second run replaces the file
+        sinks.save_report(items, target, ["ord"])
+        assert open(target, encoding="utf-8").read() == want and os.listdir(tmp_path / "out") == ["report.md"]
+    sinks.save_report(items.filter("ord = 1"), target, ["ord"])
+    assert open(target, encoding="utf-8").read() == "item 1\nmöre"
+
+    def fail(target):
+        raise OSError("disk is full")
+
+    monkeypatch.setattr(sinks, "_copy_parts", fail)
+    with pytest.raises(OSError, match="disk is full"):
+        sinks.save_report(items, target, ["ord"])
+    assert open(target, encoding="utf-8").read() == "item 1\nmöre" and os.listdir(tmp_path / "out") == ["report.md"]
+    sinks.save_report(items.limit(0), target, ["ord"])
+    assert open(target).read() == ""
+
+
+def test_each_command_is_saved_at_its_template(spark, tmp_path):
+    from marginalia.plans.report import chained_report, save_commands
+
+    frame = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "ord long, out string")
+    pieces = chained_report([frame("a", "b"), frame("c"), frame("d")]).pieces
+    files = save_commands(pieces, str(tmp_path), {0: "first/{fileBase}-{time}.{fileExt}", 2: "{fileName}"}, time="7")
+    assert files == [str(tmp_path / "first" / "output-7.md"), str(tmp_path / "output.md")]
+    assert [open(f).read() for f in files] == ["a\nb", "d"]
+    with pytest.raises(ValueError, match="share an output path"):
+        save_commands(pieces, str(tmp_path), {0: "x", 1: "x"})
