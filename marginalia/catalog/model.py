@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import convert, model
+from ..operators.criteria import exclude_by_table, match_files, match_pages
 from ..operators.sinks import save_history
 from ..plans.report import Command, chat_history
 from ..plans.report import chained_report as chain
@@ -47,6 +48,59 @@ def match_page_instr(spark, sf_dir):
     return model.match_rows(inputs.table(spark, sf_dir, "pages"), matching, "page_id")
 
 
+@query(
+    f"""WITH {inputs.VFILES}, rules AS (
+  SELECT nation.n_nationkey AS ord, CASE n_nationkey % 4 WHEN 0 THEN ['md', 'txt', 'json', 'x'][(n_nationkey // 4 % 4 + 1)::INT] WHEN 1 THEN 'src1/fr/doc' || n_nationkey || '.txt'
+      WHEN 2 THEN '' ELSE lower(n_name) END AS criteria, n_name AS instruction FROM nation WHERE n_nationkey < 20
+  UNION ALL SELECT 100 + doc_id, path, 'own' FROM vfiles WHERE doc_id % 3 = 0)
+SELECT doc_id, ord, criteria, instruction FROM vfiles, rules WHERE criteria = '' OR ends_with(path, '.' || criteria) OR path = criteria"""
+)
+def match_file_table(spark, sf_dir):
+    """Instructions of a table, one for every third file among them, matched to paths."""
+    key = F.col("n_nationkey")
+    some = F.get(F.array(*map(F.lit, ("md", "txt", "json", "x"))), (key / 4).cast("int") % 4)
+    criteria = F.when(key % 4 == 0, some).when(key % 4 == 1, F.concat(F.lit("src1/fr/doc"), key.cast("string"), F.lit(".txt")))
+    criteria = criteria.when(key % 4 == 2, F.lit("")).otherwise(F.lower("n_name"))
+    nations = inputs.table(spark, sf_dir, "nation").filter("n_nationkey < 20")
+    rules = nations.select(key.cast("bigint").alias("ord"), criteria.alias("criteria"), F.col("n_name").alias("instruction"))
+    files = inputs.files(spark, sf_dir).select("doc_id", "path")
+    own = files.filter("doc_id % 3 = 0").select((F.col("doc_id") + 100).alias("ord"), F.col("path").alias("criteria"), F.lit("own").alias("instruction"))
+    return match_files(files, rules.unionByName(own)).drop("path")
+
+
+@query(
+    """WITH rules AS (
+  SELECT page_id AS ord, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '[.]([^/]+)', 1) WHEN 1 THEN url WHEN 2 THEN 'example.org/e' ELSE 'no' || page_id || '.site' END AS criteria,
+         'rule ' || page_id AS instruction FROM pages WHERE page_id % 5 = 0)
+SELECT page_id, ord, criteria, instruction FROM pages, rules WHERE criteria = '' OR contains(url, '.' || criteria) OR url = criteria"""
+)
+def match_page_table(spark, sf_dir):
+    """Instructions of a table made from every fifth page, matched to URLs."""
+    pages, page_id = inputs.table(spark, sf_dir, "pages").select("page_id", "url"), F.col("page_id")
+    criteria = (
+        F.when(page_id % 4 == 0, F.regexp_extract("url", "[.]([^/]+)", 1)).when(page_id % 4 == 1, F.col("url"))
+        .when(page_id % 4 == 2, F.lit("example.org/e")).otherwise(F.concat(F.lit("no"), page_id.cast("string"), F.lit(".site")))
+    )
+    rules = pages.filter("page_id % 5 = 0").select(
+        page_id.alias("ord"), criteria.alias("criteria"), F.concat(F.lit("rule "), page_id.cast("string")).alias("instruction")
+    )
+    return match_pages(pages, rules).drop("url")
+
+
+@query(
+    f"""WITH {inputs.VFILES}, rules AS (
+  SELECT CASE doc_id % 3 WHEN 0 THEN upper(path) WHEN 1 THEN regexp_extract(path, '^[^/]*/[^/]*/') ELSE '*.html' END AS line FROM vfiles WHERE doc_id % 40 = 1)
+SELECT doc_id FROM vfiles WHERE NOT EXISTS (SELECT 1 FROM rules WHERE lower(line) = lower(path)
+  OR (ends_with(line, '/') AND starts_with(path, line)) OR (starts_with(line, '*') AND ends_with(path, line[2:])))"""
+)
+def ignore_table(spark, sf_dir):
+    """Files that a table of paths, folders and endings does not exclude."""
+    files, doc_id = inputs.files(spark, sf_dir).select("doc_id", "path"), F.col("doc_id")
+    folder = F.concat(F.substring_index("path", "/", 2), F.lit("/"))
+    line = F.when(doc_id % 3 == 0, F.upper("path")).when(doc_id % 3 == 1, folder).otherwise(F.lit("*.html"))
+    return exclude_by_table(files, files.filter("doc_id % 40 = 1").select(line.alias("line"))).select("doc_id")
+
+
 @query(
     """SELECT page_id, 'Summarise for ' || url || ' and ' || url || '; by ' || url || ', ' || url AS instruction FROM pages"""
 )
