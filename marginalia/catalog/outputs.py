@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import sinks
 from ..session import is_folder, work_folder
 from ..streaming import grep
+from ..streaming.lines import stream_lines as search_lines
 from . import inputs
-from .lines import PLAIN, SPEC, _report
+from .lines import _KEPT, PLAIN, SPEC, _pieces, _report
 from .registry import query
 
 TIME = "1704067200000"
@@ -113,3 +114,16 @@ def stream_save_repeats(spark, sf_dir):
     reports = rows.select("path", F.col("text").alias("report"))
     grep.stream_save(reports, f"{folder}/out", f"{folder}/checkpoint", "{filePath}/{fileBase}.out", STAMP, TIME, on_repeat="number")
     return spark.read.schema("out_path string, content string").parquet(f"{folder}/out/batch=*").select("out_path")
+
+
+@query(f"WITH {_KEPT}, {_pieces(True, chr(39) + '```' + chr(39))} SELECT doc_id, idx, piece, out FROM pieces")
+def stream_lines(spark, sf_dir):
+    """Lines that arrive in three batches, out of order, searched with context over the batches."""
+    folder = work_folder(spark, "stream-lines")
+    lines = inputs.lines(spark, sf_dir)
+    for turn in range(3):
+        some = lines.filter((F.col("idx") * 7 + F.col("doc_id")) % 3 == turn)
+        some.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    arriving = grep.read_documents(spark, f"{folder}/in", lines.schema, files_per_batch=1)
+    grep.run_to_parquet(search_lines(arriving, SPEC), f"{folder}/rows", f"{folder}/checkpoint")
+    return spark.read.schema("doc_id bigint, idx bigint, piece int, out string").parquet(f"{folder}/rows")

@@ -87,9 +87,14 @@ def grep_rows(
 
     ``piece`` 0 is a gap mark and 1 the line. Nothing is gathered per document.
     """
-    ticks = F.lit("```") if ticks is None else ticks
     kept = context_lines(lines, spec, keys, stretch)
     kept = gap_blocks(kept, keys) if spec.has_context else kept.withColumn("block", F.lit(1))
+    return printed_rows(kept, spec, keys, ticks)
+
+
+def printed_rows(kept: DataFrame, spec: LineSpec, keys: Sequence[str], ticks: Column | None = None) -> DataFrame:
+    """What is printed for kept lines whose runs are numbered (``block``)."""
+    ticks = F.lit("```") if ticks is None else ticks
     gap = F.col("starts") & (F.col("block") > 1)
     pieces = F.array(
         F.when(gap, gap_separator(ticks)), _shown(F.col("line"), F.col("idx"), spec)

@@ -144,3 +144,31 @@ def test_lines_found_with_any_kind_of_pattern(spark, pattern):
     got = {r["doc_id"]: r["report"] for r in lines.grep_report(docs(spark, *texts), spec).collect()}
     for i, text in enumerate(texts):
         assert got[i] == "\n".join(w[2] for w in expected(text, spec)), text
+
+
+def test_streamed_lines_equal_lines_at_rest(spark, tmp_path):
+    from marginalia.operators import line_rows
+    from marginalia.streaming import grep
+    from marginalia.streaming.lines import stream_context, stream_lines
+
+    rng = random.Random(13)
+    lines = [(doc, i, rng.choice(["hit", "plain", "gone", "hit gone", ""])) for doc in range(6) for i in range(rng.randint(1, 60))]
+    schema = "doc_id long, idx long, line string"
+    rest = spark.createDataFrame(lines, schema)
+    rng.shuffle(lines)
+    cuts = [lines[at : at + 25] for at in range(0, len(lines), 25)]
+    folder = str(tmp_path / "in")
+    for cut in [*cuts, cuts[0]]:  # the first one comes again
+        spark.createDataFrame(cut, schema).coalesce(1).write.mode("append").parquet(folder)
+    specs = [LineSpec(("hit",), ("gone",), 2, 3, True), LineSpec(("hit",), (), 0, 1), LineSpec(("hit",), (), 3, 0), LineSpec(("hit",))]
+    for at, spec in enumerate(specs):
+        arriving = grep.read_documents(spark, folder, rest.schema, files_per_batch=2)
+        for name, run, want in (
+            ("pieces", stream_lines(arriving, spec), line_rows.grep_rows(rest, spec)),
+            ("kept", stream_context(arriving, spec).select("doc_id", "idx", "line", "hit", "starts"),
+             line_rows.context_lines(rest, spec).select("doc_id", "idx", "line", "hit", "starts")),
+        ):
+            target = str(tmp_path / f"{name}{at}")
+            grep.run_to_parquet(run, target, target + "-check")
+            got = spark.read.schema(run.schema).parquet(target)
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
