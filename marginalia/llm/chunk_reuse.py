@@ -40,6 +40,8 @@ FILTER_BITS = 26
 FILTER_KEYS = 3
 MEMO_PIECES, MEMO_WORDS = 3 << 16, 1 << 15
 KEY_LENGTH = 64
+#: Texts that are joined at a time.
+ROWS = 256
 #: Texts that lower-casing and normalising treat as Python does, and the pieces that are merged on their own in them.
 PLAIN = re.compile("[ \\t-\\r!-~À-ÖØ-öø-ÿ]*").fullmatch
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t-\\ra-z0-9ß-öø-ÿ]+").findall
@@ -386,7 +388,7 @@ def encode(
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             flat, back = [], []
             for own, pieces in zip(batch.column(parts), batch.column("__pieces")):
                 held = own.as_py()
