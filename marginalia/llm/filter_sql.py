@@ -80,7 +80,7 @@ t{at + 1} AS (
         for at in range(TREE.depth + 1)
     )
     return f"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT row_number() OVER () AS rid, page_id,
          translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -101,28 +101,39 @@ t0 AS (
 prior AS (
   SELECT coalesce(sum(blocked) / sum(labelled), 0) AS p0 FROM t0),
 nodes AS (
-  SELECT host, shape, depth, tpl[1:depth - 1] AS parent, tpl[depth] AS name, labelled, blocked
-  FROM (SELECT *, unnest(range(1, len(tpl) + 1)) AS depth FROM t{TREE.depth + 1})),
+  SELECT host, shape, depth, tpl[1:greatest(depth - 1, 0)] AS parent,
+         CASE WHEN depth = 0 THEN '' ELSE tpl[depth] END AS name, labelled, blocked
+  FROM (SELECT *, unnest(range(0, len(tpl) + 1)) AS depth FROM t{TREE.depth + 1})),
 counted AS (
-  SELECT host, parent, name, sum(labelled)::BIGINT AS n, sum(blocked)::BIGINT AS bad
-  FROM nodes GROUP BY host, parent, name HAVING sum(labelled) > 0),
-beside AS (
-  SELECT *, bad / n AS share, lag(bad / n) OVER w AS share_b, lag(n) OVER w AS n_b, lag(bad) OVER w AS bad_b
-  FROM counted WINDOW w AS (PARTITION BY host, parent ORDER BY bad / n, name)),
-differing AS (
-  SELECT *, coalesce(share - share_b > {TREE.z} * sqrt(
-              (bad + bad_b) / (n + n_b) * (1 - (bad + bad_b) / (n + n_b)) * (1 / n + 1 / n_b)), false) AS differs
-  FROM beside),
+  SELECT host, depth, parent, name, sum(labelled)::BIGINT AS n, sum(blocked)::BIGINT AS bad
+  FROM nodes GROUP BY host, depth, parent, name HAVING sum(labelled) > 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY host, depth, parent ORDER BY bad / n, name) AS nr FROM counted),
+pooling AS (
+  SELECT host, depth, parent, name, nr, 1 AS pool, n, bad FROM placed WHERE nr = 1
+  UNION ALL
+  SELECT s.host, s.depth, s.parent, s.name, s.nr, pool + CASE WHEN joins THEN 0 ELSE 1 END,
+         CASE WHEN joins THEN s.n + s.n_b ELSE s.n END, CASE WHEN joins THEN s.bad + s.bad_b ELSE s.bad END
+  FROM (SELECT c.*, b.pool, b.n AS n_b, b.bad AS bad_b,
+               c.bad / c.n - b.bad / b.n <= {TREE.z} * sqrt((b.bad + c.bad) / (b.n + c.n)
+                 * (1 - (b.bad + c.bad) / (b.n + c.n)) * (1 / c.n + 1 / b.n)) AS joins
+        FROM pooling b JOIN placed c
+          ON b.host = c.host AND b.depth = c.depth AND b.parent = c.parent AND c.nr = b.nr + 1) s),
 pools AS (
-  SELECT *, count(*) FILTER (differs) OVER (PARTITION BY host, parent ORDER BY share, name) AS pool FROM differing),
-verdicts AS (
-  SELECT host, parent, name,
-         (sum(bad) OVER q + p0 * {TREE.strength}) / (sum(n) OVER q + {TREE.strength}) > {TREE.max_blocked} AS rejected
-  FROM pools, prior WINDOW q AS (PARTITION BY host, parent, pool)),
+  SELECT host, depth, parent, name, last_value(n) OVER q AS n, last_value(bad) OVER q AS bad FROM pooling
+  WINDOW q AS (PARTITION BY host, depth, parent, pool ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ways AS (
+  SELECT nodes.host, shape, list(struct_pack(p := 0.0::DOUBLE, n := coalesce(pools.n, 0)::DOUBLE, bad := coalesce(pools.bad, 0)::DOUBLE)
+                                 ORDER BY nodes.depth) AS way
+  FROM nodes LEFT JOIN pools ON nodes.host = pools.host AND nodes.depth = pools.depth AND nodes.parent = pools.parent
+                            AND nodes.name = pools.name
+  GROUP BY nodes.host, shape),
 decided AS (
-  SELECT nodes.host, shape, max_by(rejected, depth) AS rejected
-  FROM nodes JOIN verdicts ON nodes.host = verdicts.host AND nodes.parent = verdicts.parent AND nodes.name = verdicts.name
-  GROUP BY nodes.host, shape)
+  SELECT host, shape, list_reduce(
+           list_prepend(struct_pack(p := p0::DOUBLE, n := 0.0::DOUBLE, bad := 0.0::DOUBLE), way),
+           lambda x, y: struct_pack(p := (y.bad + {TREE.strength}::DOUBLE * x.p) / (y.n + {TREE.strength}::DOUBLE), n := y.n, bad := y.bad)
+         ).p > {TREE.max_blocked} AS rejected
+  FROM ways, prior WHERE way[1].n > 0)
 SELECT page_id, r.host, path, rule, '/' || array_to_string(t.tpl, '/') AS template,
        coalesce(label, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN t{TREE.depth + 1} t ON r.host = t.host AND r.shape = t.shape

@@ -1,8 +1,8 @@
 """URL verdicts by rules and by a tree of path templates, in DataFrame functions only.
 
 Rules decide the pages they fit. Their verdicts are also the labels of the template tree: per host, path segments
-with many siblings become wildcards, sibling branches whose share of blocked pages does not differ by chance are
-pooled, and a template is rejected if its share, smoothed towards that of all labelled pages, is too high.
+with many siblings become wildcards, sibling branches whose share of blocked pages differs by no more than chance are
+pooled, and a template is rejected if its share, smoothed towards that of the nodes above it, is too high.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import materialize
 
@@ -43,7 +42,7 @@ class TemplateSpec:
 
     ``depth`` segments have levels of their own, what follows is one more segment. A node with more than
     ``max_children`` children has one wildcard child instead. Branches whose shares differ by less than ``z`` standard
-    errors are pooled. ``strength`` labelled pages of the overall share are added to each template's own.
+    errors are pooled. ``strength`` labelled pages of the parent's share are added to each node's own.
     """
 
     depth: int = 4
@@ -105,36 +104,66 @@ def _generalised(shapes: DataFrame, spec: TemplateSpec) -> DataFrame:
 
 
 def _nodes(templates: DataFrame) -> DataFrame:
-    """One row per template and node on its path below the host: parent, name and depth of the node."""
-    depths = F.sequence(F.lit(1), F.size("template"))
-    return (
-        templates.filter(F.size("template") > 0)
-        .withColumn("depth", F.explode(depths))
-        .withColumns({"parent": F.slice("template", F.lit(1), F.col("depth") - 1), "name": F.get("template", F.col("depth") - 1)})
+    """One row per template and node on its path, from the host (depth 0, no name) down: parent, name and depth."""
+    depth = F.col("depth")
+    return templates.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("template")))).withColumns(
+        {
+            "parent": F.slice("template", F.lit(1), F.greatest(depth - 1, F.lit(0))),
+            "name": F.coalesce(F.get("template", depth - 1), F.lit("")),
+        }
     )
 
 
-def _pooled(nodes: DataFrame, prior: float, spec: TemplateSpec) -> DataFrame:
-    """Labelled nodes with their verdict, from the counts of all branches pooled with them.
+def _pooled(nodes: DataFrame, spec: TemplateSpec) -> DataFrame:
+    """Labelled nodes with ``pool_n`` and ``pool_bad``, the counts of all branches pooled with them.
 
-    A parent has no more children than the tree allows, so the windows over siblings are bounded.
+    Siblings are taken by rising share; one joins the pool before it unless its share exceeds that of the whole pool so
+    far, so small steps do not add up. A parent has no more children than the tree allows, so the arrays are bounded.
     """
     counted = (
-        nodes.groupBy("host", "parent", "name")
-        .agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-        .filter(F.col("labelled") > 0)
-        .withColumn("share", F.col("blocked") / F.col("labelled"))
+        nodes.groupBy("host", "depth", "parent", "name")
+        .agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("bad"))
+        .filter(F.col("n") > 0)
     )
-    siblings = Window.partitionBy("host", "parent").orderBy("share", "name")
-    n, n_before = F.col("labelled"), F.lag("labelled").over(siblings)
-    both = (F.col("blocked") + F.lag("blocked").over(siblings)) / (n + n_before)
-    error = F.sqrt(both * (1 - both) * (1 / n + 1 / n_before))
-    differs = F.coalesce(F.col("share") - F.lag("share").over(siblings) > spec.z * error, F.lit(False))
-    grouped = counted.withColumn("differs", differs.cast("int")).withColumn("pool", F.sum("differs").over(siblings))
-    pool = Window.partitionBy("host", "parent", "pool")
-    blocked = F.sum("blocked").over(pool) + prior * spec.strength
-    smoothed = blocked / (F.sum("labelled").over(pool) + spec.strength)
-    return grouped.select("host", "parent", "name", (smoothed > spec.max_blocked).alias("rejected"))
+    branch = F.struct((F.col("bad") / F.col("n")).alias("share"), "name", "n", "bad")
+    siblings = counted.groupBy("host", "depth", "parent").agg(F.sort_array(F.collect_list(branch)).alias("branches"))
+
+    def taken(pools: Column, one: Column) -> Column:
+        last = F.get(pools, F.size(pools) - 1)
+        n, bad = last["n"] + one["n"], last["bad"] + one["bad"]
+        error = F.sqrt(bad / n * (1 - bad / n) * (1 / one["n"] + 1 / last["n"]))
+        joins = F.coalesce(one["share"] - last["bad"] / last["n"] <= spec.z * error, F.lit(False))
+        longer = F.struct(F.concat(last["names"], F.array(one["name"])).alias("names"), n.alias("n"), bad.alias("bad"))
+        own = F.struct(F.array(one["name"]).alias("names"), one["n"].alias("n"), one["bad"].alias("bad"))
+        before = F.slice(pools, F.lit(1), F.greatest(F.size(pools) - 1, F.lit(0)))
+        return F.when(joins, F.concat(before, F.array(longer))).otherwise(F.concat(pools, F.array(own)))
+
+    none = F.array().cast("array<struct<names:array<string>,n:bigint,bad:bigint>>")
+    pools = siblings.select("host", "depth", "parent", F.explode(F.aggregate("branches", none, taken)).alias("pool"))
+    return pools.select(
+        "host", "depth", "parent", F.explode("pool.names").alias("name"),
+        F.col("pool.n").alias("pool_n"), F.col("pool.bad").alias("pool_bad"),
+    )
+
+
+def _decided(nodes: DataFrame, pooled: DataFrame, prior: float, spec: TemplateSpec) -> DataFrame:
+    """Shapes of hosts with labelled pages, and whether they are ``rejected``.
+
+    A node's share is its pool's, smoothed by ``strength`` pages of its parent's smoothed share, from the share of all
+    labelled pages through the host downwards; a node without labelled pages so has its nearest ancestor's.
+    """
+    counts = F.struct("depth", F.coalesce("pool_n", F.lit(0)).alias("n"), F.coalesce("pool_bad", F.lit(0)).alias("bad"))
+    paths = (
+        nodes.select("host", "shape", "depth", "parent", "name")
+        .join(pooled, ["host", "depth", "parent", "name"], "left")
+        .groupBy("host", "shape")
+        .agg(F.sort_array(F.collect_list(counts)).alias("path"))
+        .filter(F.col("path")[0]["n"] > 0)
+    )
+    share = F.aggregate(
+        "path", F.lit(float(prior)), lambda above, at: (at["bad"] + spec.strength * above) / (at["n"] + spec.strength)
+    )
+    return paths.select("host", "shape", (share > spec.max_blocked).alias("rejected"))
 
 
 def judge_urls(
@@ -142,10 +171,11 @@ def judge_urls(
 ) -> DataFrame:
     """One row per page: ``key``, ``host``, ``path``, ``rule``, ``template`` and ``verdict``.
 
-    The longest rule that fits decides. A page without a rule is decided by the deepest labelled template on its path
-    below the host; one without any is allowed. A url that is null or has no ``://`` has an empty host and path, no
-    rule and no part in the tree, and is allowed. Repeated rows stay
-    repeated, other columns are not carried, an empty table gives no rows.
+    The longest rule that fits decides. A page without a rule is decided by its template's smoothed share of blocked
+    pages, which is that of the nearest labelled node above where the template has no labelled page; on a host without
+    any labelled page it is allowed. A url that is null or has no ``://`` has an empty host and path, no rule and no
+    part in the tree, and is allowed. Repeated rows stay repeated, other columns are not carried, an empty table gives
+    no rows.
 
     Urls are read once; the tree works on different shapes per host with their counts. Verdicts of shapes are joined
     back on host and shape, where Spark broadcasts a small side and splits a hot host otherwise.
@@ -175,13 +205,7 @@ def judge_urls(
     prior = blocked / labelled if labelled else 0.0
     templates = _generalised(shapes, spec)
     nodes = _nodes(templates)
-    verdicts = _pooled(nodes, prior, spec)
-    decided = (
-        nodes.select("host", "shape", "parent", "name", "depth")
-        .join(verdicts, ["host", "parent", "name"])
-        .groupBy("host", "shape")
-        .agg(F.max_by("rejected", "depth").alias("rejected"))
-    )
+    decided = _decided(nodes, _pooled(nodes, spec), prior, spec)
     known = templates.select("host", "shape", "template").join(decided, ["host", "shape"], "left")
     own = F.when(F.col("rejected"), BLOCK).otherwise(ALLOW)
     return rows.join(known, ["host", "shape"], "left").select(
