@@ -52,7 +52,9 @@ v AS (
       THEN (rates - mean * mean * total - noise * (k - 1)) / (noise * room) ELSE 0 END, 1e-4), 0.999) - 1 END AS strength
   FROM e),
 verdicts AS (
-  SELECT source, (h.bad + mean * strength) / (n + strength) > {RULES.max_host_rate} AS host_rejected FROM h, v)
+  SELECT source, (h.bad + mean * strength) / (n + strength)
+           > least({RULES.max_host_rate}, mean + {RULES.host_deviations} * sqrt(mean * (1 - mean) / (strength + 1))) AS host_rejected
+  FROM h, v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        coalesce(host_rejected, false) AS host_rejected,
        NOT base_failed AND NOT (coalesce(host_rejected, false) AND failed) AS kept

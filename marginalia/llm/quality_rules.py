@@ -6,6 +6,7 @@ rates are shrunk towards a beta prior that is fitted to all hosts, and the host'
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,11 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class RuleSpec:
-    """Limits of the rules; shares are in percent of the words or lines of the document."""
+    """Limits of the rules; shares are in percent of the words or lines of the document.
+
+    A host is rejected above ``max_host_rate``, or above the prior's mean by ``host_deviations`` of its standard
+    deviations where that is lower: a corpus that fails often is held to the fixed rate, in a clean one outliers go.
+    """
 
     min_words: int = 10
     max_repeat_words: int = 20
@@ -28,7 +33,8 @@ class RuleSpec:
     max_dup_lines: int = 30
     min_word_chars: int = 2
     max_word_chars: int = 12
-    max_host_rate: float = 0.5
+    max_host_rate: float = 0.1
+    host_deviations: float = 2.0
 
 
 def measured(docs: DataFrame, text: str, host: str, carry: Column) -> DataFrame:
@@ -136,12 +142,17 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean, 1 / between - 1
 
 
+def host_limit(mean: float, strength: float, spec: RuleSpec) -> float:
+    """The shrunk failure rate above which a host is rejected, under a beta prior of this mean and strength."""
+    return min(spec.max_host_rate, mean + spec.host_deviations * math.sqrt(mean * (1 - mean) / (strength + 1)))
+
+
 def judge(docs: DataFrame, text: str, host: str, carry: Column, spec: RuleSpec = RuleSpec()) -> DataFrame:
     """One row per document with ``row``, the measures, ``base_failed``, ``host_rejected`` and ``kept``.
 
     ``carry`` is the column that goes along as ``row`` (a struct of whatever the caller needs later), so no name of
     the input can clash with the results. A document that fails a base rule goes. A host is rejected if its shrunk
-    failure rate is above ``max_host_rate``; its documents then stay only if they fail none of the rules, whereas a
+    failure rate is above ``host_limit``; its documents then stay only if they fail none of the rules, whereas a
     sound host is forgiven a failure beyond the base rules. A document with a null host has no host verdict. Null texts
     have no words and fail; repeated rows are documents of their own; an empty table gives no rows.
 
@@ -162,7 +173,7 @@ def judge(docs: DataFrame, text: str, host: str, carry: Column, spec: RuleSpec =
     )
     mean, strength = beta_prior(counted)
     rate = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
-    verdicts = counted.select("host", (rate > spec.max_host_rate).alias("host_rejected"))
+    verdicts = counted.select("host", (rate > host_limit(mean, strength, spec)).alias("host_rejected"))
     joined = rows.join(verdicts, "host", "left")
     rejected = F.coalesce("host_rejected", F.lit(False))
     return joined.select(

@@ -7,7 +7,7 @@ from odd import empty_documents, odd_documents
 from pyspark.sql import functions as F
 
 from marginalia.llm.classifier import THRESHOLD, quality_model
-from marginalia.llm.quality_rules import MEASURES, RuleSpec, beta_prior, judge, keep_good
+from marginalia.llm.quality_rules import MEASURES, RuleSpec, beta_prior, host_limit, judge, keep_good
 from marginalia.llm.registry import QUERIES
 from marginalia.llm.rule_ensemble import STATISTICS, RuleModel, _paths, fit, keep_scored, scored, statistics
 
@@ -59,6 +59,23 @@ def test_host_verdict_makes_rules_strict(spark):
     assert got[102].kept and got[103].kept and not got[103].host_rejected
 
 
+def test_a_host_is_held_to_the_prior_and_to_the_fixed_rate(spark):
+    good = "these are ten quite plain words that say nothing new here"
+    soft = good + " " + "# " * 3
+
+    def rejected(rates, size=400):
+        rows = [(h, soft if i < rate * size else good) for h, rate in enumerate(rates) for i in range(size)]
+        docs = spark.createDataFrame(rows, "source int, text string")
+        judged = judge(docs, "text", "source", F.struct("source", "text")).collect()
+        assert all(r.kept == (not r.host_rejected or r["row"].text == good) for r in judged)
+        return {int(r.host) for r in judged if r.host_rejected}
+
+    assert rejected([0.02, 0.02, 0.0225, 0.0175]) == set()  # chance
+    assert rejected([0.01] * 19 + [0.08]) == {19}  # an outlier of a clean corpus
+    assert rejected([0.2, 0.2, 0.2, 0.0]) == {0, 1, 2}
+    assert host_limit(0.0, 1.0, RuleSpec()) == 0.0 and host_limit(0.5, 9.0, RuleSpec()) == 0.1
+
+
 def test_prior_follows_the_spread_of_hosts(spark):
     def prior(counts):
         return beta_prior(spark.createDataFrame(counts, "n_docs long, n_failed long"))
