@@ -14,7 +14,7 @@ from .url_templates import ALLOW, BLOCK, UrlRule, judge_urls
 URL_RULES = (
     UrlRule(ALLOW, "org", "/"),
     UrlRule(BLOCK, "example.org", "/es/"),
-    UrlRule(ALLOW, "example.org", "/en/1"),
+    UrlRule(BLOCK, "example.org", "/en/1"),
     UrlRule(ALLOW, "com", "/fr/"),
     UrlRule(BLOCK, "com", "/de/"),
 )
