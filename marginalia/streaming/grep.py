@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import posixpath
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions.markdown import fence_choice
+from ..operators.joins import join_keys
 from ..operators.lines import grep_report
+from ..operators.ordered import placed
 from ..operators.sinks import output_paths
+from ..session import materialize
 from ..spec import LineSpec
 
 
@@ -46,39 +44,38 @@ def run_to_parquet(rows: DataFrame, target: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def numbered_path(path: str, nth: int) -> str:
-    """``a/b.md`` for the first item of a path, then ``a/b (2).md`` and so on."""
-    if nth == 1:
-        return path
-    base, suffix = posixpath.splitext(path)
-    return f"{base} ({nth}){suffix}"
+def numbered_path(path: Column, nth: Column) -> Column:
+    """``a/b.md`` for the first item of a path, then ``a/b (2).md`` and so on; leading dots of a name begin no suffix."""
+    parts = r"\A((?s:.*/)?[^/]*[^/.][^/]*)(\.[^./]*)\z"
+    found = F.regexp_extract(path, parts, 1)
+    base = F.when(found == "", path).otherwise(found)
+    return F.when(nth > 1, F.concat(base, F.lit(" ("), nth.cast("string"), F.lit(")"), F.regexp_extract(path, parts, 2))).otherwise(path)
 
 
-def settle_paths(rows: DataFrame, on_repeat: str = "error") -> DataFrame:
-    """Arriving ``(out_path, content)`` with paths that no earlier item has, in this batch or any before it.
+def count_paths(batch: DataFrame, counts: str, batch_id: int) -> DataFrame:
+    """Paths of a batch that are met again, in it or after earlier batches, and how often they were met ``before``.
 
-    How often each path was met is kept in the state of the stream, so a batch that is replayed finds the counts of the
-    batch before it and gives its items the same paths. A path met again is an error that ends the stream before
-    anything of its batch is written (``error``), or it gets a number (``number``). Items of one path meet in one task, a
-    few at a time.
+    Each batch writes the counts of its own paths below ``counts``, so a batch that is replayed replaces its counts and finds
+    those of the batches before it. Only paths are read and shuffled, in sums per task first.
     """
-    if on_repeat not in ("error", "number"):
-        raise ValueError(f"a repeated path is an error or gets a number, not {on_repeat!r}")
+    batch.groupBy("out_path").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{counts}/batch={batch_id}")
+    kept = batch.sparkSession.read.schema("out_path string, n bigint, batch bigint").parquet(counts)
+    own = kept.filter(F.col("batch") == batch_id).drop("batch")
+    earlier = kept.filter(F.col("batch") < batch_id).groupBy("out_path").agg(F.sum("n").alias("before"))
+    known = join_keys(own, earlier, ["out_path"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    return known.filter(F.col("n") + F.col("before") > 1).select("out_path", "before")
 
-    def settle(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        met = state.get[0] if state.exists else 0
-        for batch in batches:
-            if on_repeat == "error" and met + len(batch) > 1:
-                raise ValueError(f"several items share an output path: {key[0]}")
-            paths = [numbered_path(key[0], met + n) for n in range(1, len(batch) + 1)]
-            met += len(batch)
-            yield pd.DataFrame({"out_path": paths, "content": batch["content"].tolist()}, dtype=object)
-        state.update((met,))
-
-    grouped = rows.select("out_path", "content").groupBy("out_path")
-    return grouped.applyInPandasWithState(
-        settle, "out_path string, content string", "met bigint", "append", GroupStateTimeout.NoTimeout
-    )
+
+def settle_paths(arrived: DataFrame, again: DataFrame) -> DataFrame:
+    """Items ``(out_path, content, __row)`` of a batch, those of paths met again under numbered paths.
+
+    Places are found on paths and ids alone, dealt by ranges of both, so that a path of very many items is many tasks; the
+    contents meet their numbers on the ids.
+    """
+    known = join_keys(arrived.select("out_path", "__row"), again, ["out_path"])
+    numbers = placed(known, ["out_path"], ["__row"], "__place").select("__row", (F.col("before") + F.col("__place") + 1).alias("__nth"))
+    settled = numbered_path(F.col("out_path"), F.coalesce("__nth", F.lit(1)))
+    return arrived.join(numbers, "__row", "left").select(settled.alias("out_path"), "content")
 
 
 def stream_save(
@@ -91,17 +88,29 @@ def stream_save(
     out: str = "report",
     on_repeat: str = "error",
 ) -> None:
-    """Per-item outputs while streaming, each under a path of its own; see ``settle_paths`` for a path met again.
+    """Per-item outputs while streaming, each under a path that no earlier item has, in its batch or any before it.
 
-    Each batch owns a folder by its id, so a replayed batch replaces it.
+    A path met again is an error that ends the stream before anything of its batch is written (``error``), or it gets a
+    number (``number``); an item without a path cannot get one, so a second one is an error in both. How often each path was
+    met is kept beside the stream's checkpoint, see ``count_paths``. Each batch owns a folder by its id, so a replayed batch
+    replaces it; it is written as it arrives unless paths in it are met again.
     """
+    if on_repeat not in ("error", "number"):
+        raise ValueError(f"a repeated path is an error or gets a number, not {on_repeat!r}")
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        again = count_paths(batch, f"{checkpoint}/paths", batch_id)
+        met, unnamed, first = again.agg(F.count(F.lit(1)), F.count_if(F.col("out_path").isNull()), F.min("out_path")).first()
+        if unnamed or (met and on_repeat == "error"):
+            raise ValueError(f"several items share an output path: {first}")
+        if met:
+            arrived = materialize(batch.withColumn("__row", F.monotonically_increasing_id()), "arrived")
+            batch = settle_paths(arrived, again)
         batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
     named = output_paths(rows.withColumn("content", F.col(out)), template, timestamp, time)
     query = (
-        settle_paths(named, on_repeat)
+        named.select("out_path", "content")
         .writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

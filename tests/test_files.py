@@ -345,3 +345,22 @@ def test_each_command_is_saved_at_its_template(spark, tmp_path):
     assert [open(f).read() for f in files] == ["a\nb", "d"]
     with pytest.raises(ValueError, match="share an output path"):
         save_commands(pieces, str(tmp_path), {0: "x", 1: "x"})
+
+
+def test_streamed_saving_takes_no_rows_to_python_and_numbers_as_splitext(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from marginalia.streaming import grep
+
+    paths = ["a/b.md", "a.d/b", "a/.b", "a/..b.c", "b.x.md", "a\nb/c.d", ".b", "x/", "a/b.", ""]
+    rows = spark.createDataFrame([(p, n) for p in paths for n in (1, 3)], "p string, n int")
+    got = rows.select("p", "n", grep.numbered_path(F.col("p"), F.col("n")).alias("out")).collect()
+    split = lambda r: " (3)".join(os.path.splitext(r["p"])) if r["n"] > 1 else r["p"]
+    assert [r["out"] for r in got] == [split(r) for r in got]
+    arrived = spark.createDataFrame([(f"p{n % 3}.md", str(n), n) for n in range(3000)], "out_path string, content string, __row long")
+    again = spark.createDataFrame([("p1.md", 7), ("p2.md", 0)], "out_path string, before long")
+    settled = grep.settle_paths(arrived.filter("__row % 3 > 0 OR __row = 0"), again)
+    assert "Python" not in settled._jdf.queryExecution().toString() and "Pandas" not in settled._jdf.queryExecution().toString()
+    found = {r["content"]: r["out_path"] for r in settled.collect()}
+    assert (found["0"], found["1"], found["2"], found["2998"], found["2999"]) == ("p0.md", "p1 (8).md", "p2.md", "p1 (1007).md", "p2 (1000).md")
+    assert len(found) == len(set(found.values())) == 2001
