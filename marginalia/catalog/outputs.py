@@ -123,7 +123,7 @@ def stream_lines(spark, sf_dir):
     lines = inputs.lines(spark, sf_dir)
     for turn in range(3):
         some = lines.filter((F.col("idx") * 7 + F.col("doc_id")) % 3 == turn)
-        some.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    arriving = grep.read_documents(spark, f"{folder}/in", lines.schema, files_per_batch=1)
-    grep.run_to_parquet(search_lines(arriving, SPEC), f"{folder}/rows", f"{folder}/checkpoint")
+        some.write.mode("append").parquet(f"{folder}/in")
+        arriving = grep.read_documents(spark, f"{folder}/in", lines.schema)
+        grep.run_to_parquet(search_lines(arriving, SPEC), f"{folder}/rows", f"{folder}/checkpoint")
     return spark.read.schema("doc_id bigint, idx bigint, piece int, out string").parquet(f"{folder}/rows")

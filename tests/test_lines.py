@@ -172,3 +172,19 @@ def test_streamed_lines_equal_lines_at_rest(spark, tmp_path):
             grep.run_to_parquet(run, target, target + "-check")
             got = spark.read.schema(run.schema).parquet(target)
             assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_arriving_lines_are_written_by_as_many_tasks_as_read_the_documents(spark, tmp_path, monkeypatch):
+    import glob
+
+    from marginalia.catalog import outputs
+
+    rows = [(n, "\n".join(f"ing {n} {k}" for k in range(6)), "en", "src1", 1) for n in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(outputs, "work_folder", lambda spark, purpose: str(tmp_path / purpose))
+    monkeypatch.setattr(outputs, "search_lines", lambda lines, spec: lines.selectExpr("doc_id", "idx", "0 AS piece", "line AS out"))
+    found = outputs.stream_lines(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["idx"]) for r in found) == [(n, k) for n in range(8) for k in range(6)]
+    assert len(glob.glob(str(tmp_path / "stream-lines" / "in" / "*.parquet"))) > 3
+    assert len(glob.glob(str(tmp_path / "stream-lines" / "checkpoint" / "commits" / "[0-9]*"))) == 3
