@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Rules for every item are filed under this many keys, and an item asks under one of them.
 SPREAD = 64
 #: Criteria are filed by their longest start of one of these lengths.
@@ -31,11 +33,23 @@ def _everywhere(item: Column) -> Column:
 
 
 def _joined(items: DataFrame, rules: DataFrame, asked: Column, filed: Column, applies: Column) -> DataFrame:
-    filed_rules = rules.filter(F.col("criteria").isNotNull()).select("ord", "criteria", "instruction", F.explode(filed).alias("__key"))
+    """Items meet the different criteria first, and those that apply are then joined with their rules.
+
+    So a pair of item and criteria is tested once, however many rules share the criteria. Criteria of many rules are
+    ``SPREAD`` keys of the second join, by a hash of the item, so that a task makes a share of their rows.
+    """
+    given = rules.filter(F.col("criteria").isNotNull()).select("ord", "criteria", "instruction")
+    spread = F.when(F.count(F.lit(1)) >= SPREAD, SPREAD).otherwise(1).alias("__spread")
+    different = materialize(given.groupBy("criteria").agg(spread), "criteria")
     asking = items.withColumn("__key", F.explode(F.array_distinct(asked)))
     met = F.left("__key", F.lit(1))
     passes = met.isin("*", "=") | applies  # these keys say it all
-    return asking.join(filed_rules, "__key").filter(passes).drop("__key")
+    kept = [*items.columns, "criteria", "__spread"]
+    found = asking.join(different.withColumn("__key", F.explode(filed)), "__key").filter(passes).select(*kept)
+    salted = found.withColumn("__salt", F.pmod(F.xxhash64(*items.columns), F.col("__spread")).cast("int")).drop("__spread")
+    salts = F.explode(F.sequence(F.lit(0), F.col("__spread") - 1)).alias("__salt")
+    dealt = given.join(different.select("criteria", salts), "criteria")
+    return salted.join(dealt, ["criteria", "__salt"]).select(*items.columns, "ord", "criteria", "instruction")
 
 
 def _filed(*own: Column) -> Column:

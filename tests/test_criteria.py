@@ -56,3 +56,17 @@ def test_ignore_lines_of_a_table(spark):
     assert len(left("nothing")) == 8
     with pytest.raises(ValueError, match="is a folder"):
         left("a*b")
+
+
+def test_rules_that_share_criteria_meet_a_page_once_before_they_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.range(300).select("id", F.concat(F.lit("http://a.example.org/"), F.col("id").cast("string")).alias("url"))
+    pages = pages.unionByName(pages.filter("id < 5"))
+    rules = spark.range(200).select(F.col("id").alias("ord"), F.lit("example.org").alias("criteria"), F.lit("i").alias("instruction"))
+    few = spark.createDataFrame([(1, "example.net", "n"), (2, "example.org/7", "s"), (2, "example.org/7", "s"), (3, "", "e")], "ord long, criteria string, instruction string")
+    found = match_pages(pages, rules.unionByName(few))
+    got = {r["criteria"]: r["count"] for r in found.groupBy("criteria").count().collect()}
+    assert got == {"example.org": 305 * 200, "example.org/7": 2 * 11, "": 305}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in plan  # criteria of many rules are several keys
