@@ -43,12 +43,15 @@ def _write_files(root: str):
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root)
+        made = None
         for batch in batches:
             for path, content in zip(batch["out_path"], batch["content"]):
                 target = posixpath.normpath(posixpath.join(base, path))
                 if not target.startswith(base.rstrip("/") + "/"):
                     raise ValueError(f"output path leaves the target folder: {path}")
-                system.create_dir(posixpath.dirname(target), recursive=True)
+                if (folder := posixpath.dirname(target)) != made:
+                    system.create_dir(folder, recursive=True)
+                    made = folder
                 fresh = f"{target}.{uuid.uuid4().hex}.part"
                 with system.open_output_stream(fresh) as stream:
                     stream.write((content or "").encode("utf-8"))

@@ -33,6 +33,8 @@ MAX_FILE_BYTES = 512 << 20
 #: What one task reads.
 TASK_BYTES = 128 << 20
 BATCH_BYTES = 8 << 20
+#: As no file is opened, files are listed in this many tasks per core at most.
+LISTING_TASKS = 4
 
 
 def list_files(spark: SparkSession, root: str, globs: Sequence[str] = ("**",)) -> DataFrame:
@@ -50,6 +52,7 @@ def list_files(spark: SparkSession, root: str, globs: Sequence[str] = ("**",)) -
     base = re.sub("^file:/+", "/", qualified(spark, root)).rstrip("/")
     plain = F.regexp_replace("path", "^file:/+", "/")
     files = raw.select(relative_path(plain, base).alias("path"), F.col("modificationTime").alias("modified"), "length")
+    files = files.coalesce(LISTING_TASKS * spark.sparkContext.defaultParallelism)  # else each task names some 32 files
     return files if tuple(globs) == ("**",) else files.filter(any_glob(F.col("path"), globs))
 
 

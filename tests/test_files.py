@@ -364,3 +364,16 @@ def test_streamed_saving_takes_no_rows_to_python_and_numbers_as_splitext(spark,
     found = {r["content"]: r["out_path"] for r in settled.collect()}
     assert (found["0"], found["1"], found["2"], found["2998"], found["2999"]) == ("p0.md", "p1 (8).md", "p2.md", "p1 (1007).md", "p2 (1000).md")
     assert len(found) == len(set(found.values())) == 2001
+
+
+def test_few_tasks_list_many_files(spark, tmp_path):
+    for n in range(40):
+        (tmp_path / f"{n}.txt").write_text("x")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")  # as with very many files: one file per partition
+    try:
+        listed = sources.list_files(spark, str(tmp_path))
+        assert listed.count() == 40
+        assert listed.rdd.getNumPartitions() <= sources.LISTING_TASKS * spark.sparkContext.defaultParallelism < 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
