@@ -7,10 +7,13 @@ nowhere has no page, and no text is read for it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize, work_folder
 from .joins import join_keys
@@ -18,6 +21,10 @@ from .joins import join_keys
 GRAM = 3
 #: Postings and texts are stored in this many folders each, so that a search reads those it needs.
 FOLDERS = 64
+#: A folder of postings is written by this many tasks at most.
+SHARES = 16
+#: Postings that a task hands on at once, or those of one page.
+BATCH_RUNS = 1 << 17
 
 
 class TextIndex(NamedTuple):
@@ -32,14 +39,29 @@ def _folder_of(value: Column) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(FOLDERS)).cast("int")
 
 
-def _runs(text: Column, size: Column) -> Column:
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.substring(text, k, size))
+def _chars(text: Column) -> Column:
+    """The characters of a text, so that a run is found by its place without counting from the start of the text."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def grams(text: Column, sizes: tuple[int, ...]) -> Column:
-    """The different runs of characters of a text, of the given sizes."""
-    return F.array_distinct(F.concat(*(_runs(text, F.lit(n)) for n in sizes)))
+def _runs(chars: Column, size: Column) -> Column:
+    starts = F.when(F.size(chars) >= size, F.sequence(F.lit(1), F.size(chars) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.array_join(F.slice(chars, k, size), ""))
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different runs of up to ``GRAM`` characters of each body, some rows at a time."""
+    for batch in batches:
+        at, runs = [], []
+        for row, body in enumerate(batch.column("body").to_pylist()):
+            # The empty run stands for queries without a term, which every page answers.
+            own = {"", *(body[k : k + n] for n in range(1, GRAM + 1) for k in range(len(body) - n + 1))}
+            at.extend([row] * len(own))
+            runs.extend(own)
+            if len(runs) >= BATCH_RUNS or row == batch.num_rows - 1:
+                ids = batch.column("page_id").take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(runs, pa.string())], ["page_id", "gram"])
+                at, runs = [], []
 
 
 def query_terms(query: Column) -> Column:
@@ -50,8 +72,8 @@ def query_terms(query: Column) -> Column:
 def build_index(pages: DataFrame, text: str = "text", folder: str | None = None, ignore_case: bool = True) -> TextIndex:
     """Write the index of ``pages (page_id, url, text)`` to ``folder``, by default a work folder of the session.
 
-    Null texts are indexed as empty. The postings are dealt by ranges of run and page, so those of a frequent run are
-    many files. Page ids tell pages apart; rows that share one are one posting but are tested each.
+    Null texts are indexed as empty. The postings of a folder are dealt to ``SHARES`` tasks by run and page, so those of a
+    frequent run are many files. Page ids tell pages apart; rows that share one are one posting but are tested each.
     """
     spark = pages.sparkSession
     root = folder or work_folder(spark, "text-index")
@@ -60,10 +82,13 @@ def build_index(pages: DataFrame, text: str = "text", folder: str | None = None,
     stored = pages.select(_folder_of(F.col("page_id")).alias("part"), "page_id", "url", body.alias("body"))
     stored.write.mode("overwrite").partitionBy("part").parquet(f"{root}/pages")
     kept = spark.read.parquet(f"{root}/pages")
-    # The empty run stands for queries without a term, which every page answers.
-    runs = F.concat(F.array(F.lit("")), grams(F.col("body"), tuple(range(1, GRAM + 1))))
-    rows = kept.select("page_id", F.explode(runs).alias("gram")).distinct()
-    dealt = rows.withColumn("head", _folder_of(F.col("gram"))).repartitionByRange("head", "gram", "page_id")
+    id_type = kept.schema["page_id"].dataType
+    schema = T.StructType([T.StructField("page_id", id_type), T.StructField("gram", T.StringType())])
+    rows = kept.select("page_id", F.make_valid_utf8("body").alias("body")).mapInArrow(_postings, schema)
+    if not kept.groupBy("page_id").count().filter("count > 1").isEmpty():
+        rows = rows.distinct()
+    share = F.pmod(F.xxhash64("gram", "page_id"), F.lit(SHARES))
+    dealt = rows.withColumn("head", _folder_of(F.col("gram"))).repartition("head", share)
     dealt.sortWithinPartitions("head", "gram", "page_id").write.mode("overwrite").partitionBy("head").parquet(f"{root}/postings")
     postings = spark.read.parquet(f"{root}/postings")
     postings.groupBy("gram").agg(F.count(F.lit(1)).alias("pages")).write.mode("overwrite").parquet(f"{root}/counts")
@@ -78,7 +103,7 @@ def rarest_grams(index: TextIndex, queries: DataFrame, ignore_case: bool = True)
     """``(query, terms, gram)``: the run to look up for each different query; queries that can have no page are left out."""
     text = F.lower("query") if ignore_case else F.col("query")
     asked = queries.select("query").filter(F.col("query").isNotNull()).distinct().withColumn("terms", query_terms(text))
-    every = F.array_distinct(F.flatten(F.transform("terms", lambda t: _runs(t, F.least(F.length(t), F.lit(GRAM))))))
+    every = F.array_distinct(F.flatten(F.transform("terms", lambda t: _runs(_chars(t), F.least(F.length(t), F.lit(GRAM))))))
     rows = asked.withColumn("gram", F.explode(F.when(F.size("terms") == 0, F.array(F.lit(""))).otherwise(every)))
     known = rows.join(index.counts, "gram", "left")
     rarity = F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), "gram")

@@ -74,3 +74,17 @@ def test_only_needed_folders_are_read(spark, index):
     assert rows.count() == 1
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "part IN" in plan.split("PartitionFilters: ")[1] or "part#" in plan.split("PartitionFilters: ")[1]
+
+
+def test_runs_of_long_and_odd_texts(spark):
+    import pyarrow as pa
+
+    from marginalia.operators.text_index import BATCH_RUNS, _postings
+
+    bodies = ["", "a😀b", "xyz" * 20, "".join(chr(0x4E00 + n % 20000) for n in range(BATCH_RUNS // 2))]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, 1, 2, 3], pa.int64()), pa.array(bodies)], ["page_id", "body"])
+    found = pa.Table.from_batches(list(_postings(iter([batch])))).to_pylist()
+    runs = lambda page: sorted(r["gram"] for r in found if r["page_id"] == page)
+    assert runs(None) == [""] and runs(1) == sorted(["", "a", "😀", "b", "a😀", "😀b", "a😀b"])
+    assert runs(2) == sorted(["", "x", "y", "z", "xy", "yz", "zx", "xyz", "yzx", "zxy"])
+    assert len(runs(3)) == 1 + 3 * 20000
