@@ -19,6 +19,17 @@ _ITALIC_OFF = "\ufdd0"
 _BOLD_OFF = "\ufdd1"
 _CLOSING = f"[{_ITALIC_OFF}{_BOLD_OFF}]"
 
+# What bold and italic can be, and for each two such states, of a run and the one after it, the marks between them.
+_STATES = [(bold, italic) for italic in (False, True, None) for bold in (False, True, None)]
+_BETWEEN = [
+    (
+        _ITALIC_OFF * (was[1] is True and now[1] is False) + _BOLD_OFF * (was[0] is True and now[0] is False),
+        "**" * (now[0] is True and was[0] is not True) + "_" * (now[1] is True and was[1] is not True),
+    )
+    for was in _STATES
+    for now in _STATES
+]
+
 HEADING = r"(?i)^heading\s*\+?(\d+)\s*\z"
 
 
@@ -101,6 +112,45 @@ def join_pieces(pieces: Column, final: Column) -> Column:
     return F.when(F.exists(pieces, lambda p: p["head"] == ""), general).otherwise(direct)
 
 
+def run_state(bold: Column, italic: Column) -> Column:
+    """The place of a run's bold and italic in ``_STATES``."""
+    part = lambda c: F.when(c.isNull(), 2).otherwise(c.cast("int"))
+    return part(bold) + 3 * part(italic)
+
+
+def marked_text(elements: Column) -> Column:
+    """A paragraph with its marks, from sorted elements ``struct(k, text, state)``; a link's ``state`` is null.
+
+    Each text is split once, and the marks before a run are looked up by its state and the one before. The pieces are
+    sorted again, as elements may share their ``k``.
+    """
+    between = F.array(*(F.struct(F.lit(c).alias("closes"), F.lit(o).alias("opens")) for c, o in _BETWEEN))
+
+    def split(e: Column, place: Column) -> Column:
+        marks = F.get(between, place)
+        return F.struct(e["k"].alias("k"), e["text"].alias("text"), trim_end(e["text"]).alias("head"), marks.alias("marks"))
+
+    def marked(p: Column) -> Column:
+        text, head, opens = p["text"], p["head"], p["marks"]["opens"]
+        core = trim_start(head)
+        after_blanks = F.concat(F.left(head, F.length(head) - F.length(core)), opens, core)
+        bare = opens == ""
+        opened = F.when(bare, head).when(head == "", F.concat(text, opens)).otherwise(after_blanks)
+        trail = F.when(bare | (head != ""), F.substring(text, F.length(head) + 1, F.length(text))).otherwise("")
+        return F.struct(p["k"].alias("k"), p["marks"]["closes"].alias("closes"), opened.alias("head"), trail.alias("trail"))
+
+    def joined(runs: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(runs, i - 1)["state"], F.lit(0))
+        split_runs = F.transform(runs, lambda e, i: split(e, before(i) * len(_STATES) + e["state"]))
+        links = F.transform(F.filter(elements, lambda e: e["state"].isNull()), lambda e: split(e, F.lit(0)))
+        last = F.get(runs, F.size(runs) - 1)
+        final = F.when(last["k"].isNotNull(), F.get(between, last["state"] * len(_STATES))["closes"])
+        pieces = F.sort_array(F.transform(F.concat(split_runs, links), marked))
+        return let(pieces, lambda bound: join_pieces(bound, F.coalesce(final, F.lit(""))))
+
+    return let(F.filter(elements, lambda e: e["state"].isNotNull()), joined)
+
+
 def styled_text(elements: Column, break_text: str = "\n", linked_runs: bool = False) -> Column:
     """One line of markdown from styled elements.
 

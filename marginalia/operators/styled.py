@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.markdown import cell_text, markdown_link, table_line, table_rule
-from ..functions.styled import closing_marks, document_paragraph, join_pieces, marked_run, page_text, piece, slide_text
+from ..functions.styled import document_paragraph, marked_text, page_text, run_state, slide_text
 from .joins import join_keys
 from .numbering import numbered
 
@@ -66,28 +66,29 @@ def list_kind(
 def styled_paragraphs(runs: DataFrame) -> DataFrame:
     """Run rows ``(doc_id, para, k, style, list_kind, kind, bold, italic, text, uri)`` to paragraph rows.
 
-    Each row finds the last run with text before it by a window and gets its marks as plain row
-    expressions; only the finished pieces are gathered per paragraph, on the window's partitioning.
+    Runs are gathered per paragraph where they are read, so the one shuffle moves paragraphs, not runs. A paragraph
+    without bold or italic is its texts in order; marks are worked out only for the others. Elements with the same
+    ``k`` come in the order of their marks and texts.
     """
     is_run = (F.col("kind") == "run") & (F.col("text") != "")
-    before = Window.partitionBy("doc_id", "para").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    state = F.when(is_run, F.struct("bold", "italic"))
-    rows = runs.withColumn("__state", state)
-    rows = rows.withColumn("__last", F.last("__state", ignorenulls=True).over(before))
-    closes, marked = marked_run({c: F.col(c) for c in ("bold", "italic", "text")}, F.col("__last"))
     link = F.when(F.col("kind") == "link", markdown_link(F.col("text"), F.col("uri"))).otherwise("")
-    rows = rows.withColumn("__text", F.when(is_run, marked).otherwise(link))
-    pieces = F.struct(*piece(F.when(is_run, closes).otherwise(""), F.col("__text")))
-    paragraphs = rows.withColumn("__piece", F.when(F.col("__text") != "", pieces)).groupBy("doc_id", "para").agg(
-        F.first("style").alias("style"),
-        F.first("list_kind").alias("list_kind"),
-        F.max_by("__state", F.when(F.col("__state").isNotNull(), F.col("k"))).alias("__final"),
-        F.sort_array(
-            F.collect_list(F.when(F.col("__piece").isNotNull(), F.struct("k", "__piece.*")))
-        ).alias("__pieces"),
+    rows = runs.withColumn("__run", is_run).withColumn("__text", F.when(is_run, F.col("text")).otherwise(link))
+    state = F.when(F.col("__run"), run_state(F.col("bold"), F.col("italic")))
+    element = F.struct("k", F.col("__text").alias("text"), state.alias("state"))
+    rows = rows.select(
+        "doc_id", "para", F.struct("k", "style", "list_kind").alias("__first"),
+        (F.col("__run") & (F.col("bold") | F.col("italic"))).alias("__marked"),
+        F.when(F.col("__text") != "", element).alias("__element"),
     )
-    final = closing_marks(F.col("__final.bold"), F.col("__final.italic"))
-    out = document_paragraph(join_pieces(F.col("__pieces"), final), F.col("style"), F.col("list_kind"))
+    paragraphs = rows.groupBy("doc_id", "para").agg(
+        F.min("__first").alias("__first"), F.bool_or("__marked").alias("__marked"),
+        F.sort_array(F.collect_list("__element")).alias("__elements"),
+    )
+    elements = F.col("__elements")
+    repeated = F.size(F.array_distinct(elements["k"])) < F.size(elements)
+    plain = F.array_join(elements["text"], "")
+    text = F.when(F.col("__marked") | repeated, marked_text(elements)).otherwise(plain)
+    out = document_paragraph(text, F.col("__first.style"), F.col("__first.list_kind"))
     return paragraphs.select("doc_id", "para", out.alias("out"))
 
 

@@ -152,3 +152,31 @@ def test_repeated_definitions_do_not_multiply_paragraphs(spark):
     levels = spark.createDataFrame([(1, 0, "bullet"), (1, 0, "bullet"), (2, 0, "decimal"), (2, 1, "bullet")], "abstract_id int, level int, fmt string")
     got = [(r["para"], r["list_kind"]) for r in styled.list_kind(paragraphs, numbering, levels).orderBy("para").collect()]
     assert got == [(1, "bullet"), (2, "none"), (3, "numbered"), (4, "numbered")]
+
+
+RUNS = "doc_id long, para long, k long, style string, list_kind string, kind string, bold boolean, italic boolean, text string, uri string"
+
+
+def test_paragraphs_are_shuffled_not_runs(spark):
+    rows = [(1, p, k, "Title", "bullet", "run", False, False, "a ", None) for p in range(5) for k in range(400)]
+    out = styled.styled_paragraphs(spark.createDataFrame(rows, RUNS))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    assert plan.index("partial_collect_list") > plan.index("Exchange"), plan
+    assert {r["para"]: r["out"] for r in out.collect()} == {p: "- " + "a " * 400 for p in range(5)}
+
+
+def test_paragraphs_of_odd_runs(spark):
+    run = lambda p, k, text, bold=False, italic=False, kind="run", uri=None, style="Title": (1, p, k, style, "none", kind, bold, italic, text, uri)
+    rows = [
+        run(0, 2, "b"), run(0, None, "a", style="Heading2"), run(0, 1, None), run(0, 3, "x", kind=None), run(0, 4, "", style=None),
+        run(1, 1, "b "), run(1, 1, "b "), run(1, 1, "a "), run(1, 0, "c "),
+        run(2, 0, "a ", True), run(2, 1, "b ", None, True), run(2, 2, "c ", None), run(2, 3, "d", True),
+        run(3, 0, "go", kind="link", uri="u"), run(3, 1, "lost", kind="link"), run(3, 2, " ", True), run(3, 3, " x ", True, True),
+        run(4, 0, "", True), run(4, None, "z", True),
+    ]
+    frame = spark.createDataFrame(rows, RUNS).repartition(3)
+    got = {r["para"]: r["out"] for r in styled.styled_paragraphs(frame).collect()}
+    assert got == {
+        0: "## ab\n", 1: "c a b b \n", 2: "**a _b_ c **d**\n", 3: "[go](u) ** _x_** \n", 4: "**z\n",
+    }
