@@ -118,6 +118,10 @@ def run_state(bold: Column, italic: Column) -> Column:
     return part(bold) + 3 * part(italic)
 
 
+def has_mark(state: Column) -> Column:
+    return state.isin([place for place, marks in enumerate(_STATES) if True in marks])
+
+
 def marked_text(elements: Column) -> Column:
     """A paragraph with its marks, from sorted elements ``struct(k, text, state)``; a link's ``state`` is null.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.markdown import cell_text, markdown_link, table_line, table_rule
-from ..functions.styled import document_paragraph, marked_text, page_text, run_state, slide_text
+from ..functions.styled import document_paragraph, has_mark, marked_text, page_text, run_state, slide_text
 from .joins import join_keys
 from .numbering import numbered
 
@@ -73,16 +73,13 @@ def styled_paragraphs(runs: DataFrame) -> DataFrame:
     is_run = (F.col("kind") == "run") & (F.col("text") != "")
     link = F.when(F.col("kind") == "link", markdown_link(F.col("text"), F.col("uri"))).otherwise("")
     rows = runs.withColumn("__run", is_run).withColumn("__text", F.when(is_run, F.col("text")).otherwise(link))
-    state = F.when(F.col("__run"), run_state(F.col("bold"), F.col("italic")))
-    element = F.struct("k", F.col("__text").alias("text"), state.alias("state"))
-    rows = rows.select(
-        "doc_id", "para", F.struct("k", "style", "list_kind").alias("__first"),
-        (F.col("__run") & (F.col("bold") | F.col("italic"))).alias("__marked"),
-        F.when(F.col("__text") != "", element).alias("__element"),
-    )
+    rows = rows.withColumn("__state", F.when(F.col("__run"), run_state(F.col("bold"), F.col("italic"))))
+    element = F.struct("k", F.col("__text").alias("text"), F.col("__state").alias("state"))
+    rows = rows.select("doc_id", "para", "k", "style", "list_kind", "__text", "__state")  # flat rows are smaller to sort
     paragraphs = rows.groupBy("doc_id", "para").agg(
-        F.min("__first").alias("__first"), F.bool_or("__marked").alias("__marked"),
-        F.sort_array(F.collect_list("__element")).alias("__elements"),
+        F.min(F.struct("k", "style", "list_kind")).alias("__first"),
+        F.bool_or(has_mark(F.col("__state"))).alias("__marked"),
+        F.sort_array(F.collect_list(F.when(F.col("__text") != "", element))).alias("__elements"),
     )
     elements = F.col("__elements")
     repeated = F.size(F.array_distinct(elements["k"])) < F.size(elements)
