@@ -14,6 +14,8 @@ from ..operators.sinks import output_paths
 from ..session import materialize
 from ..spec import LineSpec
 
+VERSIONS_CONF = "spark.sql.streaming.maxBatchesToRetainInMemory"
+
 
 def read_documents(
     spark: SparkSession, folder: str, schema: StructType, name_filter: str = "*.parquet", files_per_batch: int = 1000
@@ -32,15 +34,26 @@ def stream_grep(documents: DataFrame, spec: LineSpec, path: str = "path", text:
     return grep_report(documents, spec, text, ticks)
 
 
-def run_to_parquet(rows: DataFrame, target: str, checkpoint: str) -> None:
-    """Process what has arrived and stop; the file sink's log keeps every row exactly once."""
-    query = (
+def run_to_parquet(rows: DataFrame, target: str, checkpoint: str, versions: int | None = None) -> None:
+    """Process what has arrived and stop; the file sink's log keeps every row exactly once.
+
+    ``versions`` of the state stay in the memory of executors from batch to batch, as the session says if it is not given.
+    With 0 only the tasks at work hold their part of it, which is read from the checkpoint again for each batch and, as Spark
+    then makes no snapshots, from the changes of all batches before: for a large state and runs of few batches.
+    """
+    writer = (
         rows.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start(target)
     )
+    conf = rows.sparkSession.conf
+    before = conf.get(VERSIONS_CONF)
+    conf.set(VERSIONS_CONF, before if versions is None else versions)
+    try:
+        query = writer.start(target)  # takes a copy of the settings
+    finally:
+        conf.set(VERSIONS_CONF, before)
     query.awaitTermination()
 
 

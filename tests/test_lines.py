@@ -188,3 +188,46 @@ def test_arriving_lines_are_written_by_as_many_tasks_as_read_the_documents(spark
     assert sorted((r["doc_id"], r["idx"]) for r in found) == [(n, k) for n in range(8) for k in range(6)]
     assert len(glob.glob(str(tmp_path / "stream-lines" / "in" / "*.parquet"))) > 3
     assert len(glob.glob(str(tmp_path / "stream-lines" / "checkpoint" / "commits" / "[0-9]*"))) == 3
+
+
+def test_arriving_sources_share_states(spark, tmp_path):
+    from marginalia.streaming import grep
+    from marginalia.streaming.lines import stream_lines
+
+    many = 6000
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for turn in (1, 0):
+        spark.range(many).selectExpr("id AS doc_id", f"{turn}L AS idx", f"concat('hit ', id, ' {turn}') AS line").write.mode("append").parquet(folder)
+    run = stream_lines(grep.read_documents(spark, folder, spark.read.parquet(folder).schema), LineSpec(("hit",), (), 1, 0))
+    writer = run.writeStream.format("parquet").option("checkpointLocation", target + "-check").trigger(availableNow=True)
+    stream = writer.start(target)
+    stream.awaitTermination()
+    got = spark.read.parquet(target)
+    assert got.count() == 2 * many and got.filter("out <> concat('hit ', doc_id, ' ', idx)").isEmpty()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in stream.recentProgress) < many
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "binary", "date", "decimal(20,2)", "boolean"])
+def test_arriving_lines_of_sources_with_any_key(spark, tmp_path, kind):
+    from marginalia.operators import line_rows
+    from marginalia.streaming import grep
+    from marginalia.streaming.lines import stream_lines
+
+    keys = {
+        "long": [None, 1 << 60, (1 << 60) + 1], "string": [None, "", "None"], "binary": [None, "é", "b"], "boolean": [None, "true", "false"],
+        "date": [None, "2024-01-01", "0001-01-01"], "decimal(20,2)": [None, "123456789012345678.25", "0.10"],
+    }[kind]
+    lines = [(k if k is None else str(k), i, t) for k in keys for i, t in enumerate(["a", "hit", "", "b", "c", "gone hit", "hit"])]
+    rest = spark.createDataFrame(lines, "doc_id string, idx long, line string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for turn in (2, 0, 1):
+        rest.filter(f"idx % 3 = {turn}").coalesce(1).write.mode("append").parquet(folder)
+    spec = LineSpec(("hit",), ("gone",), 1, 1, True)
+    run = stream_lines(grep.read_documents(spark, folder, rest.schema, files_per_batch=1), spec)
+    before = spark.conf.get(grep.VERSIONS_CONF)
+    grep.run_to_parquet(run, target, target + "-check", versions=0)
+    assert spark.conf.get(grep.VERSIONS_CONF) == before != "0"
+    got, want = spark.read.schema(run.schema).parquet(target), line_rows.grep_rows(rest, spec)
+    assert run.schema["doc_id"].dataType == rest.schema["doc_id"].dataType
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert got.count() == 18
