@@ -88,3 +88,70 @@ def test_runs_of_long_and_odd_texts(spark):
     assert runs(None) == [""] and runs(1) == sorted(["", "a", "😀", "b", "a😀", "😀b", "a😀b"])
     assert runs(2) == sorted(["", "x", "y", "z", "xy", "yz", "zx", "xyz", "yzx", "zxy"])
     assert len(runs(3)) == 1 + 3 * 20000
+
+
+def test_candidates_grow_with_pages_not_with_pairs(spark, monkeypatch):
+    import itertools
+
+    from marginalia.operators import text_index
+
+    written = {}
+
+    def counted(rows, purpose, keep=text_index.materialize):
+        kept = keep(rows, purpose)
+        written[purpose] = kept.count()
+        return kept
+
+    monkeypatch.setattr(text_index, "materialize", counted)
+    rng = random.Random(4)
+    bodies = ["aaababbbaa " + "".join(rng.choice("ab") for _ in range(60)) for _ in range(50)]
+    rows = [(None if n == 7 else n, f"u{n}", body) for n, body in enumerate(bodies)]
+    queries = ["".join(q) for q in itertools.product("ab", repeat=6)]
+    found = build_index(spark.createDataFrame(rows, "page_id long, url string, text string"))
+    got = {(r["query"], r["url"]) for r in search_index(found, asked(spark, queries)).collect()}
+    assert got == {(q, u) for q in queries for _, u, body in rows if q in body}
+    assert written == {"grams": 64, "candidates": 50}
+
+
+def test_blocks_of_queries_and_shares_of_pages(spark, pages, index, monkeypatch):
+    from marginalia.operators import text_index
+
+    for name, value in (("BLOCK", 16), ("SHARE_PAGES", 8), ("CHUNK", 1000), ("CELLS", 50)):
+        monkeypatch.setattr(text_index, name, value)
+    words = sorted({w for r in pages.limit(20).select("text").collect() for w in r["text"].split()[:9]})
+    queries = [*words, *(f"{a} {b}" for a, b in zip(words, reversed(words))), ""]
+    assert len(queries) > 100
+    bodies = [(r["page_id"], r["url"], r["text"].lower()) for r in pages.collect()]
+    want = [(q, p, u) for q in set(queries) for p, u, body in bodies if all(t in body for t in q.lower().split())]
+    assert hits(search_index(index, asked(spark, queries))) == sorted(want)
+
+
+def test_terms_of_any_length_are_found_wherever_they_stand(monkeypatch):
+    import pyarrow as pa
+
+    from marginalia.operators import text_index
+
+    rng = random.Random(9)
+    letters = ["a", "b", "ab", "é", "😀", "\0", "aaaaaaaa"]
+    bodies = [b"", b"\xff\xfea", *("".join(rng.choices(letters, k=rng.randint(0, 60))).encode() for _ in range(200))]
+    terms = {b"a", b"\xff", b"\0", b"b" * 50}
+    while len(terms) < 600:
+        body = rng.choice(bodies)
+        at = rng.randrange(len(body) + 1)
+        terms.add(body[at : at + rng.randint(1, 40)] + rng.choice([b"", b"", b"b"]) or b"c")
+    terms = sorted(terms)
+    queries = [[], *([t] for t in terms), *(rng.sample(terms, rng.randint(2, 4)) for _ in range(200))]
+    asked_rows = pa.table({
+        "turn": pa.array([0] * len(queries), pa.int64()), "query": [str(n) for n in range(len(queries))],
+        "terms": pa.array(queries, pa.list_(pa.binary())),
+    })
+    page_rows = pa.table({"turn": pa.array([1] * len(bodies), pa.int64()), "page_id": list(range(len(bodies))), "url": ["u"] * len(bodies), "body": bodies})
+    rows = pa.concat_tables([asked_rows, page_rows], promote_options="default")
+    want = {(n, str(q)) for n, body in enumerate(bodies) for q, of in enumerate(queries) if all(t in body for t in of)}
+    for chunk, cells, batch in ((1 << 18, 1 << 20, 10000), (7, 3, 100), (100, 5000, 33)):
+        monkeypatch.setattr(text_index, "CHUNK", chunk)
+        monkeypatch.setattr(text_index, "CELLS", cells)
+        found = [r for b in text_index._answers(iter(rows.to_batches(max_chunksize=batch)), 1) for r in b.to_pylist()]
+        assert [r["page_id"] for r in found] == list(range(len(bodies)))
+        assert {(r["page_id"], q) for r in found for q in r["found"]} == want
+        assert sum(len(r["found"]) for r in found) == len(want)
