@@ -8,6 +8,7 @@ A query with a run that occurs nowhere has no page, and no text is read for it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -22,8 +23,6 @@ from .joins import join_keys
 GRAM = 3
 #: Postings and texts are stored in this many folders each, so that a search reads those it needs.
 FOLDERS = 64
-#: A folder of postings is written by this many tasks at most.
-SHARES = 16
 #: Postings that a task hands on at once, or those of one page.
 BATCH_RUNS = 1 << 17
 #: Queries that a task of the search holds at once, and pages it gets, at most and, where there are few, at least.
@@ -60,7 +59,10 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, runs = [], []
         for row, body in enumerate(batch.column("body").to_pylist()):
             # The empty run stands for queries without a term, which every page answers.
-            own = {"", *(body[k : k + n] for n in range(1, GRAM + 1) for k in range(len(body) - n + 1))}
+            own, longer = {"", *body}, body
+            for n in range(1, GRAM):
+                longer = list(map(add, longer, body[n:]))
+                own.update(longer)
             at.extend([row] * len(own))
             runs.extend(own)
             if len(runs) >= BATCH_RUNS or row == batch.num_rows - 1:
@@ -77,8 +79,8 @@ def query_terms(query: Column) -> Column:
 def build_index(pages: DataFrame, text: str = "text", folder: str | None = None, ignore_case: bool = True) -> TextIndex:
     """Write the index of ``pages (page_id, url, text)`` to ``folder``, by default a work folder of the session.
 
-    Null texts are indexed as empty. The postings of a folder are dealt to ``SHARES`` tasks by run and page, so those of a
-    frequent run are many files. Page ids tell pages apart; rows that share one are one posting but are tested each.
+    Null texts are indexed as empty. Postings are written by the tasks that find them, a file for each folder and some
+    thousand pages, so those of a frequent run are many files. Page ids tell pages apart; rows that share one are one posting but are tested each.
     """
     spark = pages.sparkSession
     root = folder or work_folder(spark, "text-index")
@@ -89,12 +91,12 @@ def build_index(pages: DataFrame, text: str = "text", folder: str | None = None,
     kept = spark.read.parquet(f"{root}/pages")
     id_type = kept.schema["page_id"].dataType
     schema = T.StructType([T.StructField("page_id", id_type), T.StructField("gram", T.StringType())])
-    rows = kept.select("page_id", F.make_valid_utf8("body").alias("body")).mapInArrow(_postings, schema)
+    tasks = max(-(-kept.count() // SHARE_PAGES), 2 * spark.sparkContext.defaultParallelism)
+    rows = kept.select("page_id", F.make_valid_utf8("body").alias("body")).coalesce(tasks).mapInArrow(_postings, schema)
     if not kept.groupBy("page_id").count().filter("count > 1").isEmpty():
         rows = rows.distinct()
-    share = F.pmod(F.xxhash64("gram", "page_id"), F.lit(SHARES))
-    dealt = rows.withColumn("head", _folder_of(F.col("gram"))).repartition("head", share)
-    dealt.sortWithinPartitions("head", "gram", "page_id").write.mode("overwrite").partitionBy("head").parquet(f"{root}/postings")
+    headed = rows.withColumn("head", _folder_of(F.col("gram")))
+    headed.write.mode("overwrite").partitionBy("head").parquet(f"{root}/postings")
     postings = spark.read.parquet(f"{root}/postings")
     postings.groupBy("gram").agg(F.count(F.lit(1)).alias("pages")).write.mode("overwrite").parquet(f"{root}/counts")
     return open_index(spark, root)
@@ -126,8 +128,10 @@ def search_index(index: TextIndex, queries: DataFrame, ignore_case: bool = True)
     """
     looked_up = rarest_grams(index, queries, ignore_case).withColumn("head", _folder_of(F.col("gram")))
     looked_up = materialize(looked_up, "grams")
-    grams = looked_up.select("head", "gram").distinct()
-    found = _folders(index.postings, looked_up, "head").join(grams, ["head", "gram"], "left_semi").select("page_id").distinct()
+    # Runs meet on their hashes, which are faster to look up; a page too many would do no harm, as it is tested.
+    code = F.xxhash64("gram").alias("code")
+    postings = _folders(index.postings, looked_up, "head").select("page_id", code)
+    found = postings.join(looked_up.select(code).distinct(), "code", "left_semi").select("page_id").distinct()
     candidates = materialize(found.withColumn("part", _folder_of(F.col("page_id"))), "candidates")
     number = candidates.count()
     if not number:

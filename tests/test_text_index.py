@@ -155,3 +155,12 @@ def test_terms_of_any_length_are_found_wherever_they_stand(monkeypatch):
         assert [r["page_id"] for r in found] == list(range(len(bodies)))
         assert {(r["page_id"], q) for r in found for q in r["found"]} == want
         assert sum(len(r["found"]) for r in found) == len(want)
+
+
+def test_postings_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    rows = [(n, f"u{n}", f"text of {n}") for n in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, text string")
+    monkeypatch.setattr(type(pages), "repartition", lambda *of: pytest.fail("postings are shuffled"))
+    found = build_index(pages, folder=str(tmp_path / "index"))
+    assert found.postings.filter("gram = 'tex'").count() == found.postings.filter("gram = ''").count() == 300
+    assert found.postings.groupBy("gram", "page_id").count().filter("count > 1").isEmpty()
