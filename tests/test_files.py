@@ -246,6 +246,35 @@ def test_pieces_are_bounded_by_bytes(spark):
     assert len(pieces) > 10 and max(len(p["text"]) for p in pieces) < 1000 + 3010
 
 
+def test_only_long_parts_are_summed_by_ranges(spark, monkeypatch):
+    """Parts of fewer bytes than a piece are joined as they are; null keys, ordinals and texts, repeated rows and a part of just a piece's bytes."""
+    from itertools import groupby
+
+    from marginalia.operators import report
+
+    summed = []
+    real = report.sum_before
+    monkeypatch.setattr(report, "sum_before", lambda rows, *a, **b: summed.append(rows) or real(rows, *a, **b))
+    rows = [(key, i // 2, f"{i:02d}" + "x" * (i % 3)) for key in ("a", None) for i in range(60)]
+    rows += [("long", 3, f"{i:03d}" + "y" * 20) for i in range(80)] + [("long", 25, "z"), ("long", None, "none"), ("long", None, None)]
+    rows += [("just", 40, "w" * 49), ("just", 41, "w" * 49), ("just", 42, None), ("null", 0, None), ("null", 1, None), ("a", 5, "10x"), ("a", 5, "10x")]
+    items = spark.createDataFrame([(*r, "unused") for r in rows], "report string, ord long, out string, more string").repartition(3)
+    got = report.combined_output(items, ["report"], part_bytes=100, slice_items=20)
+
+    low = lambda v: (v is not None, v or (0 if isinstance(v, int) else ""))  # noqa: E731  nulls come first
+    want = {}
+    for part, own in groupby(sorted(((r[0], None if r[1] is None else r[1] // 20, *r[1:]) for r in rows), key=lambda r: (str(r[0]), *map(low, r[1:]))), lambda r: r[:2]):
+        before = 0
+        for *_, out in own:
+            want.setdefault((*part, before // 100), []).append(out)
+            before += 0 if out is None else len(out) + 1
+    joined = {k: "\n".join(x for x in v if x is not None) for k, v in want.items()}
+    assert {(r["report"], r["part"], r["piece"]): r["text"] for r in got.collect()} == joined and got.count() == len(joined)
+    assert ("just", 2, 1) in joined and ("long", 0, 18) in joined
+    assert {(r["report"], r["part"]) for r in summed[0].collect()} == {("long", 0), ("just", 2), ("a", 0), (None, 0)}
+    assert "more" not in summed[0].columns
+
+
 def test_history(spark, tmp_path):
     messages = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     target = sinks.save_history(messages, str(tmp_path), "123")
