@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.markdown import cell_text, markdown_link, table_line, table_rule
-from ..functions.styled import document_paragraph, has_mark, marked_text, page_text, run_state, slide_text
+from ..functions.styled import (
+    document_paragraph, has_mark, has_odd_blanks, marked_runs, marked_text, page_text, run_state, slide_text,
+)
 from .joins import join_keys
 from .numbering import numbered
 
@@ -67,8 +69,8 @@ def styled_paragraphs(runs: DataFrame) -> DataFrame:
     """Run rows ``(doc_id, para, k, style, list_kind, kind, bold, italic, text, uri)`` to paragraph rows.
 
     Runs are gathered per paragraph where they are read, so the one shuffle moves paragraphs, not runs. A paragraph
-    without bold or italic is its texts in order; marks are worked out only for the others. Elements with the same
-    ``k`` come in the order of their marks and texts.
+    without bold or italic is its texts in order; marks are worked out only for the others, in one pass where all are
+    runs in a settled order between plain spaces. Elements with the same ``k`` come in the order of their marks and texts.
     """
     is_run = (F.col("kind") == "run") & (F.col("text") != "")
     link = F.when(F.col("kind") == "link", markdown_link(F.col("text"), F.col("uri"))).otherwise("")
@@ -76,15 +78,18 @@ def styled_paragraphs(runs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__state", F.when(F.col("__run"), run_state(F.col("bold"), F.col("italic"))))
     element = F.struct("k", F.col("__text").alias("text"), F.col("__state").alias("state"))
     rows = rows.select("doc_id", "para", "k", "style", "list_kind", "__text", "__state")  # flat rows are smaller to sort
+    odd = F.col("__state").isNull() | F.col("k").isNull() | has_odd_blanks(F.col("__text"))
     paragraphs = rows.groupBy("doc_id", "para").agg(
         F.min(F.struct("k", "style", "list_kind")).alias("__first"),
         F.bool_or(has_mark(F.col("__state"))).alias("__marked"),
+        F.bool_or((F.col("__text") != "") & odd).alias("__odd"),
         F.sort_array(F.collect_list(F.when(F.col("__text") != "", element))).alias("__elements"),
     )
     elements = F.col("__elements")
     repeated = F.size(F.array_distinct(elements["k"])) < F.size(elements)
     plain = F.array_join(elements["text"], "")
-    text = F.when(F.col("__marked") | repeated, marked_text(elements)).otherwise(plain)
+    marked = F.when(F.col("__odd") | repeated, marked_text(elements)).otherwise(marked_runs(elements))
+    text = F.when(F.col("__marked") | repeated, marked).otherwise(plain)
     out = document_paragraph(text, F.col("__first.style"), F.col("__first.list_kind"))
     return paragraphs.select("doc_id", "para", out.alias("out"))
 

@@ -180,3 +180,25 @@ def test_paragraphs_of_odd_runs(spark):
     assert got == {
         0: "## ab\n", 1: "c a b b \n", 2: "**a _b_ c **d**\n", 3: "[go](u) ** _x_** \n", 4: "**z\n",
     }
+
+
+def test_runs_between_spaces_are_marked_in_one_pass(spark, monkeypatch):
+    """All other paragraphs take the general way: blank runs, links, repeated or null places and other white space."""
+    rng = random.Random(5)
+    states = [(b, i) for b in (True, False, None) for i in (True, False, None)]
+    text = lambda: " " * rng.randrange(3) + rng.choice(["a", "b c", "\u00e9", "x\ty", "\ufdd0", "_"]) + " " * rng.randrange(3)
+    row = lambda p, k, t, state, kind="run", uri=None: (1, p, k, "Title", "none", kind, *state, t, uri)
+    rows = [row(p, k, text(), rng.choice(states)) for p in range(300) for k in range(rng.randrange(1, 9))]
+    odd = [("\ta", 1), ("a\xa0", 1), (" ", 1), ("\u3000 ", 1), ("a \n ", 1), ("a", 0), ("a", None), ("a", 2)]
+    for p, (t, k) in enumerate(odd, 300):
+        rows += [row(p, 0, "go ", (True, False)), row(p, k, t, (False, True), "link" if k == 2 else "run", "u")]
+    rows += [row(307, 3, "on", (True, True)), row(308, None, "a", (True, True)), row(309, None, "b", (True, False)), row(309, None, "c", (False, True))]
+    frame = spark.createDataFrame(rows, RUNS).repartition(3)
+    outs = lambda: {r["para"]: r["out"] for r in styled.styled_paragraphs(frame).collect()}
+    got = outs()
+    monkeypatch.setattr(styled, "marked_text", lambda elements: F.lit("general"))
+    general = {p for p, out in outs().items() if out == "general\n"}
+    assert general == set(range(300, 310))
+    monkeypatch.undo()
+    monkeypatch.setattr(styled, "marked_runs", styled.marked_text)
+    assert got == outs() and len(got) == 310
